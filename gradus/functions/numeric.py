@@ -12,7 +12,7 @@ from gradus import fixed
 
 def to_double(col: Column) -> Column:
     """Numeric text to double; markers, blanks and NaN become NULL."""
-    value = F.expr("NULL").cast("double") if col is None else col.try_cast("double")
+    value = col.try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
