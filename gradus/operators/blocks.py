@@ -78,7 +78,8 @@ def smallest_columns(cost: np.ndarray, tie: np.ndarray, k: int) -> tuple[np.ndar
     return rows[place < k], cols[place < k]
 
 
-def _fits(df: DataFrame, rows: int, width: int, limit: int) -> bool:
+def fits(rows: int, width: int, limit: int = HELD_BYTES) -> bool:
+    """Whether that many vectors stay within a byte limit."""
     return rows * width * 8 <= limit
 
 
@@ -121,7 +122,8 @@ def block_grid(
     lefts = left.withColumn("_lb", left_block.cast("int")).withColumn(
         "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)))
     )
-    rights = right.withColumn("_rb", right_block.cast("int")).withColumn(
+    # Fresh column identities: both sides may stem from one table.
+    rights = right.select(*[F.col(c).alias(c) for c in right.columns]).withColumn("_rb", right_block.cast("int")).withColumn(
         "_lb", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)))
     )
 
@@ -159,9 +161,9 @@ def all_against_all(
     row gets one partial result per block and the caller merges.
     """
     n_left, n_right = counts or (left.count(), right.count())
-    if _fits(right, n_right, width, held_bytes):
+    if fits(n_right, width, held_bytes):
         return against_held(left, right, kernel, schema)
-    if cut is not None and _fits(left, n_left, width, held_bytes):
+    if cut is not None and fits(n_left, width, held_bytes):
         return against_held(right, left, lambda batch, held: kernel(held, batch), schema, cut)
     rows, cols = block_count(n_left, block_rows), block_count(n_right, block_rows)
     return block_grid(

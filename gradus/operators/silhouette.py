@@ -70,7 +70,7 @@ def silhouette_points(
     sizes = points.groupBy("label").agg(F.count("*").alias("size"))
     n = points.count()
     others = points.join(sizes, "label")
-    if n * width * 8 <= held_bytes:
+    if blocks.fits(n, width, held_bytes):
         sums = blocks.against_held(points, others.withColumn("whole", F.lit(True)), _distance_sums, _PARTIAL)
         merged = sums.select("key", F.col("own").alias("label"), "a", "b")
     else:

@@ -53,7 +53,7 @@ class Level:
 
 
 def level_means(obs: DataFrame, value: str, levels: list[Level], fine: str) -> dict[str, DataFrame]:
-    """Mean per level, keyed ``grain, source``; the observations are shuffled once.
+    """Table per grain with the mean of level i in ``_level{i}``; the observations are shuffled once.
 
     Conditional sums and counts of every level are taken per fine grain in one pass with
     map-side combining; coarser grains add those up. ``fine`` must determine each grain.
@@ -72,8 +72,8 @@ def level_means(obs: DataFrame, value: str, levels: list[Level], fine: str) -> d
         sums = [F.sum(f"{c}{i}").alias(f"{c}{i}") for i, _ in mine for c in "sn"]
         rolled = rolled.groupBy(grain).agg(*sums)
         means = [
-            F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).alias(level.source)
-            for i, level in mine
+            F.when(F.col(f"n{i}") > 0, F.col(f"s{i}") / F.col(f"n{i}")).alias(f"_level{i}")
+            for i, _ in mine
         ]
         out[grain] = rolled.select(grain, *means)
     return out
@@ -93,16 +93,16 @@ def fallback_with_provenance(
     means = level_means(obs, value, levels, fine)
     joined = entities
     for key, grain in dict.fromkeys((level.key, level.grain) for level in levels):
-        right = means[grain].select(
-            F.col(grain).alias("_k"), *[l.source for l in levels if (l.key, l.grain) == (key, grain)]
-        )
+        mine = [f"_level{i}" for i, l in enumerate(levels) if (l.key, l.grain) == (key, grain)]
+        right = means[grain].select(F.col(grain).alias("_k"), *mine)
         joined = joined.join(right, joined[key] == right["_k"], "left").drop("_k")
+    columns = [f"_level{i}" for i in range(len(levels))]
     source = F
-    for level in levels:
-        source = source.when(F.col(level.source).isNotNull(), F.lit(level.source))
+    for column, level in zip(columns, levels):
+        source = source.when(F.col(column).isNotNull(), F.lit(level.source))
     return joined.withColumns(
-        {out: F.coalesce(*[F.col(l.source) for l in levels]), out_source: source.otherwise(F.lit(missing))}
-    ).drop(*[l.source for l in levels])
+        {out: F.coalesce(*columns), out_source: source.otherwise(F.lit(missing))}
+    ).drop(*columns)
 
 
 def patch(df: DataFrame, overrides: DataFrame, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
