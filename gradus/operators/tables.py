@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.session import cut_lineage
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in the given order.
@@ -65,6 +67,9 @@ def level_means(obs: DataFrame, value: str, levels: list[Level], fine: str) -> d
         hit = F.when(F.coalesce(level.where, F.lit(False)), v)
         aggs += [F.sum(hit).alias(f"s{i}"), F.count(hit).alias(f"n{i}")]
     base = obs.where(v.isNotNull() & ~F.isnan(v)).groupBy(*grains).agg(*aggs)
+    if len(grains) > 1:
+        # Several roll-ups read this; column pruning would otherwise give each its own scan.
+        base = cut_lineage(base)
     out = {}
     for grain in dict.fromkeys(level.grain for level in levels):
         mine = [(i, level) for i, level in enumerate(levels) if level.grain == grain]
