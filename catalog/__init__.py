@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["etl", "advice"]
+_PARTS = ["etl", "advice", "groups", "texts"]
 
 
 def _merged(attribute: str) -> dict:

@@ -23,10 +23,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def divided(v: Column, by: Column) -> Column:
-    """Every element over ``by``; a zero divisor leaves the vector as it is."""
-    safe = F.when(by == 0, F.lit(1.0)).otherwise(by)
-    return F.transform(v, lambda x: x / safe)
+def unit(v: Column) -> Column:
+    """The vector at length one; a zero vector stays as it is.
+
+    The length is bound once by the aggregate's last step. Naming it in a lambda as a
+    column would have it worked out again for every element.
+    """
+    def scaled(squares: Column) -> Column:
+        return F.transform(v, lambda x: x / F.when(squares == 0, 1.0).otherwise(F.sqrt(squares)))
+
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x, scaled)
+
+
+def shares(v: Column) -> Column:
+    """Elements over their sum; a zero sum leaves them as they are."""
+    def scaled(total_: Column) -> Column:
+        return F.transform(v, lambda x: x / F.when(total_ == 0, 1.0).otherwise(total_))
+
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x, scaled)
 
 
 def entropy(p: Column) -> Column:

@@ -83,10 +83,5 @@ def blend_with_pay(
         scaled = F.coalesce((usable - low) / (high - low), F.lit(0.0))
     strength = scaled if proportional else F.when(scaled > 0, 1.0).otherwise(0.0)
     shift = strength * (blend / math.sqrt(width))
-    mixed = F.transform(vec, lambda x: x * (1 - blend) + shift)
-    return (
-        df.withColumn("_mixed", mixed)
-        .withColumn("_norm", vectors.norm(F.col("_mixed")))
-        .withColumn(out, vectors.divided(F.col("_mixed"), F.col("_norm")))
-        .drop("_mixed", "_norm")
-    )
+    mixed = F.zip_with(vec, F.array_repeat(shift, width), lambda x, s: x * (1 - blend) + s)
+    return df.withColumn("_mixed", mixed).withColumn(out, vectors.unit(F.col("_mixed"))).drop("_mixed")

@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradus import fixed
 from gradus.functions import text
+from gradus.functions.vectors import unit
 from gradus.operators import blocks
 
 N_TOPICS = 8
@@ -25,7 +26,8 @@ N_TERMS = 300
 
 def term_counts(docs: DataFrame, column: str, terms: str = "terms") -> DataFrame:
     """Corpus frequency of every single word and word pair."""
-    listed = docs.select(F.explode(text.uni_and_bigrams(text.topic_tokens(F.col(column)))).alias("term"))
+    tokens = docs.select(text.topic_tokens(F.col(column)).alias("_tokens"))
+    listed = tokens.select(F.explode(text.uni_and_bigrams(F.col("_tokens"))).alias("term"))
     return listed.groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -37,9 +39,11 @@ def vocabulary(docs: DataFrame, column: str, size: int = N_TERMS) -> list[str]:
 
 def count_vectors(docs: DataFrame, column: str, vocab: list[str], out: str = "counts") -> DataFrame:
     """Sparse term counts over a fixed vocabulary, counted within each row."""
-    terms = docs.withColumn("_terms", text.uni_and_bigrams(text.topic_tokens(F.col(column))))
+    # Tokens in a column of their own: as an expression they would be worked out at every use.
+    tokens = docs.withColumn("_tokens", text.topic_tokens(F.col(column)))
+    terms = tokens.withColumn("_terms", text.uni_and_bigrams(F.col("_tokens")))
     model = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol=out)
-    return model.transform(terms).drop("_terms")
+    return model.transform(terms).drop("_tokens", "_terms")
 
 
 @dataclass
@@ -59,13 +63,7 @@ class TermWeights:
         raw = F.zip_with(
             vector_to_array(counts), idf, lambda x, w: F.when(x > 0, (1 + F.ln(x)) * w).otherwise(F.lit(0.0))
         )
-        length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-        return (
-            counted.withColumn("_raw", raw)
-            .withColumn("_len", length)
-            .withColumn(out, F.transform("_raw", lambda x: x / F.when(F.col("_len") == 0, 1.0).otherwise(F.col("_len"))))
-            .drop("_raw", "_len")
-        )
+        return counted.withColumn("_raw", raw).withColumn(out, unit(F.col("_raw"))).drop("_raw")
 
 
 def long_weights(weighted: DataFrame, key: str, vocab: list[str], weights: str = "weights") -> DataFrame:
@@ -95,9 +93,7 @@ def lda_weights(model, counted: DataFrame, out: str = "lda_weights") -> DataFram
 
 def lda_terms(model, vocab: list[str], n: int = 10) -> DataFrame:
     """``topic_id, rank, term, weight`` of the n heaviest terms of every topic."""
-    spark = model._java_obj and model.describeTopics(1).sparkSession
-    matrix = model.topicsMatrix().toArray().T
-    return top_terms(spark, matrix, vocab, n)
+    return top_terms(SparkSession.active(), model.topicsMatrix().toArray().T, vocab, n)
 
 
 # -- Non-negative factorisation ----------------------------------------------
