@@ -126,7 +126,8 @@ def classify_text(spark, sf):
             F.when(F.col("p_size") % 3 == 0, ", Certificate").otherwise(""),
         ),
     )
-    return table(spark, sf, "part").select("p_partkey", text.credential_type(credential).alias("program_type"))
+    named = table(spark, sf, "part").withColumn("credential", credential)
+    return named.select("p_partkey", text.credential_type(F.col("credential")).alias("program_type"))
 
 
 def union_sources_mapped(spark, sf):

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradus.session import spread
+
 VECTOR_WIDTH = 64
+# Tables whose rows cost far more work than their bytes suggest.
+TEXT_TABLES = {"documents"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

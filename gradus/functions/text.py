@@ -93,23 +93,26 @@ def _member(word: Column, listed: list[str]) -> Column:
     return word.isin(listed)
 
 
+def longest_first(array: Column) -> Column:
+    """Strings by falling length, equal lengths in alphabetical order."""
+    keyed = F.transform(array, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))
+    return F.transform(F.sort_array(keyed), lambda s: s["w"])
+
+
 def skill_words(col: Column, stopwords: list[str] = fixed.GAP_STOPWORDS) -> Column:
-    """Distinct words that can name a skill: longer than four letters and only letters."""
-    return F.filter(
+    """Distinct words that can name a skill, longest first: more than four letters, only
+    letters."""
+    kept = F.filter(
         words(col),
         lambda w: (F.length(w) > 4) & w.rlike(ALPHABETIC) & ~_member(w, stopwords),
     )
-
-
-def longest(array: Column, n: int) -> Column:
-    """The n longest strings; equal lengths in alphabetical order."""
-    keyed = F.transform(array, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda s: s["w"])
+    return longest_first(kept)
 
 
 def skill_gap(source_words: Column, target_skill_words: Column, n: int = 6) -> Column:
-    """Longest target skill words the source text does not contain."""
-    return longest(F.array_except(target_skill_words, source_words), n)
+    """The longest target skill words the source text does not contain; the target words
+    come sorted, and the difference keeps their order."""
+    return F.slice(F.array_except(target_skill_words, source_words), 1, n)
 
 
 def topic_tokens(

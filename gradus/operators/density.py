@@ -55,7 +55,7 @@ def core_distances(points: DataFrame, width: int, min_samples: int, count_self:
     found = blocks.all_against_all(points, points, "key", "key", width, kernel, "key BIGINT, distance DOUBLE", **limits)
     # At most k distances per row and block.
     return found.groupBy("key").agg(
-        F.get(F.array_sort(F.collect_list("distance")), F.least(F.lit(k), F.count("*").cast("int")) - 1).alias("core")
+        F.get(F.sort_array(F.collect_list("distance")), F.least(F.lit(k), F.count("*").cast("int")) - 1).alias("core")
     )
 
 

@@ -71,7 +71,7 @@ def pages(
     entry = F.struct(F.col("_r"), item.alias("v"))
     return (
         ranked.groupBy(*keys, F.floor(F.col("_r") / page_size).cast("int").alias("page"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("_items"))
         .select(*keys, "page", F.transform("_items", lambda s: s["v"]).alias(out))
     )
 

@@ -57,7 +57,7 @@ def _partial(key, own, a, b, grp, total) -> pa.Table:
 
 def silhouette_points(
     df: DataFrame, key: str, vec: str, label: str, width: int, noise: int = -1,
-    held_bytes: int = blocks.HELD_BYTES, block_rows: int = blocks.BLOCK_ROWS,
+    held_bytes: int = blocks.HELD_BYTES, block_rows: int = blocks.BLOCK_ROWS, n: int | None = None,
 ) -> DataFrame:
     """Silhouette of every row that is not noise: ``key, label, a, b, silhouette``.
 
@@ -68,7 +68,7 @@ def silhouette_points(
         F.col(key).alias("key"), F.col(label).cast("bigint").alias("label"), F.col(vec).alias("vec")
     )
     sizes = points.groupBy("label").agg(F.count("*").alias("size"))
-    n = points.count()
+    n = points.count() if n is None else n
     others = points.join(sizes, "label")
     if blocks.fits(n, width, held_bytes):
         sums = blocks.against_held(points, others.withColumn("whole", F.lit(True)), _distance_sums, _PARTIAL)
@@ -112,5 +112,5 @@ def silhouette_score(df: DataFrame, key: str, vec: str, label: str, width: int,
     shape = df.where(F.col(label) != noise).agg(F.count("*"), F.countDistinct(label)).first()
     if shape[0] < 4 or shape[1] < 2:
         return -1.0
-    points = silhouette_points(df, key, vec, label, width, noise, **limits)
+    points = silhouette_points(df, key, vec, label, width, noise, n=shape[0], **limits)
     return round(points.agg(F.avg("silhouette")).first()[0], 4)

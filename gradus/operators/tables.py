@@ -39,7 +39,7 @@ def ordered_distinct_concat(
     firsts = df.dropna(subset=keys).groupBy(*keys, value).agg(F.min(ordinal).alias("_o"))
     item = F.when(F.col(value).isNotNull(), F.struct("_o", F.col(value).alias("v")))
     return firsts.groupBy(*keys).agg(
-        F.concat_ws(sep, F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"])).alias(out)
+        F.concat_ws(sep, F.transform(F.sort_array(F.collect_list(item)), lambda s: s["v"])).alias(out)
     )
 
 

@@ -70,7 +70,7 @@ def long_weights(weighted: DataFrame, key: str, vocab: list[str], weights: str =
     """Non-zero term weights as ``key, term, weight``."""
     terms = F.array(*[F.lit(t) for t in vocab])
     return (
-        weighted.select(key, F.posexplode(weights).alias("_i", "weight"))
+        weighted.select(key, F.posexplode_outer(weights).alias("_i", "weight"))
         .where("weight > 0")
         .select(key, F.get(terms, F.col("_i")).alias("term"), "weight")
     )
@@ -265,7 +265,7 @@ def top_topics(weights, labels: dict[int, str] = fixed.TOPIC_LABELS, k: int = 3,
     names = F.array(*[F.lit(labels[i]) for i in sorted(labels)])
     keyed = F.transform(column, lambda w, i: F.struct((-w).alias("w"), (-i).alias("i")))
     return F.transform(
-        F.slice(F.array_sort(keyed), 1, k),
+        F.slice(F.sort_array(keyed), 1, k),
         lambda s: F.struct(
             (-s["i"]).alias("topic_id"),
             F.coalesce(F.get(names, -s["i"]), F.concat(F.lit("Topic "), (-s["i"]).cast("string"))).alias("label"),

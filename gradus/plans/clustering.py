@@ -118,7 +118,7 @@ def clustering_meta(result: Clustering, encoder_name: str, width: int, blend: fl
     methods = result.scores.agg(F.map_from_entries(F.collect_list(F.struct("method", info))).alias("methods"))
     hint = result.hints.agg(F.map_from_entries(F.collect_list(F.struct("use", "method"))).alias("best_method_hints"))
     order = choose.ranked_methods(result.scores).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "method"))), lambda s: s["method"]).alias("silhouette_ranking")
+        F.transform(F.sort_array(F.collect_list(F.struct("place", "method"))), lambda s: s["method"]).alias("silhouette_ranking")
     )
     one = F.lit(1).alias("_one")
     tables = [t.select("*", one) for t in (n, methods, hint, order)]

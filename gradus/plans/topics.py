@@ -61,7 +61,7 @@ def topic_meta(result: Topics, method: str, labels: dict[int, str] = fixed.TOPIC
     out = None
     for model, terms in parts:
         listed = terms.groupBy("topic_id").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("top_words")
+            F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("top_words")
         )
         listed = listed.select(F.lit(model).alias("model"), "topic_id", F.try_element_at(names, "topic_id").alias("label"), "top_words")
         out = listed if out is None else out.unionByName(listed)
