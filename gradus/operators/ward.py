@@ -22,7 +22,7 @@ from gradus.session import cut_lineage
 
 _NEAREST = "node BIGINT, other BIGINT, cost DOUBLE"
 _MERGES = "left BIGINT, right BIGINT, distance DOUBLE, size BIGINT"
-FEW = 512
+FEW = 1024
 
 
 def _nearest(groups: pa.Table, others: pa.Table) -> pa.Table:
@@ -51,25 +51,33 @@ def _nearest(groups: pa.Table, others: pa.Table) -> pa.Table:
 
 
 def _finish(groups: pd.DataFrame) -> pd.DataFrame:
-    """Remaining merges of a small number of groups, cheapest first."""
+    """Remaining merges of a small number of groups: follow nearest neighbours until two
+    groups are each other's nearest, merge them, go on from where the chain was."""
     groups = groups.sort_values("node").reset_index(drop=True)
     node, size = groups["node"].to_numpy(np.int64), groups["size"].to_numpy(float)
     center = np.stack(groups["vec"].to_numpy()) if len(groups) else np.zeros((0, 1))
-    squares = ((center[:, None, :] - center[None, :, :]) ** 2).sum(2)
-    cost = size[:, None] * size[None, :] / (size[:, None] + size[None, :]) * squares
-    np.fill_diagonal(cost, np.inf)
-    rows = []
+    alive = np.ones(len(node), dtype=bool)
+    rows, chain = [], []
     for _ in range(len(node) - 1):
-        i, j = divmod(int(np.argmin(cost)), len(node))
-        i, j = min(i, j), max(i, j)
-        rows.append((node[i], node[j], np.sqrt(2 * cost[i, j]), int(size[i] + size[j])))
-        center[i] = (size[i] * center[i] + size[j] * center[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        cost[j, :] = cost[:, j] = np.inf
-        alive = np.isfinite(cost[i])
-        alive[i] = False
-        d = ((center[alive] - center[i]) ** 2).sum(1)
-        cost[i, alive] = cost[alive, i] = size[i] * size[alive] / (size[i] + size[alive]) * d
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        while True:
+            i = chain[-1]
+            diff = center - center[i]
+            cost = size * size[i] / (size + size[i]) * np.einsum("ij,ij->i", diff, diff)
+            cost[~alive] = np.inf
+            cost[i] = np.inf
+            j = int(np.argmin(cost))
+            if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        a, b = min(i, j), max(i, j)
+        rows.append((node[a], node[b], np.sqrt(2 * cost[j]), int(size[a] + size[b])))
+        center[a] = (size[a] * center[a] + size[b] * center[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        alive[b] = False
     return pd.DataFrame(rows, columns=["left", "right", "distance", "size"])
 
 
