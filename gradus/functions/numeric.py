@@ -27,6 +27,8 @@ def tier(wage: Column, tiers: list[tuple[float | None, str]] = fixed.TIERS) -> C
 
 def lookup(key: Column, table: dict, default=None) -> Column:
     """Value of a small fixed table."""
+    if not table:
+        return F.lit(default)
     out = F
     for k, v in table.items():
         out = out.when(key == F.lit(k), F.lit(v))

@@ -45,7 +45,7 @@ def with_links(sheet: DataFrame, url: str = "url") -> DataFrame:
 
 def read_code_map(spark: SparkSession, path: str, key: str = "employer_name", codes: str = "soc_codes") -> DataFrame:
     """A JSON document ``{name: [codes]}`` as one row per name."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "map<string,array<string>>")
     return text.select(F.explode(parsed).alias(key, codes))
 
