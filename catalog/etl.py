@@ -209,7 +209,8 @@ def expand_codes_dedup(spark, sf):
         .when(key % 7 == 2, F.lit('["9","3","3"]'))
         .otherwise(F.concat(F.lit('["'), (F.col("c_nationkey") % 6).cast("string"), F.lit('","8"]')))
     )
-    mapping = customer.where(key % 5 != 0).select(
+    # Customers in debt were never mapped.
+    mapping = customer.where("c_acctbal >= 0").select(
         F.col("c_name").alias("employer_name"), text.parse_codes(raw, valid).alias("soc_codes")
     )
     expanded = tables.expand_codes(
@@ -391,7 +392,7 @@ SQL = {
         with valid as (select unnest(['0', '1', '2', '3', '4']) soc_code),
         own as (
           select c_custkey, unnest(case
-            when c_mktsegment = 'BUILDING' or c_custkey % 5 = 0 or c_custkey % 7 in (0, 1)
+            when c_mktsegment = 'BUILDING' or c_acctbal < 0 or c_custkey % 7 in (0, 1)
                  or (c_custkey % 7 > 2 and c_nationkey % 6 = 5) then ['0', '1', '2', '3', '4']
             when c_custkey % 7 = 2 then ['3'] else [(c_nationkey % 6)::varchar] end) soc_code from customer),
         u as (

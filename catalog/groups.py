@@ -181,7 +181,7 @@ SQL = {
     "galaxy_layout": f"""with {_P},
         i as (select *, row_number() over (order by label, id) - 1 k, count(*) over () n from p),
         g as (select *, k / n::double * (2 * pi()) t, 2 + w / 120000 * 3 r from i)
-        select id::varchar soc_code, round(cos(t) * r, 2) x, round(sin(t) * r, 2) y, round(8 + w / 120000 * 8, 6) r,
+        select id::varchar soc_code, round(cos(t) * r, 2) + 0.0 x, round(sin(t) * r, 2) + 0.0 y, round(8 + w / 120000 * 8, 6) r,
                id in (select doc_id from labels where quality = 1) is_recommended, id = 7 is_current from g""",
     "core_distance": f"""with {_P},
         d as (select a.id i, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) d

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 
 HELD_BYTES = 16 << 20
-BLOCK_ROWS = 20_000
+BLOCK_BYTES = 64 << 20
 CHUNK_CELLS = 4_000_000
 
 
@@ -83,6 +83,11 @@ def fits(rows: int, width: int, limit: int = HELD_BYTES) -> bool:
     return rows * width * 8 <= limit
 
 
+def rows_per_block(width: int, block_rows: int | None = None) -> int:
+    """Rows whose vectors fill one block, unless a number is given."""
+    return block_rows or max(1, BLOCK_BYTES // (8 * width))
+
+
 def block_count(rows: int, block_rows: int) -> int:
     return max(1, math.ceil(rows / block_rows))
 
@@ -150,7 +155,7 @@ def all_against_all(
     kernel: Kernel,
     schema: str,
     held_bytes: int = HELD_BYTES,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     cut=None,
     counts: tuple[int, int] | None = None,
 ) -> DataFrame:
@@ -165,7 +170,8 @@ def all_against_all(
         return against_held(left, right, kernel, schema)
     if cut is not None and fits(n_left, width, held_bytes):
         return against_held(right, left, lambda batch, held: kernel(held, batch), schema, cut)
-    rows, cols = block_count(n_left, block_rows), block_count(n_right, block_rows)
+    per_block = rows_per_block(width, block_rows)
+    rows, cols = block_count(n_left, per_block), block_count(n_right, per_block)
     return block_grid(
         left, right, hash_block(left_key, rows), hash_block(right_key, cols), rows, cols, kernel, schema
     )

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from gradus.operators.kmeans import KS
 from gradus.operators.ranking import relabel_by_median
 from gradus.operators.silhouette import silhouette_score
 
+FAN = 64
+
 
 @dataclass
 class Mixture:
@@ -62,10 +65,11 @@ def _nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return r
 
 
-def _sums(points: DataFrame, states: dict, shift: np.ndarray, fan: int = 64) -> dict:
+def _sums(points: DataFrame, states: dict, shift: np.ndarray, fan: int | None) -> dict:
     """Per state: log likelihood, component weights, first and second moments about ``shift``.
 
-    A state is a mixture, or bare centers for hard first assignments.
+    A state is a mixture, or bare centers for hard first assignments. With ``fan`` the sums
+    of the tasks meet in that many groups per state first, so that the driver adds few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +106,7 @@ def _sums(points: DataFrame, states: dict, shift: np.ndarray, fan: int = 64) ->
             {"state": table["state"][:1].cast(pa.int32()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))}
         )
 
-    # Task sums meet in `fan` groups per state first, so the driver adds a fixed number of them.
-    if points.rdd.getNumPartitions() > fan:
+    if fan is not None:
         partial = (
             partial.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(fan)))
             .groupBy("state", "_g")
@@ -137,12 +140,12 @@ def fit_mixtures(
     Returns the mixture and mean log likelihood per start; a start whose covariance cannot
     be factored is left out.
     """
-    mean = points.select([F.avg(F.get("vec", F.lit(i))).alias(str(i)) for i in range(width)]).first()
-    shift = np.asarray(mean, dtype=float)
+    shift = points.select(Summarizer.mean(array_to_vector("vec"))).first()[0].toArray()
+    fan = FAN if points.rdd.getNumPartitions() > FAN else None
     current: dict = dict(starts)
     fitted, last = {}, {}
     for iteration in range(max_iter + 1):
-        sums = _sums(points, current, shift)
+        sums = _sums(points, current, shift, fan)
         following = {}
         for name, state in current.items():
             bound = sums[name][0] / n

@@ -57,11 +57,11 @@ def _partial(key, own, a, b, grp, total) -> pa.Table:
 
 def silhouette_points(
     df: DataFrame, key: str, vec: str, label: str, width: int, noise: int = -1,
-    held_bytes: int = blocks.HELD_BYTES, block_rows: int = blocks.BLOCK_ROWS, n: int | None = None,
+    held_bytes: int = blocks.HELD_BYTES, block_rows: int | None = None, n: int | None = None,
 ) -> DataFrame:
     """Silhouette of every row that is not noise: ``key, label, a, b, silhouette``.
 
-    A group of at most ``block_rows`` rows stays in one block and leaves only its mean; a
+    A group of at most a block's rows stays in one block and leaves only its mean; a
     larger one is spread over blocks by row hash and its distance sums are added up.
     """
     points = df.where(F.col(label) != noise).select(
@@ -74,6 +74,7 @@ def silhouette_points(
         sums = blocks.against_held(points, others.withColumn("whole", F.lit(True)), _distance_sums, _PARTIAL)
         merged = sums.select("key", F.col("own").alias("label"), "a", "b")
     else:
+        block_rows = blocks.rows_per_block(width, block_rows)
         n_blocks = blocks.block_count(n, block_rows)
         pieces = F.ceil(F.col("size") / block_rows)
         others = others.withColumn("whole", pieces == 1)

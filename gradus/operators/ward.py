@@ -83,7 +83,7 @@ def _finish(groups: pd.DataFrame) -> pd.DataFrame:
 
 def ward_merges(
     df: DataFrame, key: str, vec: str, width: int, few: int = FEW,
-    held_bytes: int = blocks.HELD_BYTES, block_rows: int = blocks.BLOCK_ROWS,
+    held_bytes: int = blocks.HELD_BYTES, block_rows: int | None = None,
 ) -> DataFrame:
     """Merge table ``left, right, distance, size``: two groups, each named by its lowest
     member, the height of the merge and the size after it."""
