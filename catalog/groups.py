@@ -100,7 +100,7 @@ def ward_sweep(spark, sf):
 
 
 def ward_merges(spark, sf):
-    merges = ward.ward_merges(_features(spark, sf), "id", "feature", VECTOR_WIDTH, few=128)
+    merges = ward.ward_merges(_features(spark, sf), "id", "feature", VECTOR_WIDTH)
     return merges.withColumn("distance", F.round("distance", 6))
 
 

@@ -232,17 +232,27 @@ def fit_nmf(
     return Factors(h, l1_w, l2_w, errors[-1], errors)
 
 
-def nmf_weights(factors: Factors, weighted: DataFrame, weights: str = "weights", out: str = "nmf_weights", sweeps: int = 20) -> DataFrame:
-    """Topic weights of every row, scaled to sum to one; rows without any stay zero."""
-
-    @F.pandas_udf("array<double>")
-    def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            w = _solve_rows(np.stack(rows.to_numpy()), factors.h, factors.l1_w, factors.l2_w, sweeps)
+def nmf_weights(
+    factors: Factors, weighted: DataFrame, keep: list[str], weights: str = "weights", out: str = "nmf_weights",
+    sweeps: int = 20,
+) -> DataFrame:
+    """Columns ``keep`` and the topic weights of every row, scaled to sum to one; rows
+    without any stay zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            x = blocks.matrix(pa.Table.from_batches([b]).column(len(keep)))
+            w = _solve_rows(x, factors.h, factors.l1_w, factors.l2_w, sweeps)
             sums = w.sum(1, keepdims=True)
-            yield pd.Series(list(w / np.where(sums == 0, 1.0, sums)), index=rows.index)
+            shares = w / np.where(sums == 0, 1.0, sums)
+            solved = pa.array(shares.tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], solved], names=[*keep, out])
 
-    return weighted.withColumn(out, solve(F.col(weights)))
+    rows = weighted.select(*keep, weights)
+    kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
+    return rows.mapInArrow(run, f"{kept}, {out} ARRAY<DOUBLE>")
 
 
 # -- Reading topics ----------------------------------------------------------

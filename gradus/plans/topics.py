@@ -45,7 +45,8 @@ def run_topics(
         factors = topics.fit_nmf(cut_lineage(weighter.apply(counted).select("weights")), k=n_topics)
         out.nmf_terms = topics.top_terms(spark, factors.h, vocab)
         out.nmf_error = factors.error
-        profiled = topics.nmf_weights(factors, weighter.apply(profiled))
+        carried = [*keys, *(["lda_weights"] if method == "both" else [])]
+        profiled = topics.nmf_weights(factors, weighter.apply(profiled), carried)
     if method == "both":
         out.profiles = profiled.select(
             *keys, topics.top_topics("lda_weights", labels).alias("lda_topics"),
