@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.tables import VECTOR_WIDTH, described, entities, table, with_groupings
 from gradus.functions import numeric, text, vectors
-from gradus.operators import features, ranking, similarity
+from gradus.operators import features, similarity
 from gradus.plans import recommend as plans
 
 METHOD_OF = {"progress": "kmeans", "pivot": "gmm", "field_change": "agglomerative", "skill_match": "hdbscan"}
@@ -181,6 +181,23 @@ def recommend_from_text(spark, sf):
     )
 
 
+def recommend_from_vectors(spark, sf):
+    """The free-text plan on given vectors: every description asks, with reversed vectors."""
+    docs = described(spark, sf)
+    requests = docs.select(
+        F.col("id").alias("query_id"), F.col("text").alias("skills_text"), F.lit(3).alias("top_n"),
+        F.when(F.col("label") < 5, F.col("wage") + 20_000).alias("user_current_wage"),
+        F.when(F.col("label") >= 7, 100_000.0).alias("target_min_wage"), F.reverse("vec").alias("vec"),
+    )
+    valid, _ = plans.split_requests(requests, "from_text")
+    out = plans.recommend_from_text(valid, _occupations(docs), METHOD_OF, VECTOR_WIDTH)
+    return out.select(
+        "query_id", "status", "rank", "target_soc", "skill_gap_pct", "wage_source", "cluster_method_used",
+        F.col("closest_soc_match.soc_code").alias("closest"), F.length("skills_text_preview").alias("preview_length"),
+        F.array_join("skills_to_acquire", ",").alias("skills"), F.col("roi.breakeven_months").alias("breakeven_months"),
+    )
+
+
 def entity_detail(spark, sf):
     """Detail page of every described occupation with a preview of its text."""
     occ = _occupations(described(spark, sf))
@@ -196,7 +213,7 @@ QUERIES = {
     for f in (
         recommend_progress, recommend_pivot, recommend_field_change, membership_entropy, cosine_to_neighbour,
         knn_graph, wage_blend_features, closest_topk, skill_gap_words, request_validation,
-        text_request_validation, pathway_assembly, recommend_from_text, entity_detail,
+        text_request_validation, pathway_assembly, recommend_from_text, recommend_from_vectors, entity_detail,
     )
 }
 
@@ -332,6 +349,19 @@ SQL = {
                round_even((bw - ew) * 5 - 5000, 0) five_year_net_gain,
                case when tgt is not null then coalesce(prog.x, '') end programs, case when tgt is not null then coalesce(emp.x, '') end employers
         from res left join prog on prog.k = tgt left join emp on emp.k = tgt""",
+    "recommend_from_vectors": f"""with {_P},
+        o as (select p.*, text from p join documents on doc_id = id),
+        q as (select id, list_reverse(e) e, text, case when label < 5 then w + 20000 end uw,
+                     case when label >= 7 then 100000 end mw from o where length(text) >= 10 and trim(text) <> ''),
+        s as (select a.id query_id, b.id tgt, {_COS} sim, b.w bw from q a join o b on a.mw is null or b.w >= a.mw),
+        top as (select * from (select *, row_number() over (partition by query_id order by round(sim, 9) desc, tgt) rk from s) where rk <= 3),
+        words as (select id, {_words("text")} s, {_skill_words("text")} t from o)
+        select query_id, 'ok' status, rk::int as rank, tgt::varchar target_soc, round_even((1 - sim) * 100, 1) skill_gap_pct,
+               case when uw is null then 'default ($45,000)' else 'user-reported' end wage_source, 'hdbscan' cluster_method_used,
+               first_value(tgt) over (partition by query_id order by rk)::varchar closest,
+               least(length(q.text), 200)::int preview_length, {_gap("s.s", "t.t")} skills,
+               case when bw > coalesce(uw, 45000) then round_even(5000 / ((bw - coalesce(uw, 45000)) / 12), 1) end breakeven_months
+        from top join q on q.id = query_id join words s on s.id = query_id join words t on t.id = tgt""",
     "entity_detail": f"""with {_P}
         select id::varchar soc_code, o_orderpriority occ_title, round(w, 4) median_wage_me,
                case when w < 55000 then 'Tier 1 — Entry/Support' when w < 80000 then 'Tier 2 — Technical Core'

@@ -49,7 +49,8 @@ def average_outside(wages: DataFrame, codes: Sequence[str], excluded: Sequence[s
     )
 
 
-def described_text(rows: DataFrame, code: str, value: str, keep: DataFrame | None = None, out: str = "text") -> DataFrame:
+def described_text(rows: DataFrame, code: str, value: str, out: str) -> DataFrame:
+    """Distinct values of every cleaned code as one text."""
     cleaned = rows.withColumn("soc_code", text.clean_code(F.col(code)))
     return tables.ordered_distinct_concat(cleaned, ["soc_code"], value, "ordinal", out)
 

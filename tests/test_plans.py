@@ -75,6 +75,10 @@ def test_recommend(spark, occ):
     for q in {r["query_id"] for r in hot}:
         listed = sorted((r["page"], [p["program_name"] for p in r["training_programs"]]) for r in hot if r["query_id"] == q)
         assert [x for _, xs in listed for x in xs] == [f"P{i}" for i in range(5)]
+    card = recommend.cards(out).where("query_id = 1 AND rank = 1").first()
+    best = [r for r in by(1) if r["rank"] == 1 and r["page"] == 0][0]
+    assert card["wage_from"] == "$55k" and card["skills"] == best["skills_to_acquire"][:5] and len(card["programs"]) <= 3
+    assert card["uplift_pct"] == round((best["target_median_wage"] / 55000 - 1) * 100)
     docs = recommend.responses(out, ["soc_code", "mode"], {"encoder": "none"}).where("query_id = 1 AND page = 0").collect()
     assert [p["rank"] for p in docs[0]["pathways"]] == [1, 2, 3] and docs[0]["metadata"] == {"encoder": "none"}
 
