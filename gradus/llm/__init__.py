@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["simhash"]
+_PARTS = ["simhash", "repeats"]
 
 
 def _merged(attribute: str) -> dict:
