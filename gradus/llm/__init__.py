@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["quality", "repeats", "simhash"]
+_PARTS = ["sharding", "quality", "repeats", "simhash"]
 
 
 def _merged(attribute: str) -> dict:
