@@ -102,7 +102,7 @@ def anchors(data: np.ndarray, at: np.ndarray, scale: Scale) -> tuple[np.ndarray,
     return tuple(np.concatenate(parts) for parts in zip(*out))
 
 
-_KEPT = [("low", "<u8", 5), ("o", "<i8", 8), ("part", "<i8", 8), ("place", "<i4", 4), ("count", "u1", 1), ("hot", "u1", 1)]
+_KEPT = [("low", "<u8", 4), ("o", "<i8", 8), ("part", "<i8", 8), ("place", "<i4", 4), ("count", "u1", 1), ("hot", "u1", 1)]
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
@@ -170,7 +170,7 @@ def _ask(scale: Scale, buckets: int):
         bucket = ((h >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
         home = bucket.astype(np.int64)
         home[passing] = (o[passing] + place[passing]) % buckets  # may wait anywhere
-        low = h & np.uint64((1 << 40) - 1)
+        low = h & np.uint64((1 << 32) - 1)  # enough to tell apart the anchors of one bucket
         columns = {"low": low, "o": o, "part": part, "place": place, "count": count, "hot": frequent.astype(np.uint8)}
         sent = np.lexsort((np.arange(len(h)), bucket, passing, home))
         # rows that pass are sent apart, by the bucket they belong to
@@ -218,7 +218,7 @@ def _answer(scale: Scale):
         return pa.RecordBatch.from_arrays(arrays, names=["_o", "_part", "cell", "place"])
 
     def cells(bucket: int, low: np.ndarray) -> np.ndarray:
-        return (np.uint64(bucket << 40) | low).view(np.int64)
+        return (np.uint64(bucket << 32) | low).view(np.int64)
 
     def settle(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
@@ -274,6 +274,10 @@ def _deal(scale: Scale):
     window to cells of the windows' own hashes. Of equal pieces in the stretch of text at hand only those of the first
     document are sent; the others are found to be repeats right here."""
 
+    def rows(cell, o, part, place, count, body) -> pa.RecordBatch:
+        arrays = [pa.array(v) for v in (cell, o, part, place.astype(np.int32), count.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*arrays, body], names=["cell", "_o", "_part", "place", "count", "body"])
+
     def sent(data, cell, o, part, place, start, count) -> Iterator[pa.RecordBatch]:
         first, last = (_words_at(data, s, scale.length) for s in (start, start + count - 1))
         body = np.zeros(len(start), np.uint64)
@@ -285,16 +289,22 @@ def _deal(scale: Scale):
         first_at = np.flatnonzero(new)
         later = np.zeros(len(o), bool)
         later[order] = o[order] > _spread_over(o[order][first_at], first_at, len(order))
-        # what is settled passes through any cell
-        cell = np.where(later, (o * 31 + place) ^ (part + 0x5DEECE66D), cell)
-        for i in range(0, len(o), 200_000):
-            s = slice(i, i + 200_000)
-            ask = ~later[s]
-            sizes = np.where(ask, count[s] + scale.length - 1, 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[s]), pa.array(o[s]), pa.array(part[s]), pa.array(place[s].astype(np.int32)), pa.array(count[s].astype(np.int32)), _bodies(data, start[s], sizes)],
-                names=["cell", "_o", "_part", "place", "count", "body"],
-            )
+        ask = np.flatnonzero(~later)
+        for i in range(0, len(ask), 200_000):
+            s = ask[i : i + 200_000]
+            yield rows(cell[s], o[s], part[s], place[s], count[s], _bodies(data, start[s], count[s] + scale.length - 1))
+        # what is settled passes through any cell, as runs of windows
+        s = np.flatnonzero(later)
+        if len(s):
+            s = s[np.argsort(start[s], kind="stable")]
+            new = np.ones(len(s), bool)
+            new[1:] = start[s][1:] != (start + count)[s][:-1]
+            new[1:] |= (o[s][1:] != o[s][:-1]) | (part[s][1:] != part[s][:-1])
+            head = np.flatnonzero(new)
+            run = np.add.reduceat(count[s], head)
+            s = s[head]
+            none = pa.array([b""] * len(s), pa.binary())
+            yield rows((o[s] * 31 + place[s]) ^ (part[s] + 0x5DEECE66D), o[s], part[s], place[s], run, none)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", _HELD):
@@ -351,25 +361,27 @@ def previous_factors(words: list[np.ndarray], docs: np.ndarray) -> np.ndarray:
 def _settle(scale: Scale):
     """Fourth pass: suffix order over the pieces of each cell, and from it the windows that an earlier document has too."""
 
-    def found(o, part, place, mask) -> pa.RecordBatch:
-        arrays = [pa.array(v) for v in (o, part, place.astype(np.int32), mask)]
-        return pa.RecordBatch.from_arrays(arrays, names=["_o", "_part", "place", "mask"])
+    def found(o, part, place, count) -> pa.RecordBatch:
+        arrays = [pa.array(v) for v in (o, part, place.astype(np.int32), count.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, names=["_o", "_part", "place", "count"])
 
     def settle(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         o, part, place, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_o", "_part", "place", "count"))
         data, at = text_bytes(batch.column("body"))
-        asked = np.flatnonzero(np.diff(at) > 0)
         passed = np.flatnonzero(np.diff(at) == 0)
-        mask = np.zeros(len(o), np.int64)
-        mask[passed] = (np.int64(1) << count[passed].astype(np.int64)) - 1
-        if len(asked):
-            n = count[asked].astype(np.int64)
-            row = np.repeat(asked, n)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            earlier = previous_factors(_words_at(data, at[row] + step, scale.length), o[row])
-            np.bitwise_or.at(mask, row[earlier], np.int64(1) << step[earlier])
-        some = np.flatnonzero(mask)
-        yield found(o[some], part[some], place[some], mask[some])
+        yield found(o[passed], part[passed], place[passed], count[passed])
+        asked = np.flatnonzero(np.diff(at) > 0)
+        if not len(asked):
+            return
+        n = count[asked].astype(np.int64)
+        row = np.repeat(asked, n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        earlier = previous_factors(_words_at(data, at[row] + step, scale.length), o[row])
+        head = earlier.copy()
+        head[1:] &= ~(earlier[:-1] & (row[1:] == row[:-1]))
+        begin = np.flatnonzero(head)
+        run = np.add.reduceat(earlier.astype(np.int64), begin) if len(begin) else begin
+        yield found(o[row[begin]], part[row[begin]], place[row[begin]] + step[begin], run)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -400,7 +412,7 @@ def _settle(scale: Scale):
     return each
 
 
-def _remove(scale: Scale, key_column: pa.DataType | None = None):
+def _remove(scale: Scale):
     """Last pass: bytes that no found window covers, and the runs of those that one does."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,13 +423,11 @@ def _remove(scale: Scale, key_column: pa.DataType | None = None):
             listed = batch.column("_found")
             row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             flat = listed.flatten()
-            place, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            begins = np.zeros(len(data), bool)
-            for j in range(int(mask.max(initial=0)).bit_length()):
-                begins[(at[row] + place)[(mask >> j) & 1 == 1] + j] = True
-            here = np.arange(len(data))
-            gone = here - np.maximum.accumulate(np.where(begins, here, -scale.length)) < scale.length
-            gone |= np.repeat(copy, size)
+            place, count = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            steps = np.zeros(len(data) + 1, np.int32)
+            np.add.at(steps, at[row] + place, 1)
+            np.subtract.at(steps, at[row] + place + count + scale.length - 1, 1)
+            gone = (np.cumsum(steps[:-1]) > 0) | np.repeat(copy, size)
             edge = np.zeros(len(data) + 1, bool)
             edge[at] = True
             head = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
@@ -438,7 +448,7 @@ def _remove(scale: Scale, key_column: pa.DataType | None = None):
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: Scale = Scale()) -> DataFrame:
-    """Every row of ``docs`` as struct ``_row``, with ``n_bytes``, ``spans`` (array of start, stop in bytes) and ``kept`` (binary).
+    """Every row of ``docs`` as struct ``_row`` of all columns but the text, with ``n_bytes``, ``spans`` (array of start, stop in bytes) and ``kept`` (binary).
 
     A byte goes if a string of ``length`` bytes that covers it also starts in the text of a row with a smaller key. Strings
     are judged on the input; matches never cross rows. A null text is empty. A null key counts as larger than all others;
@@ -452,7 +462,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sca
     kinds = dict(docs.dtypes)
     if kinds[key] not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("the key must be an integer")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     body = as_text(text)
     dealt = docs.select(
         F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("_o"), F.xxhash64(body).alias("_t"), row.alias("_row"), body.alias("_text")
@@ -477,9 +487,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sca
     pieces = dealt.join(asked, ["_o", "_t"]).select("_o", "_part", "_row", "_text", "_asked")
     pieces = pieces.mapInArrow(_deal(scale), "cell bigint, _o bigint, _part bigint, place int, count int, body binary")
     windows = pieces.repartition("cell").sortWithinPartitions("cell").mapInArrow(
-        _settle(scale), "_o bigint, _part bigint, place int, mask bigint"
+        _settle(scale), "_o bigint, _part bigint, place int, count int"
     )
-    found = windows.groupBy("_o", "_part").agg(F.collect_list(F.struct("place", "mask")).alias("_found"))
+    found = windows.groupBy("_o", "_part").agg(F.collect_list(F.struct("place", "count")).alias("_found"))
     found = firsts.drop("_size").join(found, ["_o", "_part"], "left").select("_o", "_t", F.coalesce("_found", F.array()).alias("_found"))
     whole = dealt.join(found, ["_o", "_t"], "left").select(
         "_row", "_text", F.col("_found").isNull().alias("_copy"), "_found"
