@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["sharding", "quality", "repeats", "order_minhash", "simhash"]
+_PARTS = ["bpe", "sharding", "quality", "repeats", "order_minhash", "simhash"]
 
 
 def _merged(attribute: str) -> dict:
