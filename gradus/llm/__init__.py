@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["bpe", "sharding", "language", "quality", "repeats", "order_minhash", "simhash"]
+_PARTS = ["toxicity", "bpe", "sharding", "language", "quality", "repeats", "order_minhash", "simhash"]
 
 
 def _merged(attribute: str) -> dict:
