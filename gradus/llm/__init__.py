@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["toxicity", "bpe", "sharding", "language", "quality", "repeats", "order_minhash", "simhash"]
+_PARTS = [
+    "toxicity", "bpe", "chat", "sharding", "language", "quality", "repeats", "mixing", "order_minhash", "simhash",
+]
 
 
 def _merged(attribute: str) -> dict:
