@@ -412,7 +412,7 @@ def _settle(scale: Scale):
     return each
 
 
-def _remove(scale: Scale):
+def _remove(scale: Scale, whole_characters: bool):
     """Last pass: bytes that no found window covers, and the runs of those that one does."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,6 +428,9 @@ def _remove(scale: Scale):
             np.add.at(steps, at[row] + place, 1)
             np.subtract.at(steps, at[row] + place + count + scale.length - 1, 1)
             gone = (np.cumsum(steps[:-1]) > 0) | np.repeat(copy, size)
+            if whole_characters and len(data):
+                head = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = _spread_over(np.logical_and.reduceat(gone, head), head, len(data))
             edge = np.zeros(len(data) + 1, bool)
             edge[at] = True
             head = np.flatnonzero(gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]])))
@@ -447,12 +450,15 @@ def _remove(scale: Scale):
     return each
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", scale: Scale = Scale()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", scale: Scale = Scale(), whole_characters: bool = False
+) -> DataFrame:
     """Every row of ``docs`` as struct ``_row`` of all columns but the text, with ``n_bytes``, ``spans`` (array of start, stop in bytes) and ``kept`` (binary).
 
     A byte goes if a string of ``length`` bytes that covers it also starts in the text of a row with a smaller key. Strings
     are judged on the input; matches never cross rows. A null text is empty. A null key counts as larger than all others;
     rows with equal keys do not count as earlier than one another. The key is an integer. Other columns stay in ``_row``.
+    With ``whole_characters`` a character of several bytes goes only if all of them do, so ``kept`` is UTF-8 again.
 
     Whole copies of an earlier text are found by digest. In the other texts every window of ``length`` bytes is known by its
     least gram; where two documents have that gram, the text around it goes to the gram's cell, and suffix order within the
@@ -495,7 +501,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sca
         "_row", "_text", F.col("_found").isNull().alias("_copy"), "_found"
     )
     kind = whole.schema["_row"].dataType.simpleString()
-    return whole.mapInArrow(_remove(scale), f"_row {kind}, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return whole.mapInArrow(_remove(scale, whole_characters), f"_row {kind}, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:
