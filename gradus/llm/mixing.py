@@ -50,7 +50,7 @@ def rates(docs: DataFrame, source: str, text: str, weights: dict | None, total:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``copy`` (1, 2, ...), ``rate`` and ``shuffle_key``, in the order of the last.
+    """The columns of ``docs`` in struct ``_row`` with ``copy`` (1, 2, ...), ``rate`` and ``shuffle_key``, in the order of the last.
 
     Each row is repeated a Poisson number of times whose mean makes the bytes of its source meet the source's share of
     ``total`` (the bytes there are, if not given). Weights are given by source, those not listed being zero, or come from
@@ -58,22 +58,24 @@ def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None,
     order of rows or on retries; many rows have none. Null is a source of its own, nulls in key or text are hashed as a mark,
     and repeated rows share their number. Bytes are those of the text plus 1.
     """
-    table = rates(docs, source, text, weights, total)
-    names = docs.columns
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     digest = F.md5(as_text(text).cast("binary"))
+    named = F.coalesce(F.col(key).cast("string"), F.lit("-"))
+    rows = docs.select(row.alias("_row"), F.col(source).alias("_of"), named.alias("_key"), digest.alias("_digest"))
+    table = rates(docs, source, text, weights, total)
     if table.select("_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    drawn = docs.select(*names, digest.alias("_digest")).join(table, F.col(source).eqNullSafe(F.col("_source")))
-    unit = hashed_unit(F.lit(seed), F.col(key), F.col("_digest"))
-    times = drawn.withColumn("_unit", unit).withColumn("_times", F.size(F.filter("steps", lambda s: s <= F.col("_unit"))))
-    copies = times.where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("copy"), F.coalesce(F.col(key).cast("string"), F.lit("-")), "_digest").cast("binary"))
-    return copies.select(*names, "copy", "rate", order.alias("shuffle_key")).orderBy("shuffle_key")
+    drawn = rows.join(table, F.col("_of").eqNullSafe(F.col("_source")))
+    drawn = drawn.withColumn("_unit", hashed_unit(F.lit(seed), F.col("_key"), F.col("_digest")))
+    times = F.size(F.filter("steps", lambda s: s <= F.col("_unit")))
+    copies = drawn.withColumn("_times", times).where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("copy"), "_key", "_digest").cast("binary"))
+    return copies.select("_row", "copy", "rate", order.alias("shuffle_key")).orderBy("shuffle_key")
 
 
 def op8_poisson_mix(spark, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources have tempered weights, shuffled."""
-    return mix(documents(spark, sf_dir)).select("doc_id", "text", "lang", "source", "n_chars", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
+    return mix(documents(spark, sf_dir)).select("_row.doc_id", "_row.text", "_row.lang", "_row.source", "_row.n_chars", "copy", F.round("rate", 9).alias("rate"), "shuffle_key")
 
 
 QUERIES = {"op8_poisson_mix": op8_poisson_mix}
