@@ -138,17 +138,19 @@ def links(values: DataFrame, budget: int, group: int = 2048) -> DataFrame:
     its links a forest is kept.
     """
     parts, masks = budget + 1, [0]
+    group = max(group, 1 << budget)  # a cell that is dealt on has more free bits than the budget
     rows = values.select(F.col("value").cast("bigint"), F.lit(0).cast("bigint").alias("mask"))
     found = None
     while rows is not None:
         dealt = _cells(rows, masks, parts)
-        masks = [c for m in masks for c in _cut(m, parts)]
+        if len(masks) > 1:  # a value may come to a cell by several ways
+            dealt = dealt.distinct()
+        masks = sorted({c for m in masks for c in _cut(m, parts)})
         counted = dealt.groupBy("mask", "cell").agg(F.count("*").alias("_n")).where("_n > 1")
         sized = written(dealt.join(counted, ["mask", "cell"]))
         small, rows = sized.where(F.col("_n") <= group), sized.where(F.col("_n") > group)
         pairs = _cell_links(small, budget)
         found = pairs if found is None else found.unionByName(pairs)
-        # with few free bits left a cell cannot be large
         rows = None if rows.isEmpty() else rows.select("value", "mask")
     return found
 

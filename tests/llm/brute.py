@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
+import xxhash
 
-def repeats(rows, length=50):
-    """``(key, n_bytes, n_removed, n_spans, sha)`` for rows of key, text; a null key comes after all others."""
-    order = lambda k: (k is None, k or 0)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def order(key):
+    """Null keys come after all others."""
+    return (key is None, key or 0)
+
+
+def repeats(rows, length=50, whole=False):
+    """``(key, n_bytes, n_removed, n_spans, kept)`` for rows of key, text."""
     first = {}
     held = [(k, (t or "").encode()) for k, t in rows]
     for k, b in sorted(held, key=lambda r: order(r[0])):
@@ -19,7 +29,69 @@ def repeats(rows, length=50):
         for i in range(len(b) - length + 1):
             if first[b[i : i + length]] < order(k):
                 gone[i : i + length] = b"\1" * length
+        if whole:
+            at = 0
+            for ch in b.decode():
+                n = len(ch.encode())
+                if not all(gone[at : at + n]):
+                    gone[at : at + n] = bytes(n)
+                at += n
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
-        out.append((k, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((k, len(b), sum(gone), spans, kept))
+    return out
+
+
+def sha(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def simhash(text, words=3) -> int:
+    w = WORD.findall((text or "").translate(LOWER))
+    shingles = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def near_components(prints: list[int], budget=2) -> list[int]:
+    """Place of the first fingerprint that chains of near ones reach, for each place."""
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= budget:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def edited(rows):
+    """``(key, n_chars, sha of the edited text)`` for distinct integer keys, in falling order."""
+    rows = sorted(rows, key=lambda r: -r[0])
+    out = []
+    for i, (k, t) in enumerate(rows):
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        out.append((k, len(t), sha((t[: len(t) - half] + after[:half]).encode())))
     return out
+
+
+def line_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [l for l in t.split("\n") if WORD.search(l)]
+    windows = {}
+    for i in range(len(w) - 2):
+        windows.setdefault(tuple(w[i : i + 3]), []).append(i)
+    repeated = {p + k for places in windows.values() if len(places) > 1 for p in places for k in range(3)}
+    n_repeat = len(repeated)
+    return (
+        len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), n_repeat,
+        len(w) < 50 or 100 * n_repeat > 50 * len(w),
+    )
