@@ -14,8 +14,9 @@ from gradus.llm.common import as_text, documents, slices, text_bytes, written
 
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_STEP = 1 << 20  # bytes hashed at a time
-_HELD = 16 << 20  # text bytes whose anchors are compared in one task before they are sent
+_STEP = 1 << 19  # bytes hashed at a time
+_HELD = 8 << 20  # text bytes whose anchors are compared in one task before they are sent
+_PART = 4 << 20  # text bytes whose pieces are compared
 _SUFFIXES = 400_000  # suffixes sorted at a time
 _LAST = (1 << 63) - 1
 
@@ -193,7 +194,7 @@ def _ask(scale: Scale, buckets: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in slices(batches, "_text", _HELD):
+        for batch in slices(batches, "_text", _PART):
             data, at = text_bytes(batch.column("_text"))
             h, row, place, count = anchors(data, at, scale)
             keys = [batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("_o", "_part")]
@@ -255,7 +256,7 @@ def _answer(scale: Scale):
 def _words_at(data: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
     """The ``length`` bytes from every start as numbers that sort as the bytes do, eight bytes each."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(">u8").ravel()
+    eight = np.ndarray((len(data) + 1,), ">u8", padded, 0, (1,))  # overlapping, so nothing is copied
     out = []
     for i in range(0, length, 8):
         word = eight[starts + min(i, max(length - 8, 0))].astype(np.uint64)
@@ -307,7 +308,7 @@ def _deal(scale: Scale):
             yield rows((o[s] * 31 + place[s]) ^ (part[s] + 0x5DEECE66D), o[s], part[s], place[s], run, none)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", _HELD):
+        for batch in slices(batches, "_text", _PART):
             data, at = text_bytes(batch.column("_text"))
             listed = batch.column("_asked")
             row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
