@@ -10,6 +10,7 @@ from gradus import fixed
 from gradus.functions import numeric
 from gradus.operators import choose, density, features, kmeans, mixture, ranking, silhouette, ward
 from gradus.plans import clustering, galaxy
+from gradus.session import cut_lineage
 
 
 def _grouped(spark, sf) -> DataFrame:
@@ -81,7 +82,7 @@ def _features(spark, sf) -> DataFrame:
 
 
 def _labels(spark, sf, sweep, **args) -> DataFrame:
-    df = _features(spark, sf).persist()
+    df = cut_lineage(_features(spark, sf))
     labels, _ = sweep(df, "id", "feature", "wage", VECTOR_WIDTH, **args)
     return labels
 

@@ -33,7 +33,7 @@ def _run(spark, sf, method: str, **args):
 
 
 def lda_topics(spark, sf):
-    return _run(spark, sf, "lda", max_iter=20).lda_terms
+    return _run(spark, sf, "lda").lda_terms
 
 
 def nmf_topics(spark, sf):
@@ -42,7 +42,7 @@ def nmf_topics(spark, sf):
 
 def document_topics(spark, sf):
     """Both topic profiles of every document."""
-    out = _run(spark, sf, "both", max_iter=20).profiles
+    out = _run(spark, sf, "both").profiles
     label = lambda c: F.array_join(F.transform(c, lambda s: s["label"]), ";")
     return out.select("doc_id", label("lda_topics").alias("lda"), label("nmf_topics").alias("nmf"))
 

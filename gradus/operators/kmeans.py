@@ -1,41 +1,128 @@
-"""K-means with the number of groups chosen by silhouette."""
+"""K-means with the number of groups chosen by silhouette, many starts side by side."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradus.operators import blocks, sums
 from gradus.operators.ranking import relabel_by_median
 from gradus.operators.silhouette import silhouette_score
 
 KS = (3, 4, 5)
+STARTS = 10
+REFIT_STARTS = 15
+# Rows, those with the least key hashes, among which first centers are drawn; fits use all rows.
+SEED_ROWS = 2048
+
+
+def seed_rows(df: DataFrame, key: str, vec: str, rows: int = SEED_ROWS) -> np.ndarray:
+    picked = df.select(key, F.col(vec).alias("vec")).orderBy(F.xxhash64(key), key).limit(rows).toArrow()
+    return blocks.matrix(picked["vec"])
+
+
+def spread_centers(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """First centers drawn one by one, farther rows likelier."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(x)))]
+    nearest = blocks.square_distances(x, x[chosen])[:, 0]
+    for _ in range(k - 1):
+        total = nearest.sum()
+        chosen.append(int(rng.choice(len(x), p=nearest / total)) if total > 0 else chosen[-1])
+        nearest = np.minimum(nearest, blocks.square_distances(x, x[chosen[-1:]])[:, 0])
+    return x[chosen].copy()
+
+
+def _passed(points: DataFrame, starts: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """Per start: squared distances to the nearest centers, rows per center, sums per center; one scan for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = blocks.matrix(pa.Table.from_batches([batch])["vec"])
+            parts = []
+            for centers in starts:
+                far = blocks.square_distances(x, centers)
+                label = far.argmin(1)
+                one = np.zeros_like(far)
+                one[np.arange(len(x)), label] = 1.0
+                parts += [[np.maximum(far[np.arange(len(x)), label], 0).sum()], one.sum(0), (one.T @ x).ravel()]
+            part = np.concatenate(parts)
+            held = part if held is None else held + part
+        if held is not None:
+            yield sums.as_row(held)
+
+    total = sums.added(points.select("vec").mapInArrow(run, "sums BINARY"))
+    out, at = [], 0
+    for centers in starts:
+        k, d = centers.shape
+        out.append((float(total[at]), total[at + 1 : at + 1 + k], total[at + 1 + k : at + 1 + k + k * d].reshape(k, d)))
+        at += 1 + k + k * d
+    return out
+
+
+def fit_centers(points: DataFrame, starts: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[tuple[float, np.ndarray]]:
+    """Inertia and centers of every start once its centers hardly move; ``points`` has ``vec``.
+
+    All starts move in the same scans. A center without rows stays where it is.
+    """
+    current, open_ = [c.copy() for c in starts], set(range(len(starts)))
+    inertia = [np.inf] * len(starts)
+    spread = None
+    for _ in range(max_iter + 1):
+        asked = sorted(open_)
+        for i, (total, n, sums_) in zip(asked, _passed(points, [current[i] for i in asked])):
+            if spread is None:
+                spread = max(total / max(n.sum(), 1), 1e-30)
+            inertia[i] = total
+            moved = np.where(n[:, None] > 0, sums_ / np.maximum(n, 1)[:, None], current[i])
+            if np.square(moved - current[i]).sum() <= tol * 1e-2 * spread:
+                open_.discard(i)
+            current[i] = moved
+        if not open_:
+            break
+    return list(zip(inertia, current))
+
+
+def nearest_center(df: DataFrame, vec: str, centers: np.ndarray, out: str) -> DataFrame:
+    """All columns and the number of the nearest center, the first of several as near."""
+    listed = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in centers])
+    apart = lambda c: F.aggregate(F.zip_with(vec, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    far = F.transform(listed, lambda c: F.round(apart(c), 12))
+    return df.withColumn("_far", far).withColumn(out, (F.array_position("_far", F.array_min("_far")) - 1).cast("int")).drop("_far")
 
 
 def kmeans_sweep(
     df: DataFrame, key: str, vec: str, wage: str, width: int, ks: tuple[int, ...] = KS, seed: int = 42,
-    out: str = "cluster_kmeans", **limits,
+    out: str = "cluster_kmeans", starts: int = STARTS, refit_starts: int = REFIT_STARTS, **limits,
 ) -> tuple[DataFrame, dict]:
     """Labels ``key, out`` numbered by rising median wage, and what the sweep found.
 
-    The silhouette must improve strictly, so the smallest k wins ties. ``df`` should be
-    cached: every fit reads it several times.
+    Every k has ``starts`` starts, the best by inertia counts; the chosen k is fitted anew from ``refit_starts``. The
+    silhouette must improve strictly, so the smallest k wins ties. ``df`` should be cut or cached: every pass reads it.
     """
-    points = df.select(key, vec, wage, array_to_vector(vec).alias("_features"))
-    best = None
-    scores = {}
-    for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_label").fit(points)
-        scores[k] = silhouette_score(model.transform(points), key, vec, "_label", width, **limits)
-        if best is None or scores[k] > scores[best[0]]:
-            best = (k, model)
-    k, model = best
-    labelled = model.transform(points).select(key, wage, "_label")
+    points = df.select(key, F.col(vec).alias("vec"), wage)
+    seeds = seed_rows(df, key, vec)
+    asked = [(k, spread_centers(seeds, k, seed + i)) for k in ks for i in range(starts)]
+    fitted = fit_centers(points, [c for _, c in asked])
+    best_of = {k: min((f for (j, _), f in zip(asked, fitted) if j == k), key=lambda f: f[0]) for k in ks}
+    scores = {
+        k: silhouette_score(nearest_center(points, "vec", best_of[k][1], "_label"), key, "vec", "_label", width, **limits)
+        for k in ks
+    }
+    k = max(ks, key=lambda j: (scores[j], -j))
+    again = fit_centers(points, [spread_centers(seeds, k, seed + 1000 + i) for i in range(refit_starts)])
+    inertia, centers = min([best_of[k], *again], key=lambda f: f[0])
+    labelled = nearest_center(points, "vec", centers, "_label").select(key, wage, "_label")
     renumbered = relabel_by_median(labelled, "_label", wage, out)
     order = renumbered.select("_label", out).distinct().orderBy(out).collect()
-    centers = model.clusterCenters()
     return renumbered.select(key, out), {
-        "silhouette": scores[k], "n_clusters": k, "scores": scores, "model": model,
+        "silhouette": scores[k], "n_clusters": k, "scores": scores, "inertia": inertia,
         "centers": [centers[r["_label"]].tolist() for r in order],
     }

@@ -12,19 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.operators import blocks
+from gradus.operators import blocks, kmeans, sums
 from gradus.operators.kmeans import KS
 from gradus.operators.ranking import relabel_by_median
 from gradus.operators.silhouette import silhouette_score
 
-FAN = 64
-
 
 @dataclass
 class Mixture:
@@ -65,57 +62,46 @@ def _nearest_center(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return r
 
 
-def _sums(points: DataFrame, states: dict, shift: np.ndarray, fan: int | None) -> dict:
+def _sums(points: DataFrame, states: dict, shift: np.ndarray) -> dict:
     """Per state: log likelihood, component weights, first and second moments about ``shift``.
 
-    A state is a mixture, or bare centers for hard first assignments. With ``fan`` the sums
-    of the tasks meet in that many groups per state first, so that the driver adds few.
+    A state is a mixture, or bare centers for hard first assignments. Of the symmetric second moments one half travels.
     """
+    upper = np.triu_indices(len(shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {}
+        held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = blocks.matrix(pa.Table.from_batches([batch])["vec"])
             y = x - shift
-            for name, state in states.items():
+            parts = []
+            for state in states.values():
                 if isinstance(state, np.ndarray):
                     r, ll = _nearest_center(x, state), 0.0
                 else:
                     joint = state.log_joint(x)
                     norm = _log_sum(joint)
                     r, ll = np.exp(joint - norm[:, None]), norm.sum()
-                second = np.stack([(y * r[:, [j]]).T @ y for j in range(r.shape[1])])
-                part = np.concatenate([[ll], r.sum(0), (r.T @ y).ravel(), second.ravel()])
-                held[name] = part if name not in held else held[name] + part
-        if held:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(held), pa.int32()),
-                    pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64())),
-                ],
-                names=["state", "sums"],
-            )
-
-    partial = points.select("vec").mapInArrow(run, "state INT, sums ARRAY<DOUBLE>")
-
-    def add(table: pa.Table) -> pa.Table:
-        total = blocks.matrix(table["sums"]).sum(0)
-        return pa.table(
-            {"state": table["state"][:1].cast(pa.int32()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))}
-        )
-
-    if fan is not None:
-        partial = (
-            partial.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(fan)))
-            .groupBy("state", "_g")
-            .applyInArrow(add, "state INT, sums ARRAY<DOUBLE>")
-        )
-    out = {}
-    for row in partial.collect():
-        v = np.asarray(row["sums"])
-        out[row["state"]] = v if row["state"] not in out else out[row["state"]] + v
+                parts += [[ll], r.sum(0), (r.T @ y).ravel(), *(((y * r[:, [j]]).T @ y)[upper] for j in range(r.shape[1]))]
+            part = np.concatenate(parts)
+            held = part if held is None else held + part
+        if held is not None:
+            yield sums.as_row(held)
+
+    total = sums.added(points.select("vec").mapInArrow(run, "sums BINARY"))
+    out, at, d = {}, 0, len(shift)
+    for name, state in states.items():
+        k = len(state) if isinstance(state, np.ndarray) else state.k
+        head, half = 1 + k + k * d, len(upper[0])
+        second = np.zeros((k, d, d))
+        for j in range(k):
+            start = at + head + j * half
+            second[j][upper] = total[start : start + half]
+            second[j] = second[j] + second[j].T - np.diag(np.diag(second[j]))
+        out[name] = np.concatenate([total[at : at + head], second.ravel()])
+        at += head + k * half
     return out
 
 
@@ -141,14 +127,13 @@ def fit_mixtures(
     be factored is left out.
     """
     shift = points.select(Summarizer.mean(array_to_vector("vec"))).first()[0].toArray()
-    fan = FAN if points.rdd.getNumPartitions() > FAN else None
     current: dict = dict(starts)
     fitted, last = {}, {}
     for iteration in range(max_iter + 1):
-        sums = _sums(points, current, shift, fan)
+        found = _sums(points, current, shift)
         following = {}
         for name, state in current.items():
-            bound = sums[name][0] / n
+            bound = found[name][0] / n
             if iteration and name in last and abs(bound - last[name]) < tol:
                 fitted[name] = (state, bound)
                 continue
@@ -158,7 +143,7 @@ def fit_mixtures(
                     fitted[name] = (state, bound)
                     continue
             try:
-                following[name] = _maximise(sums[name], len(starts[name]), width, shift, reg)
+                following[name] = _maximise(found[name], len(starts[name]), width, shift, reg)
             except np.linalg.LinAlgError:
                 continue
         current = following
@@ -167,62 +152,78 @@ def fit_mixtures(
     return fitted
 
 
-def memberships(df: DataFrame, key: str, vec: str, mixture: Mixture, out: str, label: str) -> DataFrame:
-    """``key``, membership probabilities and most likely component."""
+def memberships(
+    df: DataFrame, key: str, vec: str, mixture: Mixture, out: str, label: str, carried: list[str] | None = None
+) -> DataFrame:
+    """``key``, the vector and carried columns, membership probabilities and most likely component."""
+    carried = carried or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            joint = mixture.log_joint(blocks.matrix(pa.Table.from_batches([batch])["vec"]))
+            joint = mixture.log_joint(blocks.matrix(pa.Table.from_batches([batch])[vec]))
             p = np.exp(joint - _log_sum(joint)[:, None])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(joint.argmax(1), pa.int32())],
-                names=[key, out, label],
+                [*batch.columns, pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(joint.argmax(1), pa.int32())],
+                names=[*batch.schema.names, out, label],
             )
 
-    kind = dict(df.dtypes)[key]
-    return df.select(key, F.col(vec).alias("vec")).mapInArrow(run, f"{key} {kind}, {out} ARRAY<DOUBLE>, {label} INT")
+    rows = df.select(key, vec, *carried)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, {out} ARRAY<DOUBLE>, {label} INT")
+
 
+def better(bic: float, score: float, best_bic: float, best_score: float, by_size: bool = False) -> bool:
+    """Criterion under 0.99 times the best one, or within one percent of it and a better silhouette.
 
-def better(bic: float, score: float, best_bic: float, best_score: float) -> bool:
-    """Clearly lower criterion, or within one percent and a better silhouette."""
+    Under a negative criterion that factor asks for less, not more, than the best; ``by_size`` asks for one percent of its
+    size below it instead.
+    """
     if math.isinf(best_bic):
         return True
     close = abs(bic - best_bic) / max(abs(best_bic), 1.0) < 0.01
-    return bic < best_bic - 0.01 * abs(best_bic) or (close and score > best_score)
+    clearly = bic < best_bic - 0.01 * abs(best_bic) if by_size else bic < 0.99 * best_bic
+    return clearly or (close and score > best_score)
 
 
 def mixture_sweep(
-    df: DataFrame, key: str, vec: str, wage: str, width: int, ks: tuple[int, ...] = KS, n_init: int = 1,
-    seed: int = 42, reg: float = 1e-6, out: str = "cluster_gmm", probability: str = "membership", **limits,
+    df: DataFrame, key: str, vec: str, wage: str, width: int, ks: tuple[int, ...] = KS, n_init: int = 5,
+    seed: int = 42, reg: float = 1e-6, out: str = "cluster_gmm", probability: str = "membership", refit: int = 10,
+    by_size: bool = False, **limits,
 ) -> tuple[DataFrame, dict]:
     """Labels ``key, out`` by rising median wage with membership probabilities, k chosen by
-    the Bayesian information criterion."""
+    the Bayesian information criterion.
+
+    Every k has ``n_init`` starts from k-means; the chosen k is fitted anew from ``refit`` starts. The likeliest counts.
+    """
     points = df.select(key, F.col(vec).alias("vec"), wage)
     n = points.count()
-    featured = points.select(array_to_vector("vec").alias("_features"))
-    starts, k_of = {}, {}
-    for k in ks:
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, featuresCol="_features").fit(featured)
-            name = len(starts)
-            starts[name], k_of[name] = np.asarray(model.clusterCenters()), k
-    fitted = fit_mixtures(points, starts, width, n, reg)
+    seeds = kmeans.seed_rows(df, key, vec)
+
+    def fitted(asked: list[tuple[int, int]]) -> dict[int, list[tuple[Mixture, float]]]:
+        centers = kmeans.fit_centers(points, [kmeans.spread_centers(seeds, k, s) for k, s in asked])
+        found = fit_mixtures(points, {i: c for i, (_, c) in enumerate(centers)}, width, n, reg)
+        return {k: [found[i] for i in found if asked[i][0] == k] for k in {k for k, _ in asked}}
+
+    runs = fitted([(k, seed + i) for k in ks for i in range(n_init)])
     best, best_bic, best_score = None, math.inf, -1.0
     found = {}
     for k in ks:
-        runs = [fitted[name] for name in fitted if k_of[name] == k]
-        if not runs:
+        if not runs[k]:
             continue
-        mixture, bound = max(runs, key=lambda run: run[1])
+        mixture, bound = max(runs[k], key=lambda run: run[1])
         bic = -2 * bound * n + mixture.free_parameters() * math.log(n)
-        labelled = memberships(points, key, "vec", mixture, probability, "_label").join(points, key)
+        labelled = memberships(points, key, "vec", mixture, probability, "_label", [wage])
         score = silhouette_score(labelled, key, "vec", "_label", width, **limits)
         found[k] = {"bic": bic, "silhouette": score}
-        if better(bic, score, best_bic, best_score):
-            best, best_bic, best_score = mixture, bic, score
-    labelled = memberships(points, key, "vec", best, probability, "_label").join(points.select(key, wage), key)
+        if better(bic, score, best_bic, best_score, by_size):
+            best, best_bic, best_score, best_bound = mixture, bic, score, bound
+    if refit:
+        again = fitted([(best.k, seed + 1000 + i) for i in range(refit)])[best.k]
+        best, best_bound = max([(best, best_bound), *again], key=lambda run: run[1])
+        best_bic = -2 * best_bound * n + best.free_parameters() * math.log(n)
+    labelled = memberships(points, key, "vec", best, probability, "_label", [wage])
     renumbered = relabel_by_median(labelled, "_label", wage, out)
     return renumbered.select(key, out, probability), {
         "silhouette": best_score, "n_clusters": best.k, "bic": best_bic, "scores": found, "model": best,

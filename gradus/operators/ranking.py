@@ -82,14 +82,18 @@ def group_medians(
     """Exact interpolated median and row count per key, NULL and NaN values left out.
 
     Groups counted to at most ``bound`` rows use the built-in exact median. A larger group is
-    narrowed first: counts over ``fan`` equal ranges show which range holds the middle
-    rank, and only that range is looked at again.
+    narrowed first: counts over ``fan`` equal ranges of its finite values, infinities apart, show
+    which range holds the middle rank, and only that range is looked at again. Its least and
+    greatest values never share a range, so every pass narrows.
     """
     v = F.col(value)
     clean = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
-    sizes = clean.groupBy(*keys).agg(
-        F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    finite = F.when(F.abs("_v") < F.lit(float("inf")), F.col("_v"))
+    extent = (
+        F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.min(finite).alias("_flo"), F.max(finite).alias("_fhi"),
     )
+    sizes = clean.groupBy(*keys).agg(*extent)
     largest = sizes.agg(F.max("_cnt")).first()[0]
     if largest is None or largest <= bound:
         return clean.groupBy(*keys).agg(F.median("_v").alias(out), F.count("*").alias("n_values"))
@@ -101,12 +105,17 @@ def group_medians(
     unsettled = (F.col("_cnt") > bound) & (F.col("_hi") > F.col("_lo"))
     while not targets.where(unsettled).isEmpty():
         wide = targets.where(unsettled)
-        step = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * fan
+        # halves, so that the width of the range is finite too
+        low, high = F.col("_flo") / 2, F.col("_fhi") / 2
+        step = F.when(high > low, (F.col("_v") / 2 - low) / (high - low) * fan).otherwise(F.lit(0.0))
+        at = F.when(F.col("_v") == float("-inf"), -1).when(F.col("_v") == float("inf"), fan).otherwise(
+            F.when(F.col("_v") == F.col("_fhi"), fan - 1).otherwise(F.least(F.floor(step), F.lit(fan - 1)))
+        )
         seen = (
             clean.join(wide, keys)
             .where("_v BETWEEN _lo AND _hi")
-            .groupBy(*keys, "_id", "_rank", "n_values", F.least(F.floor(step), F.lit(fan - 1)).alias("_bin"))
-            .agg(F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+            .groupBy(*keys, "_id", "_rank", "n_values", at.alias("_bin"))
+            .agg(*extent)
         )
         w = Window.partitionBy(*keys, "_id").orderBy("_bin")
         hit = (

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gradus import fixed
 from gradus.functions import text
-from gradus.functions.vectors import unit
+from gradus.functions.vectors import shares, unit
 from gradus.operators import blocks
 
 N_TOPICS = 8
@@ -80,9 +80,9 @@ def long_weights(weighted: DataFrame, key: str, vocab: list[str], weights: str =
 
 
 def fit_lda(counted: DataFrame, counts: str = "counts", k: int = N_TOPICS, max_iter: int = 100, seed: int = 42):
-    """Online LDA with sparse document and topic priors."""
+    """Online LDA with sparse document and topic priors; every pass sees all documents."""
     return LDA(
-        k=k, optimizer="online", docConcentration=[0.1] * k, topicConcentration=0.01, maxIter=max_iter,
+        k=k, optimizer="online", subsamplingRate=1.0, docConcentration=[0.1] * k, topicConcentration=0.01, maxIter=max_iter,
         seed=seed, featuresCol=counts, topicDistributionCol="_topics",
     ).fit(counted)
 
@@ -190,7 +190,7 @@ def _added(rows: DataFrame, column: str, fan: int = 64) -> dict:
 
 
 def fit_nmf(
-    weighted: DataFrame, weights: str = "weights", k: int = N_TOPICS, max_iter: int = 50, tol: float = 1e-4,
+    weighted: DataFrame, weights: str = "weights", k: int = N_TOPICS, max_iter: int = 500, tol: float = 1e-4,
     alpha: float = 0.0, l1_ratio: float = 0.5, sweeps: int = 20,
 ) -> Factors:
     """Alternating non-negative least squares with the topics on the driver.
@@ -245,14 +245,12 @@ def nmf_weights(
                 continue
             x = blocks.matrix(pa.Table.from_batches([b]).column(len(keep)))
             w = _solve_rows(x, factors.h, factors.l1_w, factors.l2_w, sweeps)
-            sums = w.sum(1, keepdims=True)
-            shares = w / np.where(sums == 0, 1.0, sums)
-            solved = pa.array(shares.tolist(), pa.list_(pa.float64()))
+            solved = pa.array(w.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], solved], names=[*keep, out])
 
     rows = weighted.select(*keep, weights)
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
-    return rows.mapInArrow(run, f"{kept}, {out} ARRAY<DOUBLE>")
+    return rows.mapInArrow(run, f"{kept}, {out} ARRAY<DOUBLE>").withColumn(out, shares(F.col(out)))
 
 
 # -- Reading topics ----------------------------------------------------------

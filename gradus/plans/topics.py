@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ class Topics:
     vocabulary: list[str]
     lda_perplexity: float | None
     nmf_error: float | None
+    lda_model: LDAModel | None = None
+    nmf_factors: topics.Factors | None = None
 
 
 def run_topics(
@@ -37,13 +40,13 @@ def run_topics(
     profiled = counted
     if method in ("lda", "both"):
         model = topics.fit_lda(counted, k=n_topics, max_iter=max_iter)
-        out.lda_terms = topics.lda_terms(model, vocab)
+        out.lda_model, out.lda_terms = model, topics.lda_terms(model, vocab)
         out.lda_perplexity = model.logPerplexity(counted)
         profiled = topics.lda_weights(model, profiled)
     if method in ("nmf", "both"):
         weighter = topics.TermWeights.fit(counted)
         factors = topics.fit_nmf(cut_lineage(weighter.apply(counted).select("weights")), k=n_topics)
-        out.nmf_terms = topics.top_terms(spark, factors.h, vocab)
+        out.nmf_factors, out.nmf_terms = factors, topics.top_terms(spark, factors.h, vocab)
         out.nmf_error = factors.error
         carried = [*keys, *(["lda_weights"] if method == "both" else [])]
         profiled = topics.nmf_weights(factors, weighter.apply(profiled), carried)

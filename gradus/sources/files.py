@@ -11,9 +11,15 @@ from gradus.operators.ranking import global_index
 from gradus.schemas import schema
 
 
-def read_csv(spark: SparkSession, path: str, table: str, columns: list[str] | None = None, header: bool = True) -> DataFrame:
-    """CSV under a declared schema; types are never inferred."""
-    df = spark.read.schema(schema(table)).option("header", header).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(
+    spark: SparkSession, path: str, table: str, columns: list[str] | None = None, header: bool = True, line_breaks: bool = True
+) -> DataFrame:
+    """CSV under a declared schema; types are never inferred.
+
+    Files whose fields may hold line breaks are read by one task each; give ``line_breaks=False`` to split large ones.
+    """
+    reader = spark.read.schema(schema(table)).option("header", header).option("multiLine", line_breaks)
+    df = reader.option("escape", '"').csv(path)
     return df.select(columns) if columns else df
 
 
@@ -23,7 +29,7 @@ def read_sheet(spark: SparkSession, path: str, names: list[str], skip: int = 0)
     ``skip`` drops leading rows; ``ordinal`` counts rows of the sheet from 1.
     """
     strings = StructType([StructField(n, StringType()) for n in names])
-    df = spark.read.schema(strings).option("header", False).csv(path)
+    df = spark.read.schema(strings).option("header", False).option("multiLine", True).option("escape", '"').csv(path)
     place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
     numbered = df.select("*", place[0].alias("_file"), place[1].alias("_block")).withColumn(
         "_row", F.monotonically_increasing_id()
@@ -65,8 +71,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Nested rows as JSON lines; NULL fields are left out."""
-    df.write.mode("overwrite").json(path)
+    """Nested rows as JSON lines; NULL fields are written as null."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def read_json(spark: SparkSession, path: str, table: str) -> DataFrame:

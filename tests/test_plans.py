@@ -108,7 +108,8 @@ def test_text_requests(spark, occ):
 def test_request_rules(spark):
     data = [(1, "a", "progress", 3, None), (2, "a", "sideways", 3, None), (3, "a", "pivot", 6, None), (4, "a", "pivot", 1, 1.0), (5, "a", None, 1, None)]
     valid, rejected = recommend.split_requests(spark.createDataFrame(data, schema("recommend_requests")), "recommend")
-    assert [r["query_id"] for r in valid.collect()] == [1] and rejected.count() == 4
+    assert sorted(r["query_id"] for r in valid.collect()) == [1, 5] and rejected.count() == 3
+    assert {r["mode"] for r in valid.collect()} == {"progress"}
     texts = [(1, "x" * 10, 1, None, None), (2, " " * 12, 1, None, None), (3, "short", 1, None, None), (4, "x" * 10, 1, None, 100.0), (5, None, 1, None, None)]
     valid, _ = recommend.split_requests(spark.createDataFrame(texts, schema("text_requests")), "from_text")
     assert [r["query_id"] for r in valid.collect()] == [1]

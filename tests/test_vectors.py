@@ -256,7 +256,8 @@ def test_mixture_recovers_groups(spark):
 
 
 def test_criterion():
-    assert mixture.better(-200.0, 0.1, -100.0, 0.5)
-    assert not mixture.better(-99.5, 0.1, -100.0, 0.5)
+    assert mixture.better(-200.0, 0.1, -100.0, 0.5) and mixture.better(98.0, 0.1, 100.0, 0.5)
+    assert not mixture.better(99.5, 0.1, 100.0, 0.5) and mixture.better(-99.5, 0.1, -100.0, 0.5)
+    assert not mixture.better(-99.5, 0.1, -100.0, 0.5, by_size=True)
     assert mixture.better(-99.5, 0.6, -100.0, 0.5)
     assert not mixture.better(-90.0, 0.9, -100.0, 0.5)
