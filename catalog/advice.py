@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.tables import VECTOR_WIDTH, described, entities, table, with_groupings
+from catalog.tables import VECTOR_WIDTH, described, described_with_pay, entities, table, with_groupings
 from gradus.functions import numeric, text, vectors
 from gradus.operators import features, similarity
 from gradus.plans import recommend as plans
@@ -115,6 +115,15 @@ def request_validation(spark, sf):
     return plans.check_requests(_requests(spark, sf), "recommend").select("query_id", "error")
 
 
+def request_defaults(spark, sf):
+    """Requests with a missing mode or number of results get the usual ones before they are checked."""
+    key = F.col("query_id")
+    asked = _requests(spark, sf).withColumns(
+        {"mode": F.when(key % 5 > 0, F.col("mode")), "top_n": F.when(key % 3 > 0, F.col("top_n"))}
+    )
+    return plans.check_requests(asked, "recommend").select("query_id", "mode", "top_n", "error")
+
+
 def text_request_validation(spark, sf):
     turns = table(spark, sf, "conversations")
     place = F.col("conv_id") * 1000 + F.col("turn")
@@ -162,7 +171,7 @@ def pathway_assembly(spark, sf):
 def recommend_from_text(spark, sf):
     """Conversation turns as skill texts, encoded with the descriptions' own vocabulary."""
     width = 384
-    docs = described(spark, sf)
+    docs = described_with_pay(spark, sf)
     encoder = features.HashedTfIdf.fit(docs, "text", width)
     occ = encoder.encode(_occupations(docs).drop("embedding"), "skill_description", "embedding")
     turns = table(spark, sf, "conversations")
@@ -212,7 +221,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         recommend_progress, recommend_pivot, recommend_field_change, membership_entropy, cosine_to_neighbour,
-        knn_graph, wage_blend_features, closest_topk, skill_gap_words, request_validation,
+        knn_graph, wage_blend_features, closest_topk, skill_gap_words, request_validation, request_defaults,
         text_request_validation, pathway_assembly, recommend_from_text, recommend_from_vectors, entity_detail,
     )
 }
@@ -301,6 +310,11 @@ SQL = {
         with s as (select doc_id, {_words("text")} s from documents),
         t as (select doc_id - 1 doc_id, {_skill_words("text")} t from documents)
         select doc_id, {_gap("s", "t")} skills_to_acquire from s join t using (doc_id)""",
+    "request_defaults": f"""with {_VALID},
+        d as (select query_id, case when query_id % 5 > 0 then mode else 'progress' end as mode,
+                     case when query_id % 3 > 0 then top_n else 3 end::int top_n, wage from req)
+        select query_id, mode, top_n, case when mode = 'other' then 'unknown mode' when top_n < 1 or top_n > 5 then 'top_n not in 1..5'
+                 when wage < 20000 or wage > 500000 then 'user_current_wage not in 20000..500000' end error from d""",
     "request_validation": f"with {_VALID} select query_id, error from checked",
     "text_request_validation": """
         with r as (select conv_id * 1000 + turn query_id, text, case when role = 'user' then length(text) * 100.0 end w,

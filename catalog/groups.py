@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.tables import VECTOR_WIDTH, entities, table, with_groupings
 from gradus import fixed
 from gradus.functions import numeric
-from gradus.operators import choose, density, features, kmeans, mixture, ranking, silhouette, ward
+from gradus.operators import blocks, choose, density, features, kmeans, mixture, ranking, silhouette, ward
 from gradus.plans import clustering, galaxy
 from gradus.session import cut_lineage
 
@@ -114,6 +115,46 @@ def core_distance(spark, sf):
     return density.core_distances(points, VECTOR_WIDTH, 2).select("key", F.round("core", 6).alias("core"))
 
 
+def _given_centers(points: DataFrame) -> list:
+    """Vectors of the three least ids, as fixed starts."""
+    return blocks.matrix(points.orderBy("id").limit(3).select("vec").toArrow()["vec"])
+
+
+def kmeans_fixed_starts(spark, sf):
+    """Labels after three rounds of center moves from fixed starts."""
+    points = entities(spark, sf)
+    ((_, centers),) = kmeans.fit_centers(points, [_given_centers(points)], max_iter=2, tol=0.0)
+    return kmeans.nearest_center(points, "vec", centers, "label_after").select("id", "label_after")
+
+
+def mixture_step(spark, sf):
+    """Weights and means of one expectation and maximisation from unit covariances at fixed means."""
+    points = entities(spark, sf)
+    means = _given_centers(points)
+    start = mixture.Mixture(np.full(3, 1 / 3), means, np.stack([np.eye(VECTOR_WIDTH)] * 3))
+    moved = mixture.next_mixture(points, start, points.count())
+    rows = [(j, float(w), [float(x) for x in m]) for j, (w, m) in enumerate(zip(moved.weights, moved.means))]
+    listed = spark.createDataFrame(rows, "component INT, weight DOUBLE, mean ARRAY<DOUBLE>")
+    return listed.select("component", F.round("weight", 6).alias("weight"), F.posexplode("mean").alias("place", "mean")).withColumn(
+        "mean", F.round("mean", 6)
+    )
+
+
+def ward_identity(spark, sf):
+    """Number of merges and half the sum of their squared heights: the total squared deviation of all vectors."""
+    merges = ward.ward_merges(entities(spark, sf), "id", "vec", VECTOR_WIDTH)
+    return merges.agg(F.count("*").alias("n_merges"), F.round(F.sum(F.col("distance") * F.col("distance")) / 2, 4).alias("deviation"))
+
+
+def medians_with_infinities(spark, sf):
+    """Median price per flag with some infinite prices, by the narrowing search alone."""
+    key = F.col("l_orderkey") % 50
+    price = F.when(key == 0, float("inf")).when(key == 1, float("-inf")).otherwise(F.col("l_extendedprice"))
+    lines = table(spark, sf, "lineitem").select("l_returnflag", price.alias("price"))
+    found = ranking.group_medians(lines, ["l_returnflag"], "price", "median_price", bound=100, fan=16)
+    return found.select("l_returnflag", F.round("median_price", 4).alias("median_price"), "n_values")
+
+
 def pca_galaxy(spark, sf):
     df = _grouped(spark, sf).withColumn("feature_vector", F.col("vec"))
     return galaxy.galaxy_points(df, "kmeans")
@@ -124,7 +165,7 @@ QUERIES = {
     for f in (
         silhouette_by_row, silhouette_scores, best_method_select, group_medians, relabel_by_wage, cluster_overview,
         cluster_members, galaxy_layout, kmeans_sweep, gmm_bic_sweep, ward_sweep, ward_merges, density_cluster,
-        core_distance, pca_galaxy,
+        core_distance, kmeans_fixed_starts, mixture_step, ward_identity, medians_with_infinities, pca_galaxy,
     )
 }
 
@@ -147,7 +188,33 @@ s as (select *, case when a is null then 0 else (b - a) / greatest(a, b) end s f
 sc as (select method, mo, round(avg(s), 4) sil from s group by all)
 """
 
+_APART = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_CENTERS = "c0 as (select row_number() over (order by id) - 1 c, e m from (select * from p order by id limit 3))"
+
+
+def _moved(i: int) -> str:
+    """SQL of one move of the centers to the means of their rows."""
+    return f"""
+        l{i} as (select id, arg_min(c, (round({_APART.format(a="e", b="m")}, 12), c)) c from p, c{i - 1} group by id),
+        x{i} as (select c, k, avg(e[k]) v from l{i} join p using (id), range(1, {VECTOR_WIDTH + 1}) r(k) group by c, k),
+        c{i} as (select c, list(v order by k) m from x{i} group by c)"""
+
+
 SQL = {
+    "kmeans_fixed_starts": f"""with {_P}, {_CENTERS}, {", ".join(_moved(i) for i in (1, 2, 3))}
+        select id, arg_min(c, (round({_APART.format(a="e", b="m")}, 12), c))::int label_after from p, c3 group by id""",
+    "mixture_step": f"""with {_P}, {_CENTERS},
+        j as (select id, c, e, exp(-0.5 * {_APART.format(a="e", b="m")}) q from p, c0),
+        r as (select id, c, e, q / sum(q) over (partition by id) r from j),
+        n as (select c, sum(r) n from r group by c)
+        select c::int component, round(n / (select count(*) from p), 6) weight, (k - 1)::int place, round(sum(r * e[k]) / n, 6) mean
+        from r join n using (c), range(1, {VECTOR_WIDTH + 1}) g(k) group by c, n, k""",
+    "ward_identity": f"""with {_P}, x as (select k, e[k] v from p, range(1, {VECTOR_WIDTH + 1}) g(k)),
+        s as (select k, var_pop(v) * count(*) d from x group by k)
+        select (select count(*) - 1 from p) n_merges, round(sum(d), 4) deviation from s""",
+    "medians_with_infinities": """
+        select l_returnflag, round(median(case l_orderkey % 50 when 0 then 'inf'::double when 1 then '-inf'::double else l_extendedprice end), 4)
+               median_price, count(*) n_values from lineitem group by 1""",
     "silhouette_by_row": f"""with {_P}, lab as (select id, label c, 'x' as method, 0 mo from p), {_SIL}
         select id, round(a, 6) a, round(b, 6) b, round(s, 6) silhouette from s""",
     "silhouette_scores": f"""with {_P}, {_LONG}, {_SIL}

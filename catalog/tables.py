@@ -49,6 +49,16 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).join(d, "id")
 
 
+def described_with_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every described occupation that has a wage; its text is still to be encoded."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    o = table(spark, sf_dir, "orders")
+    return d.join(o, d.id == o.o_orderkey).select(
+        "id", "text", (F.col("id") % 10).alias("label"), (F.col("o_totalprice") / 3.0).alias("wage"),
+        F.col("o_orderpriority").alias("title"), F.array(F.lit(1.0)).alias("vec"),
+    )
+
+
 def wage_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pay by part, with the part's type as parent and the customer's nation as state."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")

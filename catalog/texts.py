@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.tables import table
 from gradus import fixed
+from gradus.functions import vectors
 from gradus.operators import topics
 from gradus.plans import topics as plans
 
@@ -56,9 +58,31 @@ def topic_profile(spark, sf):
     )
 
 
+def nmf_given_topics(spark, sf):
+    """Weights of every document for eight given topics: the vocabulary's terms in turn, each with weight one."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    vocab = topics.vocabulary(docs, "text")
+    counted = topics.count_vectors(docs, "text", vocab)
+    weighted = topics.TermWeights.fit(counted).apply(counted)
+    h = np.zeros((topics.N_TOPICS, len(vocab)))
+    h[np.arange(len(vocab)) % topics.N_TOPICS, np.arange(len(vocab))] = 1.0
+    found = topics.nmf_weights(topics.Factors(h, 0.0, 0.0, 0.0, []), weighted, ["doc_id"])
+    return found.select("doc_id", F.posexplode("nmf_weights").alias("topic_id", "weight")).withColumn("weight", F.round("weight", 5))
+
+
+def vector_shares(spark, sf):
+    """Squares of every vector over their sum."""
+    squares = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x)
+    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode(vectors.shares(squares)).alias("place", "share"))
+    return e.withColumn("share", F.round("share", 6))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (term_counts, vocabulary, tfidf_smooth_l2, lda_topics, nmf_topics, document_topics, topic_profile)
+    for f in (
+        term_counts, vocabulary, tfidf_smooth_l2, lda_topics, nmf_topics, document_topics, topic_profile, nmf_given_topics,
+        vector_shares,
+    )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in fixed.TOPIC_STOPWORDS)
@@ -76,6 +100,19 @@ terms as (select doc_id, t from pos
 _VOCAB = f"""{_TERMS}, vocab as (select t, count(*) n from terms group by 1 order by n desc, t limit 300)"""
 
 SQL = {
+    "nmf_given_topics": f"""with {_VOCAB},
+        named as (select t, row_number() over (order by t) - 1 i from vocab),
+        tf as (select doc_id, t, count(*) tf from terms where t in (select t from vocab) group by 1, 2),
+        df as (select t, count(*) df from tf group by 1),
+        w as (select doc_id, t, (1 + ln(tf)) * (ln((1 + (select count(*) from documents)) / (1 + df)::double) + 1) w from tf join df using (t)),
+        u as (select doc_id, t, w / sqrt(sum(w * w) over (partition by doc_id)) w from w),
+        h as (select i % 8 k, count(*) n from named group by 1),
+        g as (select doc_id, i % 8 k, sum(w) / any_value(n) v from u join named using (t) join h on h.k = i % 8 group by doc_id, i % 8)
+        select doc_id, k::int topic_id, coalesce(round(v / sum(v) over (partition by doc_id), 5), 0) weight
+        from (select doc_id, k from documents, h) left join g using (doc_id, k)""",
+    "vector_shares": """
+        with x as (select vec_id, unnest(embedding::double[]) x, generate_subscripts(embedding, 1) - 1 i from embeddings)
+        select vec_id, i::int place, round(x * x / sum(x * x) over (partition by vec_id), 6) share from x""",
     "term_counts": f"with {_TERMS} select t term, count(*) n from terms group by 1",
     "vocabulary": f"with {_VOCAB} select row_number() over (order by t) - 1 place, t term from vocab",
     "tfidf_smooth_l2": f"""with {_VOCAB},

@@ -152,6 +152,13 @@ def fit_mixtures(
     return fitted
 
 
+def next_mixture(points: DataFrame, mixture: Mixture, n: int, reg: float = 1e-6) -> Mixture:
+    """The mixture after one expectation and maximisation over all rows of ``vec``."""
+    shift = np.zeros(mixture.means.shape[1])
+    found = _sums(points, {0: mixture}, shift)[0]
+    return _maximise(found, mixture.k, len(shift), shift, reg)
+
+
 def memberships(
     df: DataFrame, key: str, vec: str, mixture: Mixture, out: str, label: str, carried: list[str] | None = None
 ) -> DataFrame:
