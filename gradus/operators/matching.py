@@ -2,52 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the join below needs no extra library
-    ahocorasick = None
 
+def _characters(column: str) -> Column:
+    return F.split(column, "")
 
-def _contained_by_automaton(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Scan each text once against a held dictionary of counted size."""
-    spark = left.sparkSession
-    held = spark.sparkContext.broadcast([(r["_name"], r["_ord"]) for r in right.select("_name", "_ord").collect()])
 
-    @F.pandas_udf("bigint")
-    def earliest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = ahocorasick.Automaton()
-        for name, ordinal in held.value:
-            automaton.add_word(name, ordinal)
-        automaton.make_automaton()
-        for texts in batches:
-            found = (min((o for _, o in automaton.iter(t)), default=None) if t else None for t in texts)
-            yield pd.Series(found, dtype="Int64", index=texts.index)
+def _starts(characters: Column, size: int) -> Column:
+    """Hash of the ``size`` characters from every place."""
+    places = F.sequence(F.lit(1), F.size(characters) - (size - 1))
+    return F.transform(places, lambda at: F.xxhash64(F.slice(characters, at, size)))
 
-    return left.select("_lid", earliest("_text").alias("_ord")).where("_ord IS NOT NULL")
 
+def _contained(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """``_lid, _ord`` of the earliest name in each text, by equi-joins alone.
 
-def _contained_by_join(left: DataFrame, right: DataFrame, min_length: int) -> DataFrame:
-    """Equi-joins only: pieces that start like some name, in the lengths names of that start
-    have, then the whole piece against the whole name. Every joined row is a true match."""
-    starts = right.groupBy(F.substring("_name", 1, min_length).alias("_start")).agg(
+    Hashes of the first characters of all names meet those of every place of a text; only identifiers, places and hashes
+    travel. At places that met, pieces as long as the names of that start are cut and joined with the whole names.
+    """
+    starts = right.groupBy(F.xxhash64(F.slice(_characters("_name"), 1, size)).alias("_start")).agg(
         F.collect_set(F.length("_name")).alias("_lengths")
     )
-    places = F.sequence(F.lit(1), F.length("_text") - (min_length - 1))
-    pieces = (
-        left.where(F.length("_text") >= min_length)
-        .select("_lid", "_text", F.explode(places).alias("_at"))
-        .withColumn("_start", F.substr("_text", F.col("_at"), F.lit(min_length)))
+    long_enough = left.where(F.length("_text") >= size).select("_lid", _characters("_text").alias("_chars"))
+    met = (
+        long_enough.select("_lid", F.posexplode(_starts(F.col("_chars"), size)).alias("_at", "_start"))
         .join(starts, "_start")
-        .withColumn("_len", F.explode("_lengths"))
-        .where("_at + _len - 1 <= length(_text)")
-        .select("_lid", F.substr("_text", F.col("_at"), F.col("_len")).alias("_name"))
-        .distinct()
+        .groupBy("_lid")
+        .agg(F.collect_list(F.struct("_at", "_lengths")).alias("_met"))
+    )
+    fits = lambda m: F.filter(m["_lengths"], lambda n: m["_at"] + n <= F.size("_chars"))
+    piece = lambda m: F.transform(fits(m), lambda n: F.array_join(F.slice("_chars", m["_at"] + 1, n), ""))
+    # cut inside the row, so that no row but this one holds the text
+    pieces = long_enough.join(met, "_lid").select(
+        "_lid", F.explode(F.array_distinct(F.flatten(F.transform("_met", piece)))).alias("_name")
     )
     return pieces.join(right, "_name").groupBy("_lid").agg(F.min("_ord").alias("_ord"))
 
@@ -62,7 +51,6 @@ def first_match(
     ordinal: str,
     out: str,
     min_length: int = 6,
-    held_characters: int = 8_000_000,
 ) -> DataFrame:
     """Attach the value of the earliest right row whose name equals the left text or, from
     ``min_length`` characters on, is contained in it; NULL when there is none.
@@ -78,11 +66,7 @@ def first_match(
     equal = texts.join(names, F.col("_text") == F.col("_name")).select("_lid", "_ord")
     # An empty name is contained in every text.
     long_enough = names.where(F.length("_name") >= max(min_length, 1)).select("_name", "_ord")
-    volume = long_enough.agg(F.sum(F.length("_name"))).first()[0] or 0
-    if ahocorasick is not None and volume <= held_characters:
-        inside = _contained_by_automaton(texts, long_enough)
-    else:
-        inside = _contained_by_join(texts, long_enough, min_length)
+    inside = _contained(texts.where("_text IS NOT NULL"), long_enough, max(min_length, 1))
     best = equal.unionByName(inside).groupBy("_lid").agg(F.min("_ord").alias("_ord"))
     values = names.select("_ord", F.col("_value").alias(out))
     return (
