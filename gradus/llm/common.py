@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.session import cut_lineage
+from gradus.session import checkpoint_folder
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACES = np.zeros(256, bool)
@@ -61,8 +61,7 @@ def word_places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors see."""
-    cut_lineage(spark.range(0))  # sets the folder where the session has none yet
-    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
