@@ -61,7 +61,15 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = (h ^ (h >> np.uint64(32))) * _MIX
     h ^= h >> np.uint64(29)
     order = np.argsort(owner, kind="stable")
-    return (h[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return (h[order] % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+def subwords_of_many(words: list[str], some: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a long list, some words at a time."""
+    parts = [subwords(words[i : i + some]) for i in range(0, len(words), some)]
+    sizes = np.concatenate([np.diff(begin) for _, begin in parts]) if parts else np.zeros(0, np.int64)
+    grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int32)
+    return grams, np.concatenate([[0], np.cumsum(sizes)])
 
 
 @dataclass
@@ -84,9 +92,10 @@ class Model:
         if not len(toxic):
             return model
         words, order, at = words_of(texts)
-        grams, begin = subwords(words)
+        grams, begin = subwords_of_many(words)
         seen = np.unique(grams)
-        local = np.searchsorted(seen, grams)
+        local = np.searchsorted(seen, grams).astype(np.int32)
+        del grams, words
         size = np.diff(begin)
         vectors = model.vectors[seen]
         weight = np.where(toxic == 1, 0.5 / max(1, np.sum(toxic == 1)), 0.5 / max(1, np.sum(toxic == 0)))
