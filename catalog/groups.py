@@ -142,7 +142,7 @@ def mixture_step(spark, sf):
 
 def ward_identity(spark, sf):
     """Number of merges and half the sum of their squared heights: the total squared deviation of all vectors."""
-    merges = ward.ward_merges(entities(spark, sf), "id", "vec", VECTOR_WIDTH)
+    merges = ward.ward_merges(entities(spark, sf), "id", "vec", VECTOR_WIDTH, few=256)  # rounds, not the last step in memory
     return merges.agg(F.count("*").alias("n_merges"), F.round(F.sum(F.col("distance") * F.col("distance")) / 2, 4).alias("deviation"))
 
 

@@ -101,16 +101,25 @@ def ward_merges(
         )
     ]
     n = groups.count()
+    known = None  # nearest partners that still hold
     while n > few:
-        nearest = blocks.all_against_all(
-            groups, groups, "node", "node", width, _nearest, _NEAREST,
-            held_bytes=held_bytes, block_rows=block_rows, counts=(n, n),
+        # A merged group is no closer to a third one than the nearer of its two parts was, so only groups that merged, or
+        # whose partner did, look anew.
+        asking = groups if known is None else cut_lineage(groups.join(known.select("node"), "node", "left_anti"))
+        found = blocks.all_against_all(
+            asking, groups, "node", "node", width, _nearest, _NEAREST,
+            held_bytes=held_bytes, block_rows=block_rows, counts=(n if known is None else asking.count(), n),
         )
-        nearest = nearest.groupBy("node").agg(F.min(F.struct("cost", "other")).alias("b")).select("node", "b.*")
+        nearest = found.groupBy("node").agg(F.min(F.struct("cost", "other")).alias("b")).select("node", "b.other", "b.cost")
+        nearest = cut_lineage(nearest if known is None else nearest.unionByName(known))
         pair = [F.least("node", "other").alias("left"), F.greatest("node", "other").alias("right")]
         mutual = cut_lineage(
             nearest.groupBy(*pair).agg(F.count("*").alias("_n"), F.min("cost").alias("cost")).where("_n = 2")
         )
+        merging = mutual.select(F.explode(F.array("left", "right")).alias("node"))
+        known = nearest.join(merging, "node", "left_anti").join(
+            merging.withColumnRenamed("node", "other"), "other", "left_anti"
+        ).select("node", "other", "cost")
         gone = mutual.join(groups, F.col("right") == F.col("node")).select(
             "left", "right", "cost", F.col("vec").alias("_v"), F.col("size").alias("_s")
         )
