@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalog.tables import table
+from gradus.plans import employers as plans
 from gradus.plans import occupations, programs
 
 HOME, NEIGHBOURS = "S3", ("S5", "S8", "S13")
@@ -74,7 +75,30 @@ def training_programs(spark, sf):
     return programs.build_programs(sources, mapping, occupations.clean_occupations(_raw(spark, sf)))
 
 
-QUERIES = {f.__name__: f for f in (occupation_master, training_programs)}
+def employer_table(spark, sf):
+    """Members and job boards at the grain of codes, with their own sites or search addresses."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    kind = F.when(k % 3 == 0, "General Contractors").when(k % 3 == 1, "Specialty Contractors").otherwise("Other")
+    raw = c.select(kind.alias("agc_type"), F.when(k % 11 > 0, F.concat(F.lit(" "), "c_name", F.lit(" "))).alias("employer_name"), k.alias("ordinal"))
+    site = lambda letter: F.when(F.col("c_nationkey") % 7 > 0, F.concat(F.lit(letter), "c_nationkey"))
+    links = c.where(k % 5 == 0).select(F.upper("c_name").alias("company"), site("u").alias("url"), k.alias("ordinal")).unionByName(
+        c.where(k % 10 == 0).select(F.col("c_name").alias("company"), site("v").alias("url"), (k + 1_000_000_000).alias("ordinal"))
+    )
+    mapping = c.where(k % 4 == 0).select(F.col("c_name").alias("employer_name"), F.array(_base(k * 4)).alias("soc_codes"))
+    n = table(spark, sf, "nation")
+    boards = n.select(
+        F.col("n_name").alias("board"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).alias("url"),
+        F.array(_base(F.col("n_nationkey") * 4), F.lit("10-1000")).alias("soc_codes"), F.lit("national").alias("scope"),
+        F.col("n_nationkey").cast("bigint").alias("ordinal"),
+    )
+    titles = occupations.clean_occupations(_raw(spark, sf))
+    full = F.array(F.lit("10-1000"), F.lit("10-1001.02"))
+    members = plans.member_rows(plans.clean_members(raw), mapping, full, plans.company_links(links), titles, "https://s?q=", "&l=x")
+    return plans.build_employers(members, plans.board_rows(boards, titles, "https://s?q=", "&l=x"))
+
+
+QUERIES = {f.__name__: f for f in (occupation_master, training_programs, employer_table)}
 
 _RAW = """
 b as (select *, (10 + (p_partkey // 4) // 9000)::varchar || '-' || (1000 + (p_partkey // 4) % 9000)::varchar base from part),
@@ -103,6 +127,23 @@ SQL = {
                'Tasks: ' || coalesce(tk.txt, '') || '. Skills: ' || coalesce(own.txt, par.txt, '') skill_description
         from occ left join m1 on m1.c = soc left join m2 on m2.parent = soc left join m3 on m3.c = soc left join m4 on m4.c = soc
         left join own on own.c = soc left join par on par.parent = soc left join tk on tk.c = soc""",
+    "employer_table": f"""with {_RAW},
+        c as (select *, c_custkey k, (10 + c_custkey // 9000)::varchar || '-' || (1000 + c_custkey % 9000)::varchar own from customer),
+        m as (select k, c_name, own, case k % 3 when 0 then 'General Contractors' else 'Specialty Contractors' end agc
+              from c where k % 3 < 2 and k % 11 > 0),
+        site as (select k, case when k % 10 = 0 then 'v' else 'u' end || c_nationkey url from c where k % 5 = 0 and c_nationkey % 7 > 0),
+        mc as (select m.*, unnest(case when agc = 'General Contractors' or k % 4 > 0 then ['10-1000', '10-1001.02'] else [own] end) soc from m),
+        n as (select n_nationkey k, n_name, (10 + n_nationkey // 9000)::varchar || '-' || (1000 + n_nationkey % 9000)::varchar own from nation),
+        bc as (select n.*, unnest([own, '10-1000']) soc from n),
+        rows as (select mc.soc, c_name employer_name, agc agc_type,
+                    coalesce(url, 'https://s?q=' || replace(coalesce(title, ''), ' ', '%20') || '&l=x') url,
+                    case when url is not null then 'company_site' else 'indeed_fallback' end url_type, 'local_employer' source_type, title
+                 from mc left join site using (k) left join occ on occ.soc = mc.soc
+                 union all
+                 select bc.soc, n_name, 'national', case when k % 2 = 0 then lower(n_name)
+                    else 'https://s?q=' || replace(coalesce(f.title, ''), ' ', '%20') || '&l=x' end, 'job_board', 'job_board', occ.title
+                 from bc left join occ on occ.soc = bc.soc left join occ f on f.soc = bc.own)
+        select distinct soc soc_code, coalesce(title, '') occ_title, employer_name, agc_type, url, url_type, source_type from rows""",
     "training_programs": f"""with {_RAW},
         s as (select *, 'C' || s_nationkey col, 'https://a.b/' || s_suppkey u from supplier where s_suppkey % 9 > 0),
         src as (select s_suppkey k, s_name program_name, case when col = 'C3' then col else 'College of ' || s_nationkey end college, 'associate' program_type,
