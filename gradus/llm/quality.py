@@ -114,6 +114,16 @@ def judge(docs: DataFrame, text: str = "text", most_lost: int = MOST_LOST) -> Da
     )
 
 
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows that are kept, as ``_row`` and ``cleaned``.
+
+    A filter would be pushed below the verdict and work everything out a second time for the rows that pass; an array of one
+    or no row is worked out once.
+    """
+    one = F.array(F.struct("_row", "cleaned", "kept"))
+    return judged.select(F.inline_outer(F.filter(one, lambda r: r["kept"]))).where("kept").drop("kept")
+
+
 def op6_line_rules(spark, sf_dir: str) -> DataFrame:
     """Counts of every document and whether the base rules and the line rules keep it."""
     out = judge(documents(spark, sf_dir).select("doc_id", "text"))
