@@ -104,14 +104,15 @@ def anchors(data: np.ndarray, at: np.ndarray, scale: Scale) -> tuple[np.ndarray,
 
 
 _KEPT = [("low", "<u8", 4), ("o", "<i8", 8), ("part", "<i8", 8), ("place", "<i4", 4), ("count", "u1", 1), ("hot", "u1", 1)]
+_STEPS = ("o", "place")
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
-    """Byte planes of the columns, the keys as steps from row to row; mostly zeros, so they compress well."""
+    """Byte planes of the columns, keys and places as steps from row to row; mostly zeros, so they compress well."""
     planes = []
     for name, kind, width in _KEPT:
         values = columns[name]
-        if name == "o":
+        if name in _STEPS:
             values = np.diff(values, prepend=0)
         planes.append(np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes())
     return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
@@ -124,7 +125,8 @@ def _unpacked(blob: bytes, n: int) -> dict[str, np.ndarray]:
         wide = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
         wide[:, :width] = raw[start : start + n * width].reshape(width, n).T
         out[name], start = wide.view(kind).ravel(), start + n * width
-    out["o"] = np.cumsum(out["o"])
+    for name in _STEPS:
+        out[name] = np.cumsum(out[name], dtype=out[name].dtype)
     return out
 
 
@@ -215,13 +217,14 @@ def _answer(scale: Scale):
     def rows(cell, c, hot) -> pa.RecordBatch:
         # the place, the number of windows (under 64) and the mark in one number
         place = (c["place"].astype(np.int64) << 8) | (c["count"].astype(np.int64) << 1) | hot.astype(np.int64)
-        arrays = [pa.array(v) for v in (c["o"], c["part"], cell.astype(np.int64), place)]
+        arrays = [pa.array(v) for v in (c["o"], c["part"], cell, place)]
         return pa.RecordBatch.from_arrays(arrays, names=["_o", "_part", "cell", "place"])
 
-    def cells(bucket: int, low: np.ndarray) -> np.ndarray:
-        return (np.uint64(bucket << 32) | low).view(np.int64)
+    def cells(low: np.ndarray) -> np.ndarray:
+        # 32 bits bring equal anchors together; where different ones share them, suffix order keeps them apart
+        return low.astype(np.uint32).view(np.int32)
 
-    def settle(bucket: int, held: list[dict]) -> Iterator[pa.RecordBatch]:
+    def settle(held: list[dict]) -> Iterator[pa.RecordBatch]:
         c = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
         order, _ = _groups([c["low"], c["o"]])
         low = c["low"][order]
@@ -232,7 +235,7 @@ def _answer(scale: Scale):
         hot = _spread_over(np.maximum.reduceat(c["hot"][order], begin) > 0, begin, len(order)) | (docs > scale.cell)
         shared |= hot
         c = {k: v[order][shared] for k, v in c.items()}
-        yield rows(cells(bucket, c["low"]), c, hot[shared])
+        yield rows(cells(c["low"]), c, hot[shared])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -240,15 +243,15 @@ def _answer(scale: Scale):
             for row in batch.to_pylist():
                 c = _unpacked(row["blob"], row["n"])
                 if row["passing"]:
-                    yield rows(cells(row["bucket"], c["low"]), c, np.ones(row["n"], bool))
+                    yield rows(cells(c["low"]), c, np.ones(row["n"], bool))
                     continue
                 if row["bucket"] != now and held:
-                    yield from settle(now, held)
+                    yield from settle(held)
                     held = []
                 now = row["bucket"]
                 held.append(c)
         if held:
-            yield from settle(now, held)
+            yield from settle(held)
 
     return each
 
@@ -305,7 +308,7 @@ def _deal(scale: Scale):
             run = np.add.reduceat(count[s], head)
             s = s[head]
             none = pa.array([b""] * len(s), pa.binary())
-            yield rows((o[s] * 31 + place[s]) ^ (part[s] + 0x5DEECE66D), o[s], part[s], place[s], run, none)
+            yield rows(((o[s] * 31 + place[s]) & 0x7FFFFFFF).astype(np.int32), o[s], part[s], place[s], run, none)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", _PART):
@@ -333,7 +336,7 @@ def _deal(scale: Scale):
                     own = np.zeros(len(begin), np.uint64)
                     for word in _words_at(data, begin, scale.length):
                         own = _mixed(own * np.uint64(_BASE) + word)
-                    yield from sent(data, own.view(np.int64), o[each_row], part[each_row], place[each_row] + step, begin, np.ones(len(begin), np.int64))
+                    yield from sent(data, (own >> np.uint64(32)).astype(np.uint32).view(np.int32), o[each_row], part[each_row], place[each_row] + step, begin, np.ones(len(begin), np.int64))
 
     return each
 
@@ -475,24 +478,24 @@ def remove_repeats(
         F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("_o"), F.xxhash64(body).alias("_t"), row.alias("_row"), body.alias("_text")
     )
     listed = docs.select(
-        F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("_o"), F.xxhash64(body).alias("_t"), F.md5(body.cast("binary")).alias("_m"), F.octet_length(body).alias("_size")
+        F.coalesce(F.col(key).cast("bigint"), F.lit(_LAST)).alias("_o"), F.xxhash64(body).alias("_t"), F.unhex(F.md5(body.cast("binary"))).alias("_m"), F.octet_length(body).alias("_size")
     ).where(F.col("_size") >= scale.length)
     firsts = listed.groupBy("_m", "_size").agg(F.min(F.struct("_o", "_t")).alias("_f")).select("_f._o", "_f._t", "_size")
     # texts of one key are told apart by a number that is zero for most keys
     least = firsts.groupBy("_o").agg(F.min("_t").alias("_least"))
     firsts = written(firsts.join(least, "_o").withColumn("_part", F.col("_t").bitwiseXOR(F.col("_least"))).select("_o", "_t", "_part", "_size"))
     total = firsts.agg(F.sum("_size")).first()[0] or 0
-    buckets = max(256, int(total * 2 / (scale.span + 1) / 500_000))
+    buckets = max(64, int(total * 2 / (scale.span + 1) / 500_000))
 
     # row columns go along so that all passes read one exchange of the texts
     asks = dealt.join(firsts.drop("_size"), ["_o", "_t"]).select("_o", "_part", "_row", "_text")
     asks = asks.mapInArrow(_ask(scale, buckets), "home int, bucket int, passing boolean, n int, blob binary")
     met = asks.repartition("home").sortWithinPartitions("bucket", "passing")
-    answers = met.mapInArrow(_answer(scale), "_o bigint, _part bigint, cell bigint, place bigint")
+    answers = met.mapInArrow(_answer(scale), "_o bigint, _part bigint, cell int, place bigint")
     asked = answers.groupBy("_o", "_part").agg(F.collect_list(F.struct("cell", "place")).alias("_asked"))
     asked = firsts.drop("_size").join(asked, ["_o", "_part"])
     pieces = dealt.join(asked, ["_o", "_t"]).select("_o", "_part", "_row", "_text", "_asked")
-    pieces = pieces.mapInArrow(_deal(scale), "cell bigint, _o bigint, _part bigint, place int, count int, body binary")
+    pieces = pieces.mapInArrow(_deal(scale), "cell int, _o bigint, _part bigint, place int, count int, body binary")
     windows = pieces.repartition("cell").sortWithinPartitions("cell").mapInArrow(
         _settle(scale), "_o bigint, _part bigint, place int, count int"
     )
