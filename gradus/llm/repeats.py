@@ -15,9 +15,9 @@ from gradus.llm.common import as_text, documents, slices, text_bytes, written
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 19  # bytes hashed at a time
-_HELD = 8 << 20  # text bytes whose anchors are compared in one task before they are sent
-_PART = 4 << 20  # text bytes whose pieces are compared
-_SUFFIXES = 400_000  # suffixes sorted at a time
+_HELD = 4 << 20  # text bytes whose anchors are compared in one task before they are sent
+_PART = 2 << 20  # text bytes whose pieces are compared
+_SUFFIXES = 200_000  # suffixes sorted at a time
 _LAST = (1 << 63) - 1
 
 
@@ -485,7 +485,7 @@ def remove_repeats(
     least = firsts.groupBy("_o").agg(F.min("_t").alias("_least"))
     firsts = written(firsts.join(least, "_o").withColumn("_part", F.col("_t").bitwiseXOR(F.col("_least"))).select("_o", "_t", "_part", "_size"))
     total = firsts.agg(F.sum("_size")).first()[0] or 0
-    buckets = max(64, int(total * 2 / (scale.span + 1) / 500_000))
+    buckets = max(256, int(total * 2 / (scale.span + 1) / 500_000))
 
     # row columns go along so that all passes read one exchange of the texts
     asks = dealt.join(firsts.drop("_size"), ["_o", "_t"]).select("_o", "_part", "_row", "_text")
