@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -206,21 +206,29 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return printed.join(named, "fingerprint").select(key, "fingerprint", "component")
 
 
-def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of ``docs`` that come first in their group of near duplicates, all columns as they are.
-
-    First is the smallest integer key, null last; of rows with one key, the one with the least text hash; of equal rows, any.
-    """
+def first_rows(docs: DataFrame, key: str, text: str, firsts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` whose ``_o, _t`` are in ``firsts`` of their keys and texts, ``_k, _text``; of equal rows, any."""
     body = as_text(text)
     order = F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1))
     names = docs.columns
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], order.alias("_o"), F.xxhash64(body).alias("_t"))
     keyed = docs.select(F.struct(order.alias("_o"), F.xxhash64(body).alias("_t")).alias("_k"), body.alias("_text"))
-    first = near_groups(keyed, "_k", "_text", words, budget).select("component._o", "component._t").distinct()
-    kept = marked.join(first, ["_o", "_t"], "left_semi").dropDuplicates(["_o", "_t"])
+    kept = marked.join(firsts(keyed), ["_o", "_t"], "left_semi").dropDuplicates(["_o", "_t"])
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+    """The rows of ``docs`` that come first in their group of near duplicates, all columns as they are.
+
+    First is the smallest integer key, null last; of rows with one key, the one with the least text hash; of equal rows, any.
+    """
+
+    def firsts(keyed: DataFrame) -> DataFrame:
+        return near_groups(keyed, "_k", "_text", words, budget).select("component._o", "component._t").distinct()
+
+    return first_rows(docs, key, text, firsts)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the smallest document its chain of near fingerprints reaches."""
     found = near_groups(documents(spark, sf_dir))
