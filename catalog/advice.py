@@ -207,22 +207,31 @@ def recommend_from_vectors(spark, sf):
     )
 
 
-def entity_detail(spark, sf):
-    """Detail page of every described occupation with a preview of its text."""
-    occ = _occupations(described(spark, sf))
-    return occ.select(
+def _detail(described_occupations: DataFrame) -> DataFrame:
+    return _occupations(described_occupations).select(
         "soc_code", "occ_title", F.round("median_wage_me", 4).alias("median_wage_me"), "wealth_tier",
         "cluster_kmeans", "cluster_gmm", "cluster_agglom", "cluster_hdbscan",
         text.preview(F.col("skill_description"), 500, "...").alias("skill_description_preview"),
     )
 
 
+def entity_detail(spark, sf):
+    """Detail page of every described occupation that has a vector, with a preview of its text."""
+    return _detail(described(spark, sf))
+
+
+def entity_detail_with_pay(spark, sf):
+    """Detail page of every described occupation that has a wage, with groupings from the key."""
+    return _detail(described_with_pay(spark, sf))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recommend_progress, recommend_pivot, recommend_field_change, membership_entropy, cosine_to_neighbour,
         knn_graph, wage_blend_features, closest_topk, skill_gap_words, request_validation, request_defaults,
         text_request_validation, pathway_assembly, recommend_from_text, recommend_from_vectors, entity_detail,
+        entity_detail_with_pay,
     )
 }
 
@@ -384,4 +393,14 @@ SQL = {
                case when label = 9 then -1 else label end::bigint cluster_hdbscan,
                substring(text, 1, 500) || '...' skill_description_preview
         from p join documents on doc_id = id join orders on o_orderkey = id""",
+    "entity_detail_with_pay": """
+        with p as (select doc_id id, doc_id % 10 label, o_totalprice / 3.0::double w, o_orderpriority title, text
+                   from documents join orders on o_orderkey = doc_id)
+        select id::varchar soc_code, title occ_title, round(w, 4) median_wage_me,
+               case when w < 55000 then 'Tier 1 — Entry/Support' when w < 80000 then 'Tier 2 — Technical Core'
+                    when w < 110000 then 'Tier 3 — Senior/Specialist' else 'Tier 4 — Leadership/Expert' end wealth_tier,
+               label::bigint cluster_kmeans, (label % 4)::bigint cluster_gmm, (label % 3)::bigint cluster_agglom,
+               case when label = 9 then -1 else label end::bigint cluster_hdbscan,
+               substring(text, 1, 500) || '...' skill_description_preview
+        from p""",
 }
