@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, common, mixing, near_copies, quality, repeats
+from gradus.llm import bpe, common, mixing, quality, repeats, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that chains of near copies connect: five-word shingles of similarity 0.8 or more."""
-    return near_copies.first_of_groups(docs.select(COLUMNS))
+    """One document of each group that chains of near fingerprints connect: three-word shingles, two bits at most."""
+    return simhash.first_of_groups(docs.select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-# Near copies and byte-pair encoding have no SQL; tests compare the stages with plain versions.
+# Fingerprints and byte-pair encoding have no SQL; tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
