@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _PARTS = [
-    "toxicity", "bpe", "chat", "sharding", "language", "quality", "repeats", "mixing", "order_minhash", "simhash",
+    "toxicity", "bpe", "chat", "sharding", "language", "quality", "repeats", "mixing", "order_minhash", "simhash", "spelling",
 ]
 
 

@@ -43,22 +43,33 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             start = stop
 
 
-def word_places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of every word, and the n + 1 places in that list where each row's words begin."""
-    inside = ~SPACES[data]
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every run of marked bytes within a row, and the n + 1 places in that list where each row's runs begin."""
     before = np.empty_like(inside)
     before[:1] = False
     before[1:] = inside[:-1]
     after = np.empty_like(inside)
     after[-1:] = False
     after[:-1] = inside[1:]
-    edges = at[(at > 0) & (at < len(data))]
+    edges = at[(at > 0) & (at < len(inside))]
     before[edges] = False
     after[edges - 1] = False
     starts = np.flatnonzero(inside & ~before)
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, at)
 
 
+def word_places(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every word, and the n + 1 places in that list where each row's words begin."""
+    return runs(~SPACES[data], at)
+
+
+def pieces(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """The runs of marked bytes as one dictionary-encoded column."""
+    at = np.concatenate([[0], np.cumsum(ends - starts)])
+    held = [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), held).dictionary_encode()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors see."""
     return f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"

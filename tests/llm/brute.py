@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -95,3 +96,43 @@ def line_counts(text):
         len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), n_repeat,
         len(w) < 50 or 100 * n_repeat > 50 * len(w),
     )
+
+
+RUN = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def counted(rows, every=97, least=5):
+    """How often each word occurs, for rows of key, text."""
+    n = {}
+    for k, t in rows:
+        for w in RUN.findall(t or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if k is None else k}:{w}".encode())
+            if every and h % every == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= least:
+                n[w] = n.get(w, 0) + 1
+    return n
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(a == b[:i] + b[i + 1 :] for i in range(len(b)))
+
+
+def variants(n):
+    """``(word, form, root, n, n_near, form_n)`` by comparing all words with all."""
+    form, near = {}, {}
+    for w in n:
+        near[w] = [v for v in n if v != w and abs(len(v) - len(w)) < 2 and one_edit(w, v)]
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return out
