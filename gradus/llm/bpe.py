@@ -144,14 +144,19 @@ class Encoder:
         return " ".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def tokenizer_path(path: str) -> str:
+    """A bare name is one of the public tokenizers' files."""
+    if os.path.isabs(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each task process; a bare name is one of the public tokenizers' files."""
-    if not os.path.isabs(path):
-        import public_tokenizers
-
-        path = public_tokenizers.path(path)
-    return Encoder(path)
+    """One for each task process."""
+    return Encoder(tokenizer_path(path))
 
 
 def encode(docs: DataFrame, text: str = "text", path: str = "word_bpe_49k.json", decode: bool = True) -> DataFrame:

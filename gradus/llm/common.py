@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -82,5 +84,10 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def worker_store() -> dict:
+    """What stays in a worker process from task to task; the package itself comes anew with every task."""
+    return sys.modules.setdefault("_gradus_worker", types.ModuleType("_gradus_worker")).__dict__
+
+
 def as_text(column) -> F.Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
