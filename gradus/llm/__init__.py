@@ -6,6 +6,7 @@ from importlib import import_module
 
 _PARTS = [
     "toxicity", "bpe", "chat", "sharding", "language", "quality", "repeats", "mixing", "order_minhash", "simhash", "spelling",
+    "token_files", "periods",
 ]
 
 

@@ -136,3 +136,38 @@ def variants(n):
             root = form[root]
         out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
     return out
+
+
+def periodic_runs(words):
+    """``(start, length, period)`` of every run, by trying each period at each place."""
+    n, out = len(words), []
+    code = {}
+    at = [code.setdefault(w, len(code)) for w in words]
+    for p in range(1, n // 4 + 1):
+        i = 0
+        while i + p < n:
+            j = i
+            while j + p < n and at[j] == at[j + p]:
+                j += 1
+            length = j - i + p
+            if j > i and length >= max(6, 4 * p):
+                run = at[i : i + length]
+                if all(run[q:] != run[:-q] for q in range(1, p)):
+                    out.append((i, length, p))
+            i = j + 1
+    return sorted(out)
+
+
+def collapsed(words, runs):
+    gone = {i for s, n, p in runs for i in range(s + p, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def planted(key, words):
+    h = zlib.crc32(str(key).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
