@@ -22,7 +22,8 @@ LEAST_PAIRS = 32  # a pair that occurs less often gets no rule
 END = 1
 _MAGIC = b"RPID"
 _HEADER = "<4sIIIIQ"  # magic, alphabet, rules, symbols, bytes a symbol, ids
-_REMEMBERED = 1_000_000  # pieces a task remembers; all are dropped when there are more
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+_REMEMBERED = 2_000_000  # pieces a task remembers; all are dropped when there are more
 _SLICE_BYTES = 8 << 20
 _BAND = 32
 _BUCKET_BITS = 18
@@ -200,9 +201,10 @@ class Pieces:
             self.forget()
             found = pa.nulls(len(words), pa.int32())
         missing = found.is_null()
+        numbers, places, before = found.fill_null(-1).to_numpy().astype(np.int64), [], len(self.known)
         new = words.filter(missing)
         # a word of letters alone ends with the one token that carries an end mark, so many take one call
-        plain = pc.match_substring_regex(new, "^[A-Za-z]+$") if self.ends.any() else pa.repeat(pa.scalar(False), len(new))
+        plain = pc.match_substring_regex(new, f"^{_LETTER}+$") if self.ends.any() else pa.repeat(pa.scalar(False), len(new))
         for part, listed in ((new.filter(plain), False), (new.filter(pc.invert(plain)), True)):
             texts = part.to_pylist()
             if not texts:
@@ -215,10 +217,12 @@ class Pieces:
                 size = np.diff(np.flatnonzero(self.ends[ids[0]]), prepend=-1)
                 if len(size) != len(texts):
                     raise ValueError("a word of letters has more than one end mark")
+            places.append(np.flatnonzero(missing)[np.flatnonzero(pc.invert(plain) if listed else plain)])
             self.known = pa.concat_arrays([self.known, part])
             self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *ids])
-        found = pc.index_in(words, value_set=self.known) if len(new) else found
-        return found.to_numpy().astype(np.int64)
+        if places:
+            numbers[np.concatenate(places)] = np.arange(before, len(self.known))
+        return numbers
 
 
 def _pieces(path: str) -> Pieces:
@@ -235,7 +239,7 @@ def encoded(column: pa.Array, path: str, end: int | None = END) -> tuple[np.ndar
     words do in such a tokenizer, whatever stands beside them.
     """
     known = _pieces(path)
-    listed = pc.ascii_split_whitespace(pc.replace_substring_regex(column, "([A-Za-z])([,.;:!?])", r"\1 \2"))
+    listed = pc.ascii_split_whitespace(pc.replace_substring_regex(column, f"({_LETTER})([,.;:!?])", r"\1 \2"))
     coded = listed.flatten().dictionary_encode()
     numbers = known.of(coded.dictionary)
     size, flat = np.append(known.size, end is not None), known.flat if end is None else np.append(known.flat, np.uint32(end))
