@@ -24,7 +24,7 @@ _MAGIC = b"RPID"
 _HEADER = "<4sIIIIQ"  # magic, alphabet, rules, symbols, bytes a symbol, ids
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 _REMEMBERED = 2_000_000  # pieces a task remembers; all are dropped when there are more
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 _BAND = 32
 _BUCKET_BITS = 18
 _LEFT, _RIGHT = np.uint32(2654435769), np.uint32(2246822519)
