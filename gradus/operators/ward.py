@@ -105,10 +105,10 @@ def ward_merges(
     while n > few:
         # A merged group is no closer to a third one than the nearer of its two parts was, so only groups that merged, or
         # whose partner did, look anew.
-        asking = groups if known is None else cut_lineage(groups.join(known.select("node"), "node", "left_anti"))
+        asking = groups if known is None else groups.join(known.select("node"), "node", "left_anti")
         found = blocks.all_against_all(
             asking, groups, "node", "node", width, _nearest, _NEAREST,
-            held_bytes=held_bytes, block_rows=block_rows, counts=(n if known is None else asking.count(), n),
+            held_bytes=held_bytes, block_rows=block_rows, counts=(n, n),
         )
         nearest = found.groupBy("node").agg(F.min(F.struct("cost", "other")).alias("b")).select("node", "b.other", "b.cost")
         nearest = cut_lineage(nearest if known is None else nearest.unionByName(known))
@@ -142,7 +142,7 @@ def ward_merges(
             )
         )
         groups = joined.select("node", "vec", "size")
-        n = groups.count()
+        n -= mutual.count()
     merges.append(spark.createDataFrame(_finish(groups.toPandas()), _MERGES))
     out = merges[0]
     for part in merges[1:]:

@@ -261,3 +261,25 @@ def test_criterion():
     assert not mixture.better(-99.5, 0.1, -100.0, 0.5, by_size=True)
     assert mixture.better(-99.5, 0.6, -100.0, 0.5)
     assert not mixture.better(-90.0, 0.9, -100.0, 0.5)
+
+
+def test_ward_rounds_keep_a_flat_size_estimate(spark, monkeypatch, capsys):
+    """State that is read back has its own size, so estimates do not multiply from round to round."""
+    from gradus.operators import ward
+
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(260, 3)).cumsum(axis=0))]
+    sizes, plain = [], ward.cut_lineage
+
+    def watched(frame):
+        out = plain(frame)
+        sizes.append(int(str(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+        return out
+
+    monkeypatch.setattr(ward, "cut_lineage", watched)
+    merges = ward.ward_merges(spark.createDataFrame(rows, "id BIGINT, v ARRAY<DOUBLE>"), "id", "v", 3, few=4)
+    assert merges.count() == 259
+    rounds = (len(sizes) - 1) // 3
+    with capsys.disabled():
+        print(f" {rounds} rounds", end="")
+    assert rounds >= 5 and max(sizes) < 1 << 20
