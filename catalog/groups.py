@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog.tables import VECTOR_WIDTH, entities, table, with_groupings
 from gradus import fixed
 from gradus.functions import numeric
-from gradus.operators import blocks, choose, density, features, kmeans, mixture, ranking, silhouette, ward
+from gradus.operators import blocks, choose, density, features, hierarchy, kmeans, mixture, ranking, silhouette, ward
 from gradus.plans import clustering, galaxy
 from gradus.session import cut_lineage
 
@@ -155,6 +155,20 @@ def medians_with_infinities(spark, sf):
     return found.select("l_returnflag", F.round("median_price", 4).alias("median_price"), "n_values")
 
 
+def density_given_edges(spark, sf):
+    """Density clusters of all customers from a given tree: neighbours by balance, apart by the cents between them."""
+    cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
+    told = table(spark, sf, "customer").select(F.col("c_custkey").cast("bigint").alias("key"), cents.alias("cents"))
+    placed = cut_lineage(ranking.global_index(told, [F.col("cents"), F.col("key")], "place"))
+    after = placed.select(F.col("key").alias("_key"), F.col("cents").alias("_cents"), (F.col("place") - 1).alias("place"))
+    tree = placed.join(after, "place").select(
+        F.least("key", "_key").alias("lo"), F.greatest("key", "_key").alias("hi"), ((F.col("_cents") - F.col("cents") + 1) / 100.0).alias("w")
+    )
+    labels = cut_lineage(hierarchy.condensed_clusters(placed, cut_lineage(tree), min_size=5, stretch=20_000))
+    least = labels.where("label <> -1").groupBy("label").agg(F.min("key").alias("first_key"))
+    return labels.join(least, "label", "left").select(F.col("key").alias("c_custkey"), F.coalesce("first_key", F.lit(-1)).alias("first_key"))
+
+
 def pca_galaxy(spark, sf):
     df = _grouped(spark, sf).withColumn("feature_vector", F.col("vec"))
     return galaxy.galaxy_points(df, "kmeans")
@@ -166,6 +180,7 @@ QUERIES = {
         silhouette_by_row, silhouette_scores, best_method_select, group_medians, relabel_by_wage, cluster_overview,
         cluster_members, galaxy_layout, kmeans_sweep, gmm_bic_sweep, ward_sweep, ward_merges, density_cluster,
         core_distance, kmeans_fixed_starts, mixture_step, ward_identity, medians_with_infinities, pca_galaxy,
+        density_given_edges,
     )
 }
 
@@ -212,6 +227,36 @@ SQL = {
     "ward_identity": f"""with {_P}, x as (select k, e[k] v from p, range(1, {VECTOR_WIDTH + 1}) g(k)),
         s as (select k, var_pop(v) * count(*) d from x group by k)
         select (select count(*) - 1 from p) n_merges, round(sum(d), 4) deviation from s""",
+    "density_given_edges": """with recursive
+        p as (select c_custkey::bigint k, round(c_acctbal * 100)::bigint v, row_number() over (order by round(c_acctbal * 100)::bigint, c_custkey) - 1 r
+              from customer),
+        g as (select r, (v2 - v + 1) / 100.0::double w, least(k, k2) lo, greatest(k, k2) hi
+              from (select *, lead(v) over (order by r) v2, lead(k) over (order by r) k2 from p) where k2 is not null),
+        e as (select r, w, row_number() over (order by w, lo, hi) pos from g),
+        h as (select min(r) l, max(r) u, min(r) cl, max(r) cu, null::bigint pl, null::bigint pu, null::double born, false small, null::double lv, 0 depth from p
+              union all
+              select if(side = 0, s.l, cut + 1), if(side = 0, cut, s.u),
+                     if(big > 1, if(side = 0, s.l, cut + 1), cl), if(big > 1, if(side = 0, cut, s.u), cu),
+                     if(big > 1, cl, pl), if(big > 1, cu, pu), if(big > 1, 1 / w, born),
+                     big < 2 and if(side = 0, cut - s.l + 1, s.u - cut) < 5, 1 / w, depth + if(big > 1, 1, 0)
+              from (select h.*, x.cut, x.w, (if(x.cut - h.l + 1 >= 5, 1, 0) + if(h.u - x.cut >= 5, 1, 0)) big
+                    from h join (select h.l, h.u, arg_max(e.r, e.pos) cut, arg_max(e.w, e.pos) w from h join e on e.r >= h.l and e.r < h.u
+                                 where not h.small group by h.l, h.u) x on x.l = h.l and x.u = h.u
+                    where not h.small) s, range(2) t(side)),
+        c as (select distinct cl, cu, pl, pu, born, depth from h),
+        fallen as (select cl, cu, sum((u - l + 1) * lv) f from h where small group by 1, 2),
+        halved as (select pl cl, pu cu, sum(cu - cl + 1) * any_value(born) f from c where pl is not null group by 1, 2),
+        s as (select c.*, coalesce(a.f, 0) + coalesce(b.f, 0) - (c.cu - c.cl + 1) * coalesce(born, 0) own
+              from c left join fallen a on a.cl = c.cl and a.cu = c.cu left join halved b on b.cl = c.cl and b.cu = c.cu),
+        best as (select cl, cu, pl, pu, depth, own b, pl is not null m from s where depth = (select max(depth) from s)
+                 union all
+                 select s.cl, s.cu, any_value(s.pl), any_value(s.pu), s.depth, greatest(any_value(s.own), coalesce(sum(o.b), 0)),
+                        any_value(s.pl) is not null and any_value(s.own) >= coalesce(sum(o.b), 0)
+                 from s left join best o on o.pl = s.cl and o.pu = s.cu where s.depth = (select max(depth) - 1 from best)
+                 group by s.cl, s.cu, s.depth),
+        top as (select * from best a where m and not exists (select 1 from best b where b.m and b.cl <= a.cl and b.cu >= a.cu and (b.cl <> a.cl or b.cu <> a.cu))),
+        lab as (select p.k, top.cl from p left join top on p.r between top.cl and top.cu)
+        select k c_custkey, if(cl is null, -1, min(k) over (partition by cl)) first_key from lab""",
     "medians_with_infinities": """
         select l_returnflag, round(median(case l_orderkey % 50 when 0 then 'inf'::double when 1 then '-inf'::double else l_extendedprice end), 4)
                median_price, count(*) n_values from lineitem group by 1""",

@@ -1,27 +1,22 @@
 """Density clustering: mutual-reachability tree, condensed hierarchy, stability selection.
 
 The tree is exact: every round each component looks for its shortest edge to another
-component over blocks of matrices. The hierarchy is read off the sorted edges a bounded
-stretch at a time; between stretches only the state of each component is kept.
+component over blocks of matrices. ``hierarchy`` reads the clusters off its sorted edges.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus.operators import blocks, forest
-from gradus.operators.ranking import global_index, relabel_by_median
+from gradus.operators.hierarchy import STRETCH, condensed_clusters
+from gradus.operators.ranking import relabel_by_median
 from gradus.operators.silhouette import silhouette_score
 from gradus.session import cut_lineage
 
-STRETCH = 1_000_000
-SHORTEST = 1e-12
-
 
 # -- Mutual-reachability tree -------------------------------------------------
 
@@ -134,121 +129,7 @@ def reachability_tree(
     return edges
 
 
-# -- Condensed hierarchy ------------------------------------------------------
-
-
-@dataclass
-class _State:
-    """What later merges need to know about a component."""
-
-    size: int = 1
-    cluster: int = -1
-    leave: float = 0.0  # sum of the levels at which members leave the cluster
-    best: float = 0.0  # best stability of clusters below
-
-
-@dataclass
-class _Outcome:
-    states: dict[int, _State]
-    moved: dict[int, int] = field(default_factory=dict)  # component -> component it went into
-    entered: dict[int, int] = field(default_factory=dict)  # component -> cluster its members belong to
-    clusters: list[tuple[int, int, bool]] = field(default_factory=list)  # cluster, parent, stable
-
-
-def _merge_stretch(edges: list[tuple[int, int, int, float]], states: dict[int, _State], min_size: int) -> _Outcome:
-    """Merge components along ascending edges ``(position, a, b, weight)``."""
-    out = _Outcome(states)
-    root: dict[int, int] = {}
-    # Components without a cluster are below the minimum size: the ones each began as.
-    loose: dict[int, list[int]] = {}
-
-    def find(x: int) -> int:
-        while x in root:
-            if root[x] in root:
-                root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for position, a, b, w in edges:
-        a, b = find(a), find(b)
-        if a > b:
-            a, b = b, a
-        first, second = states.setdefault(a, _State()), states.setdefault(b, _State())
-        level = 1.0 / max(w, SHORTEST)
-        merged = _State(first.size + second.size)
-        if first.cluster >= 0 and second.cluster >= 0:
-            merged.cluster = position
-            merged.leave = merged.size * level
-            for s in (first, second):
-                stability = s.leave - s.size * level
-                stable = stability >= s.best
-                merged.best += stability if stable else s.best
-                out.clusters.append((s.cluster, position, stable))
-        elif first.cluster >= 0 or second.cluster >= 0:
-            grown, falling, where = (first, second, b) if first.cluster >= 0 else (second, first, a)
-            merged.cluster, merged.best = grown.cluster, grown.best
-            merged.leave = grown.leave + falling.size * level
-            out.entered.update(dict.fromkeys(loose.pop(where, [where]), grown.cluster))
-        elif merged.size >= min_size:
-            merged.cluster = position
-            merged.leave = merged.size * level
-            out.entered.update(dict.fromkeys(loose.pop(a, [a]) + loose.pop(b, [b]), position))
-        else:
-            loose[a] = loose.pop(a, [a]) + loose.pop(b, [b])
-        states[a] = merged
-        del states[b]
-        root[b] = a
-    out.moved = {x: find(x) for x in root}
-    return out
-
-
-def condensed_clusters(
-    points: DataFrame, tree: DataFrame, min_size: int = 2, stretch: int = STRETCH, small: int = forest.SMALL
-) -> DataFrame:
-    """``key, label`` with the selected cluster of every row, -1 for noise."""
-    spark = points.sparkSession
-    edges = cut_lineage(global_index(tree, [F.col("w"), F.col("lo"), F.col("hi")], "position"))
-    n_edges = edges.count()
-    where = points.select("key", F.col("key").alias("comp"), F.lit(None).cast("bigint").alias("cluster"))
-    state = spark.createDataFrame([], "comp BIGINT, size BIGINT, cluster BIGINT, leave DOUBLE, best DOUBLE")
-    tree_rows = spark.createDataFrame([], "node BIGINT, parent BIGINT, marked BOOLEAN")
-    for start in range(0, max(n_edges, 1), stretch):
-        piece = edges.where((F.col("position") >= start) & (F.col("position") < start + stretch))
-        at = where.select(F.col("key").alias("_key"), "comp")
-        joined = (
-            piece.join(at.withColumnsRenamed({"_key": "lo", "comp": "a"}), "lo")
-            .join(at.withColumnsRenamed({"_key": "hi", "comp": "b"}), "hi")
-            .select("position", "a", "b", "w")
-        )
-        rows = sorted(tuple(r) for r in joined.collect())
-        touched = joined.select(F.explode(F.array("a", "b")).alias("comp")).distinct()
-        known = {
-            r["comp"]: _State(r["size"], r["cluster"], r["leave"], r["best"])
-            for r in state.join(touched, "comp").collect()
-        }
-        out = _merge_stretch(rows, known, min_size)
-        moves = [(c, to, out.entered.get(c)) for c, to in out.moved.items()]
-        moves += [(c, c, k) for c, k in out.entered.items() if c not in out.moved]
-        moved = spark.createDataFrame(moves, "comp BIGINT, _to BIGINT, _cluster BIGINT")
-        entering = _entry_clusters(where, moved)
-        where = cut_lineage(entering)
-        fresh = spark.createDataFrame(
-            [(c, s.size, s.cluster, s.leave, s.best) for c, s in out.states.items()], state.schema
-        )
-        state = cut_lineage(state.join(touched, "comp", "left_anti").unionByName(fresh))
-        tree_rows = tree_rows.unionByName(spark.createDataFrame(out.clusters, tree_rows.schema))
-    # What is left at the end is the cluster of everything: never selected.
-    last = state.where("cluster >= 0").select(F.col("cluster").alias("node"), F.lit(None).cast("bigint").alias("parent"), F.lit(False).alias("marked"))
-    top = forest.topmost(cut_lineage(tree_rows.unionByName(last)), small)
-    return where.join(top.withColumnRenamed("node", "cluster"), "cluster", "left").select(
-        "key", F.coalesce("top", F.lit(-1)).alias("label")
-    )
-
-
-def _entry_clusters(where: DataFrame, moved: DataFrame) -> DataFrame:
-    return where.join(moved, "comp", "left").select(
-        "key", F.coalesce("_to", "comp").alias("comp"), F.coalesce("cluster", "_cluster").alias("cluster")
-    )
+# -- Labels ------------------------------------------------------------------
 
 
 def density_clusters(

@@ -43,6 +43,32 @@ def roots(links: DataFrame, small: int = SMALL) -> DataFrame:
             return current.withColumnRenamed("parent", "root")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """``node, root`` for every end of links ``x, y``; nodes that links connect share their root, one of them.
+
+    Every round each node turns to the neighbour, or itself, that is first in an order drawn anew; links between what nodes
+    turned to go on. The number of linked nodes falls by a constant share a round.
+    """
+    edges = cut_lineage(links.select("x", "y").where("x <> y").distinct())
+    turns = []
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        choices = both.unionByName(both.select("x", F.col("x").alias("y")))
+        drawn = F.struct(F.xxhash64("y", F.lit(len(turns))), "y")
+        turn = cut_lineage(choices.groupBy("x").agg(F.min_by("y", drawn).alias("to")))
+        turns.append(turn.select(F.col("x").alias("node"), F.col("to").alias("parent")))
+        for c in ("x", "y"):
+            edges = edges.join(turn.select(F.col("x").alias(c), F.col("to").alias(f"_{c}")), c).drop(c).withColumnRenamed(f"_{c}", c)
+        edges = cut_lineage(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
+    if not turns:
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
+    found = turns.pop().withColumnRenamed("parent", "root")
+    while turns:
+        upper = found.select(F.col("node").alias("parent"), "root")
+        found = cut_lineage(turns.pop().join(upper, "parent", "left").select("node", F.coalesce("root", "parent").alias("root")))
+    return found
+
+
 def topmost(tree: DataFrame, small: int = SMALL) -> DataFrame:
     """``node, top``: the highest marked node among each node and its ancestors, or NULL.
 

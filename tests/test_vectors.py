@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import density, forest, kmeans, mixture, silhouette, similarity, ward
+from gradus.operators import density, forest, hierarchy, kmeans, mixture, silhouette, similarity, ward
 
 D = 5
 
@@ -215,6 +215,22 @@ def test_density_with_many_copies(spark):
     assert len(one) == 1
 
 
+def test_stable_clusters_both_ways(spark):
+    """Rounds over chains, bushes and random trees choose as one pass from the leaves does."""
+    rng = np.random.default_rng(5)
+    rows, free = [], []
+    for node in range(120):  # two finished nodes meet in the next, or a new leaf begins
+        if len(free) > 1 and rng.random() < 0.6:
+            for child in (free.pop(), free.pop(rng.integers(len(free)) if rng.random() < 0.3 else -1)):
+                rows[child][1] = node
+        rows.append([node, None, float(rng.integers(0, 9))])
+        free.append(node)
+    chain = [[1000 + i, 1000 + i + 2 - i % 2 if i < 78 else None, float(rng.integers(0, 30))] for i in range(80)]
+    clusters = spark.createDataFrame(rows + chain, "node BIGINT, parent BIGINT, stability DOUBLE")
+    one, other = (sorted(map(tuple, hierarchy.stable(clusters, small).collect())) for small in (1000, 3))
+    assert one == other and sum(r[2] for r in one) > 20
+
+
 def test_forest_both_ways(spark):
     links = [(i, i // 2) for i in range(1, 64)]
     tree = [(i, i // 2 if i > 1 else None, i in (5, 11, 3)) for i in range(1, 64)]
