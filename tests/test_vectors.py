@@ -299,3 +299,25 @@ def test_ward_rounds_keep_a_flat_size_estimate(spark, monkeypatch, capsys):
     with capsys.disabled():
         print(f" {rounds} rounds", end="")
     assert rounds >= 5 and max(sizes) < 1 << 20
+
+
+def test_neighbours_in_blocks_around_pivots(spark):
+    """Clusters of unlike sizes, copies and zero rows: the same neighbours as by brute force, from under half of all block pairs."""
+    from gradus.operators import pivots
+
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(8, 12))
+    x = np.concatenate([c + rng.normal(scale=0.02, size=(n, 12)) for c, n in zip(centers, (90, 5, 40, 30, 20, 60, 25, 28))] + [np.zeros((2, 12))])
+    x[10:50] = x[10]
+    u = x / np.where(x.any(1), np.linalg.norm(x, axis=1), 1)[:, None]
+    sim = np.round(u @ u.T, 9)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id BIGINT, vec ARRAY<DOUBLE>").repartition(3)
+    got = {}
+    for r in similarity.knn_graph(df, "id", "vec", 12, k=7, held_bytes=0, block_rows=15).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == {i: [int(j) for j in np.lexsort((np.arange(len(x)), -sim[i]))[:7]] for i in range(len(x))}
+    asking, there = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "ordinal")
+    left, right, pairs = pivots.near_blocks(asking, there, 7, len(x), 12, 0, 15)
+    every = left.select("own", "turn").distinct().count() * right.select("cell", "piece").distinct().count()
+    assert pairs.count() < 0.5 * every
