@@ -28,11 +28,8 @@ def silhouette_by_row(spark, sf):
 
 
 def _scores(spark, sf) -> DataFrame:
-    df = _grouped(spark, sf)
-    scores = {
-        m: silhouette.silhouette_score(df, "ordinal", "vec", c, VECTOR_WIDTH) for m, c in fixed.METHOD_COLUMNS.items()
-    }
-    return choose.score_table(spark, scores)
+    found = silhouette.silhouette_scores(_grouped(spark, sf), "ordinal", "vec", list(fixed.METHOD_COLUMNS.values()), VECTOR_WIDTH)
+    return choose.score_table(spark, {m: found[c] for m, c in fixed.METHOD_COLUMNS.items()})
 
 
 def silhouette_scores(spark, sf):

@@ -11,30 +11,62 @@ from pyspark.sql import functions as F
 
 from gradus.operators import blocks, sums
 from gradus.operators.ranking import relabel_by_median
-from gradus.operators.silhouette import silhouette_score
+from gradus.operators.silhouette import silhouette_scores
+from gradus.session import cut_lineage
 
 KS = (3, 4, 5)
 STARTS = 10
 REFIT_STARTS = 15
-# Rows, those with the least key hashes, among which first centers are drawn; fits use all rows.
-SEED_ROWS = 2048
 
 
-def seed_rows(df: DataFrame, key: str, vec: str, rows: int = SEED_ROWS) -> np.ndarray:
-    picked = df.select(key, F.col(vec).alias("vec")).orderBy(F.xxhash64(key), key).limit(rows).toArrow()
-    return blocks.matrix(picked["vec"])
+def _drawn(hashes: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers between 0 and 1 for rows, the same wherever a row is read."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def spread_centers(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """First centers drawn one by one, farther rows likelier."""
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(x)))]
-    nearest = blocks.square_distances(x, x[chosen])[:, 0]
-    for _ in range(k - 1):
-        total = nearest.sum()
-        chosen.append(int(rng.choice(len(x), p=nearest / total)) if total > 0 else chosen[-1])
-        nearest = np.minimum(nearest, blocks.square_distances(x, x[chosen[-1:]])[:, 0])
-    return x[chosen].copy()
+def spread_starts(df: DataFrame, key: str, vec: str, asked: list[tuple[int, int]]) -> list[np.ndarray]:
+    """First centers of every ``(k, seed)``, drawn one by one from all rows, farther rows likelier.
+
+    One scan draws the next center of all starts: a row with weight w, its squared distance to the centers so far, and a
+    number u drawn by its key's hash has the score log(u) / w, and the greatest score is as likely a row's as its share of
+    the weights. Only each task's best row a start moves.
+    """
+    rows = df.select(F.xxhash64(key).alias("h"), F.col(vec).alias("vec"))
+    chosen: list[list[np.ndarray]] = [[] for _ in asked]
+
+    def scan(turn: int, open_: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                x, h = blocks.matrix(pa.Table.from_batches([batch])["vec"]), batch.column("h").to_numpy()
+                for i in open_:
+                    far = blocks.square_distances(x, np.stack(chosen[i])).min(1) if turn else np.ones(len(x))
+                    with np.errstate(divide="ignore"):
+                        score = np.log(_drawn(h, asked[i][1] * 1009 + turn)) / far
+                    at = np.lexsort((h, score))[-1]
+                    if far[at] > 0 and (i not in best or (score[at], h[at]) > best[i][:2]):
+                        best[i] = (float(score[at]), int(h[at]), x[at].tolist())
+            found = [(i, *b) for i, b in best.items()]
+            columns = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.float64())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["start", "score", "h", "vec"])
+
+        return run
+
+    for turn in range(max(k for k, _ in asked)):
+        open_ = [i for i, (k, _) in enumerate(asked) if k > turn]
+        told = rows.mapInArrow(scan(turn, open_), "start INT, score DOUBLE, h BIGINT, vec ARRAY<DOUBLE>")
+        won = told.groupBy("start").agg(F.max_by("vec", F.struct("score", "h")).alias("vec"))
+        found = {r["start"]: np.array(r["vec"]) for r in won.collect()}  # a row a start
+        for i in open_:
+            chosen[i].append(found[i] if i in found else chosen[i][-1])  # no row is apart from all centers
+    return [np.stack(c) for c in chosen]
 
 
 def _passed(points: DataFrame, starts: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
@@ -108,16 +140,16 @@ def kmeans_sweep(
     silhouette must improve strictly, so the smallest k wins ties. ``df`` should be cut or cached: every pass reads it.
     """
     points = df.select(key, F.col(vec).alias("vec"), wage)
-    seeds = seed_rows(df, key, vec)
-    asked = [(k, spread_centers(seeds, k, seed + i)) for k in ks for i in range(starts)]
-    fitted = fit_centers(points, [c for _, c in asked])
+    asked = [(k, seed + i) for k in ks for i in range(starts)]
+    fitted = fit_centers(points, spread_starts(points, key, "vec", asked))
     best_of = {k: min((f for (j, _), f in zip(asked, fitted) if j == k), key=lambda f: f[0]) for k in ks}
-    scores = {
-        k: silhouette_score(nearest_center(points, "vec", best_of[k][1], "_label"), key, "vec", "_label", width, **limits)
-        for k in ks
-    }
+    placed = points
+    for k in ks:
+        placed = nearest_center(placed, "vec", best_of[k][1], f"_k{k}")
+    found = silhouette_scores(cut_lineage(placed), key, "vec", [f"_k{k}" for k in ks], width, **limits)
+    scores = {k: found[f"_k{k}"] for k in ks}
     k = max(ks, key=lambda j: (scores[j], -j))
-    again = fit_centers(points, [spread_centers(seeds, k, seed + 1000 + i) for i in range(refit_starts)])
+    again = fit_centers(points, spread_starts(points, key, "vec", [(k, seed + 1000 + i) for i in range(refit_starts)])) if refit_starts else []
     inertia, centers = min([best_of[k], *again], key=lambda f: f[0])
     labelled = nearest_center(points, "vec", centers, "_label").select(key, wage, "_label")
     renumbered = relabel_by_median(labelled, "_label", wage, out)

@@ -16,11 +16,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from gradus.operators import blocks, kmeans, sums
 from gradus.operators.kmeans import KS
 from gradus.operators.ranking import relabel_by_median
-from gradus.operators.silhouette import silhouette_score
+from gradus.operators.silhouette import silhouette_scores
+from gradus.session import cut_lineage
 
 
 @dataclass
@@ -177,8 +179,8 @@ def memberships(
             )
 
     rows = df.select(key, vec, *carried)
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, {out} ARRAY<DOUBLE>, {label} INT")
+    schema = StructType([*rows.schema.fields, StructField(out, ArrayType(DoubleType())), StructField(label, IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def better(bic: float, score: float, best_bic: float, best_score: float, by_size: bool = False) -> bool:
@@ -206,23 +208,24 @@ def mixture_sweep(
     """
     points = df.select(key, F.col(vec).alias("vec"), wage)
     n = points.count()
-    seeds = kmeans.seed_rows(df, key, vec)
 
     def fitted(asked: list[tuple[int, int]]) -> dict[int, list[tuple[Mixture, float]]]:
-        centers = kmeans.fit_centers(points, [kmeans.spread_centers(seeds, k, s) for k, s in asked])
+        centers = kmeans.fit_centers(points, kmeans.spread_starts(points, key, "vec", asked))
         found = fit_mixtures(points, {i: c for i, (_, c) in enumerate(centers)}, width, n, reg)
         return {k: [found[i] for i in found if asked[i][0] == k] for k in {k for k, _ in asked}}
 
     runs = fitted([(k, seed + i) for k in ks for i in range(n_init)])
     best, best_bic, best_score = None, math.inf, -1.0
     found = {}
-    for k in ks:
-        if not runs[k]:
-            continue
-        mixture, bound = max(runs[k], key=lambda run: run[1])
+    fits = {k: max(runs[k], key=lambda run: run[1]) for k in ks if runs[k]}
+    placed, names = points, []
+    for k, (mixture, _) in fits.items():
+        names.append(f"_k{k}")
+        placed = memberships(placed, key, "vec", mixture, probability, names[-1], [wage, *names[:-1]]).drop(probability)
+    scores = silhouette_scores(cut_lineage(placed), key, "vec", names, width, **limits)
+    for k, (mixture, bound) in fits.items():
         bic = -2 * bound * n + mixture.free_parameters() * math.log(n)
-        labelled = memberships(points, key, "vec", mixture, probability, "_label", [wage])
-        score = silhouette_score(labelled, key, "vec", "_label", width, **limits)
+        score = scores[f"_k{k}"]
         found[k] = {"bic": bic, "silhouette": score}
         if better(bic, score, best_bic, best_score, by_size):
             best, best_bic, best_score, best_bound = mixture, bic, score, bound

@@ -6,9 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from gradus.operators import blocks
 
+# Groupings of at most that many groups are scored together, from sums to every group; one with more on its own.
+FEW_GROUPS = 64
 _PARTIAL = "key BIGINT, own BIGINT, a DOUBLE, b DOUBLE, grp BIGINT, total DOUBLE"
 
 
@@ -115,3 +119,112 @@ def silhouette_score(df: DataFrame, key: str, vec: str, label: str, width: int,
         return -1.0
     points = silhouette_points(df, key, vec, label, width, noise, n=shape[0], **limits)
     return round(points.agg(F.avg("silhouette")).first()[0], 4)
+
+
+def _group_sums(points: pa.Table, others: pa.Table, groups: list[np.ndarray]) -> np.ndarray:
+    """Distances from each point to the rows of every group of every grouping, added up."""
+    x, y = blocks.matrix(points["vec"]), blocks.matrix(others["vec"])
+    key, other = (blocks.numbers(t["key"], np.int64) for t in (points, others))
+    label = blocks.matrix(others["labels"]).astype(np.int64)
+    member = np.hstack([label[:, [j]] == g[None, :] for j, g in enumerate(groups)]).astype(np.float64)
+    out = np.zeros((len(key), member.shape[1]))
+    for piece in blocks.row_chunks(len(key), len(other)):
+        distance = np.sqrt(blocks.square_distances(x[piece], y))
+        _, same_row, same_col = np.intersect1d(key[piece], other, return_indices=True)
+        distance[same_row, same_col] = 0.0
+        out[piece] = distance @ member
+    return out
+
+
+def _values(total: np.ndarray, label: np.ndarray, groups: list[np.ndarray], sizes: list[np.ndarray]) -> list[pa.Array]:
+    """One column of silhouettes a grouping, null where a row is in none of its groups."""
+    out, at = [], 0
+    for j, (names, size) in enumerate(zip(groups, sizes)):
+        sums = total[:, at : at + len(names)]
+        at += len(names)
+        own = label[:, [j]] == names[None, :]
+        a = np.where(own, sums / np.maximum(size - 1, 1), 0).sum(1)
+        b = np.where(own, np.inf, sums / size).min(1)
+        alone = (own * size).sum(1) == 1
+        most = np.maximum(a, b)
+        value = np.where(alone | (most == 0), 0.0, (b - a) / np.where(most == 0, 1, most))
+        out.append(pa.array(value, mask=~own.any(1)))
+    return out
+
+
+def silhouette_scores(
+    df: DataFrame, key: str, vec: str, labels: list[str], width: int, noise: int = -1,
+    held_bytes: int = blocks.HELD_BYTES, block_rows: int | None = None, few: int = FEW_GROUPS,
+) -> dict[str, float]:
+    """``silhouette_score`` of several groupings of the same rows, from one pass over all distances.
+
+    Where the rows do not fit a task, each pair of blocks is met once and serves the rows of both.
+    """
+    named = [F.when(F.col(c) != noise, F.col(c)).alias(c) for c in labels]
+    shape = df.agg(*[f(c) for c in named for f in (F.count, F.countDistinct)], F.count("*")).first()
+    counts = {c: (shape[2 * i], shape[2 * i + 1]) for i, c in enumerate(labels)}
+    out = {c: -1.0 for c, (n, groups) in counts.items() if n < 4 or groups < 2}
+    limits = {"held_bytes": held_bytes, "block_rows": block_rows}
+    out |= {c: silhouette_score(df, key, vec, c, width, noise, **limits) for c in labels if c not in out and counts[c][1] > few}
+    asked = [c for c in labels if c not in out]
+    if not asked:
+        return out
+    listed = F.array(*[F.coalesce(F.col(c).cast("bigint"), F.lit(noise)) for c in asked])
+    points = df.select(F.col(key).cast("bigint").alias("key"), F.col(vec).alias("vec"), listed.alias("labels"))
+    # at most ``few`` rows a grouping
+    sizes = points.select(F.posexplode("labels").alias("which", "name")).where(F.col("name") != noise).groupBy("which", "name").count()
+    held = sorted(tuple(r) for r in sizes.collect())
+    groups = [np.array([g for w, g, _ in held if w == i]) for i in range(len(asked))]
+    size = [np.array([n for w, _, n in held if w == i], np.float64) for i in range(len(asked))]
+    names = [f"s{i}" for i in range(len(asked))]
+    schema = ", ".join(f"{c} DOUBLE" for c in names)
+    n = shape[-1]
+    if blocks.fits(n, width, held_bytes):
+
+        def solve(batch: pa.Table, others: pa.Table) -> pa.Table:
+            label = blocks.matrix(batch["labels"]).astype(np.int64)
+            return pa.table(_values(_group_sums(batch, others, groups), label, groups, size), names=names)
+
+        scored = blocks.against_held(points, points, solve, schema)
+    else:
+        scored = _by_block_pairs(points, groups, size, names, blocks.block_count(n, blocks.rows_per_block(width, block_rows)))
+    found = scored.agg(*[F.avg(c) for c in names]).first()
+    return out | {c: round(v, 4) for c, v in zip(asked, found)}
+
+
+def _by_block_pairs(points: DataFrame, groups: list[np.ndarray], size: list[np.ndarray], names: list[str], n_blocks: int) -> DataFrame:
+    columns = [f"t{i}" for i in range(sum(map(len, groups)))]
+
+    def sums(table: pa.Table, others: pa.Table) -> pa.Table:
+        total = _group_sums(table, others, groups)
+        return pa.table([table["key"], table["labels"], *[pa.array(c) for c in total.T]], names=["key", "labels", *columns])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [sums(left, right)]
+        if left["_lb"][0] != right["_rb"][0]:
+            parts.append(sums(right, left))
+        return pa.concat_tables(parts)
+
+    dealt = points.withColumn("_block", blocks.hash_block("key", n_blocks).cast("int"))
+    from_ = lambda a, b: F.explode(F.sequence(a, b))
+    lefts = dealt.withColumnRenamed("_block", "_lb").withColumn("_rb", from_(F.col("_lb"), F.lit(n_blocks - 1)))
+    rights = dealt.select(*[F.col(c).alias(c) for c in points.columns], F.col("_block").alias("_rb"))
+    rights = rights.withColumn("_lb", from_(F.lit(0), F.col("_rb")))
+    schema = "key BIGINT, labels ARRAY<BIGINT>, " + ", ".join(f"{c} DOUBLE" for c in columns)
+
+    arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        return meet(left, right).cast(arrow_schema) if left.num_rows and right.num_rows else arrow_schema.empty_table()
+
+    met = lefts.groupBy("_lb", "_rb").cogroup(rights.groupBy("_lb", "_rb")).applyInArrow(each, schema)
+    added = met.groupBy("key", "labels").agg(*[F.sum(c).alias(c) for c in columns]).select("labels", F.array(*columns).alias("total"))
+
+    def score(batches):
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                label = blocks.matrix(table["labels"]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(_values(blocks.matrix(table["total"]), label, groups, size), names=names)
+
+    return added.mapInArrow(score, ", ".join(f"{c} DOUBLE" for c in names))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gradus.operators import blocks, forest
 from gradus.operators.kmeans import KS
 from gradus.operators.ranking import rank_in_key, relabel_by_median
-from gradus.operators.silhouette import silhouette_score
+from gradus.operators.silhouette import silhouette_scores
 from gradus.session import cut_lineage
 
 _NEAREST = "node BIGINT, other BIGINT, cost DOUBLE"
@@ -189,11 +189,9 @@ def ward_sweep(
     merges = cut_lineage(ward_merges(df, key, vec, width, few, **limits))
     groups = cut_tree(merges, df.select(F.col(key).alias("node")), ks)
     points = cut_lineage(df.select(key, vec, wage).join(groups.withColumnRenamed("node", key), key))
-    best, scores = None, {}
-    for k in ks:
-        scores[k] = silhouette_score(points, key, vec, f"k{k}", width, **limits)
-        if best is None or scores[k] > scores[best]:
-            best = k
+    found = silhouette_scores(points, key, vec, [f"k{k}" for k in ks], width, **limits)
+    scores = {k: found[f"k{k}"] for k in ks}
+    best = max(ks, key=lambda k: (scores[k], -ks.index(k)))
     renumbered = relabel_by_median(points, f"k{best}", wage, out)
     return renumbered.select(key, out), {
         "silhouette": scores[best], "n_clusters": best, "scores": scores, "merges": merges,

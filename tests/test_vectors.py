@@ -86,6 +86,11 @@ def test_silhouette(spark, limits):
         s.append(0.0 if label.count(label[i]) == 1 else (b - a) / max(a, b))
     df = frame(spark, x, l=label)
     assert silhouette.silhouette_score(df, "id", "vec", "l", D, **limits) == round(float(np.mean(s)), 4)
+    more = df.withColumn("m", (F.col("id") % 3).cast("int")).withColumn("one", F.lit(1))
+    got = silhouette.silhouette_scores(more, "id", "vec", ["l", "m", "one"], D, **limits)
+    alone = silhouette.silhouette_score(more, "id", "vec", "m", D)
+    assert got == {"l": round(float(np.mean(s)), 4), "m": alone, "one": -1.0}
+    assert silhouette.silhouette_scores(more, "id", "vec", ["l", "m"], D, few=3, **limits) == {"l": got["l"], "m": alone}
 
 
 def test_silhouette_needs_two_groups(spark):
@@ -321,3 +326,19 @@ def test_neighbours_in_blocks_around_pivots(spark):
     left, right, pairs = pivots.near_blocks(asking, there, 7, len(x), 12, 0, 15)
     every = left.select("own", "turn").distinct().count() * right.select("cell", "piece").distinct().count()
     assert pairs.count() < 0.5 * every
+
+
+def test_starts_are_drawn_from_all_rows(spark):
+    """A group of one row in ten thousand gets a center, rows far from all centers being likelier."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(scale=0.01, size=(10_000, 3))
+    x[7777] = 50.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id BIGINT, vec ARRAY<DOUBLE>").repartition(5)
+    asked = [(2, seed) for seed in range(6)] + [(4, 9)]
+    starts = kmeans.spread_starts(df, "id", "vec", asked)
+    assert all((s == 50.0).all(axis=1).any() for s in starts) and [len(s) for s in starts] == [k for k, _ in asked]
+    assert all(len(np.unique(s, axis=0)) == len(s) and (s[:, None] == x[None]).all(2).any(1).all() for s in starts)
+    again = kmeans.spread_starts(df.repartition(2), "id", "vec", asked)
+    assert all(np.array_equal(a, b) for a, b in zip(starts, again)) and len({tuple(s[0]) for s in starts}) > 3
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id BIGINT, vec ARRAY<DOUBLE>")
+    assert kmeans.spread_starts(same, "id", "vec", [(3, 1)])[0].tolist() == [[1.0, 2.0]] * 3
