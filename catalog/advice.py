@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.tables import VECTOR_WIDTH, described, described_with_pay, entities, table, with_groupings
 from gradus.functions import numeric, text, vectors
-from gradus.operators import features, similarity
+from gradus.operators import features, latent, similarity
 from gradus.plans import recommend as plans
+from gradus.session import cut_lineage
 
 METHOD_OF = {"progress": "kmeans", "pivot": "gmm", "field_change": "agglomerative", "skill_match": "hdbscan"}
 
+GIVEN_TERMS = 40
+
 
 def _occupations(df: DataFrame) -> DataFrame:
     """Entities under the names the recommendation plan uses; the squares of a unit vector
@@ -169,11 +173,11 @@ def pathway_assembly(spark, sf):
 
 
 def recommend_from_text(spark, sf):
-    """Conversation turns as skill texts, encoded with the descriptions' own vocabulary."""
-    width = 384
+    """Conversation turns as skill texts, encoded along the leading directions of all descriptions."""
+    width = 64
     docs = described_with_pay(spark, sf)
-    encoder = features.HashedTfIdf.fit(docs, "text", width)
-    occ = encoder.encode(_occupations(docs).drop("embedding"), "skill_description", "embedding")
+    encoder = latent.LatentText.fit(docs, "text", width)
+    occ = cut_lineage(encoder.encode(_occupations(docs).drop("embedding"), "skill_description", "embedding"))
     turns = table(spark, sf, "conversations")
     requests = turns.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("skills_text"),
@@ -190,6 +194,32 @@ def recommend_from_text(spark, sf):
     )
 
 
+def _given_projection(docs: DataFrame, column: str) -> latent.LatentText:
+    """The words of most texts, turned to eight numbers by a rule in place of a fit."""
+    terms, idf = latent.LatentText.weighing(docs, column, GIVEN_TERMS)
+    place = np.arange(1, len(terms) + 1)[:, None] * np.arange(1, 9)[None, :]
+    return latent.LatentText(terms, list(idf), np.cos(place))
+
+
+def text_vectors(spark, sf):
+    """Unit vectors of all texts along given directions of their most widespread words."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    encoded = _given_projection(docs, "text").encode(docs, "text", "vec")
+    return encoded.select("doc_id", F.posexplode("vec").alias("place", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+def closest_texts(spark, sf):
+    """Three occupations closest to every page, over all described occupations with pay, by vectors of the texts."""
+    docs = described_with_pay(spark, sf)
+    encoder = _given_projection(docs, "text")
+    occ = cut_lineage(encoder.encode(_occupations(docs).drop("embedding"), "skill_description", "embedding"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("query_id"), F.col("html").alias("asked"), F.lit(3).alias("top_k"))
+    found = plans.find_closest(encoder.encode(pages, "asked", "vec").drop("asked"), occ, 8)
+    return found.select(
+        "query_id", "soc_code", "rank", F.round("median_wage_me", 4).alias("median_wage_me"), F.round("similarity_pct", 1).alias("similarity_pct")
+    )
+
+
 def recommend_from_vectors(spark, sf):
     """The free-text plan on given vectors: every description asks, with reversed vectors."""
     docs = described(spark, sf)
@@ -231,7 +261,7 @@ QUERIES = {
         recommend_progress, recommend_pivot, recommend_field_change, membership_entropy, cosine_to_neighbour,
         knn_graph, wage_blend_features, closest_topk, skill_gap_words, request_validation, request_defaults,
         text_request_validation, pathway_assembly, recommend_from_text, recommend_from_vectors, entity_detail,
-        entity_detail_with_pay,
+        entity_detail_with_pay, text_vectors, closest_texts,
     )
 }
 
@@ -279,6 +309,18 @@ checked as (
                  when wage < 20000 or wage > 500000 then 'user_current_wage not in 20000..500000' end error from req)
 """
 
+def _text_vectors(docs: str, name: str = "", given: str = "") -> str:
+    """SQL of unit vectors ``id, j, v`` of a table ``id, text``; terms and weights are its own unless given."""
+    own = f"""{name}voc as (select t, n, row_number() over (order by t) k from (select t, count(distinct id) n from {name}tok group by t order by n desc, t limit {GIVEN_TERMS})),
+        {name}idf as (select t, k, ln((1 + (select count(*) from {docs})) / (1 + n)::double) + 1 w from {name}voc),"""
+    return f"""{name}tok as (select id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) t from {docs}),
+        {"" if given else own}
+        {name}raw as (select id, k, (1 + ln(count(*))) * w x from {name}tok join {"idf" if given else name + "idf"} using (t) group by id, k, w),
+        {name}unit as (select id, k, x / sqrt(sum(x * x) over (partition by id)) x from {name}raw),
+        {name}proj as (select id, j, sum(x * cos(k * j)) y from {name}unit, range(1, 9) g(j) group by id, j),
+        {name}vecs as (select id, j, y / sqrt(sum(y * y) over (partition by id)) v from {name}proj)"""
+
+
 SQL = {
     "recommend_progress": f"""with {_P},
         s as (select a.id src, b.id tgt, {_COS} sim, {_COS} + case when a.label = b.label then 0.1::double else 0 end sc
@@ -372,6 +414,16 @@ SQL = {
                round_even((bw - ew) * 5 - 5000, 0) five_year_net_gain,
                case when tgt is not null then coalesce(prog.x, '') end programs, case when tgt is not null then coalesce(emp.x, '') end employers
         from res left join prog on prog.k = tgt left join emp on emp.k = tgt""",
+    "text_vectors": f"""with d as (select doc_id id, text from documents), {_text_vectors("d")}
+        select id doc_id, (j - 1)::int place, round(coalesce(v, 0), 6) + 0.0 as value from d cross join range(1, 9) g(j) left join vecs using (id, j)""",
+    "closest_texts": f"""with d as (select doc_id id, text, o_totalprice / 3.0::double w from documents join orders on o_orderkey = doc_id), {_text_vectors("d")},
+        pg as (select page_id id, html as text from pages), {_text_vectors("pg", "q", "voc")},
+        a as (select id, list(coalesce(v, 0) order by j) e from pg cross join range(1, 9) g(j) left join qvecs using (id, j) group by id),
+        b as (select id, list(coalesce(v, 0) order by j) e from d cross join range(1, 9) g(j) left join vecs using (id, j) group by id),
+        s as (select a.id qid, b.id tgt, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) sim from a join b on true),
+        t as (select *, row_number() over (partition by qid order by round(sim, 9) desc, tgt) rk from s)
+        select qid query_id, tgt::varchar soc_code, rk::int as rank, round(w, 4) median_wage_me, round(round_even(sim * 100, 1), 1) similarity_pct
+        from t join d on d.id = tgt where rk <= 3""",
     "recommend_from_vectors": f"""with {_P},
         o as (select p.*, text from p join documents on doc_id = id),
         q as (select id, list_reverse(e) e, text, case when label < 5 then w + 20000 end uw,

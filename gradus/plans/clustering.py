@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gradus import fixed
 from gradus.functions import numeric
-from gradus.operators import choose, density, features, kmeans, mixture, ranking, similarity, ward
+from gradus.operators import choose, density, features, latent, kmeans, mixture, ranking, similarity, ward
 from gradus.functions.vectors import entropy
 from gradus.schemas import require_columns
 from gradus.session import cut_lineage
@@ -36,7 +36,7 @@ def enrich(occupations: DataFrame, width: int, blend: float = fixed.WAGE_BLEND,
     if "ordinal" not in df.columns:
         df = ranking.global_index(df, [F.col("soc_code")], "ordinal").withColumn("ordinal", F.col("ordinal").cast("bigint"))
     if "embedding" not in df.columns:
-        encoder = encoder or features.HashedTfIdf.fit(df, "skill_description", width)
+        encoder = encoder or latent.LatentText.fit(df, "skill_description", width)
         df = encoder.encode(df, "skill_description", "embedding")
     return features.blend_with_pay(df, "embedding", "median_wage_me", "feature_vector", width, blend)
 
