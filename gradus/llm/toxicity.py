@@ -10,16 +10,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gradus.llm.common import as_text, documents, slices
 
 GRAMS = (3, 4, 5)  # characters of a subword, word edges included
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 WIDTH = 16
 WINDOW = 3  # words averaged together
 # Bound of the sample the model is fitted on: labelled rows of each class, those with the least key hashes.
 SAMPLE_ROWS = 2000
-EPOCHS = 40
+EPOCHS = 25
+SHRINK = 0.03  # share of every vector that a step takes away
+FOLDS = 3  # parts of the sample that are scored by a model of the others, to set where the line of 0.7 lies
+ALARMS = 0.01  # share of the clean texts of those parts that may lie above it
+SEEDS = (0, 1, 2)  # beginnings whose models are averaged
+LINE = 0.7
 RATES = (0.3, 0.1, 0.1)  # of vectors, softmax rows and bias
 DAMPING = 1e-8  # what every sum of squared slopes begins with
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +80,9 @@ def subwords_of_many(words: list[str], some: int = 20_000) -> tuple[np.ndarray,
 
 @dataclass
 class Model:
-    """Vectors of the subword buckets, and the softmax's two rows; only their difference decides."""
+    """Vectors of the subword buckets that the sample has, and the softmax's two rows; only their difference decides."""
 
+    seen: np.ndarray
     vectors: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
@@ -85,10 +92,10 @@ class Model:
         """Vectors and softmax together, by gradient steps over all texts of the sample.
 
         A label belongs to a text, not to a place in it: in each step a text stands for its window of words that is toxic
-        most likely. Classes weigh the same.
+        most likely. Classes weigh the same; vectors shrink a little with every step.
         """
         random = np.random.default_rng(seed)
-        model = cls(random.normal(0, 0.1, (BUCKETS, WIDTH)), random.normal(0, 0.3, (2, WIDTH)), np.zeros(2))
+        model = cls(np.zeros(0, np.int32), np.zeros((0, WIDTH), np.float32), random.normal(0, 0.3, (2, WIDTH)), np.zeros(2))
         if not len(toxic):
             return model
         words, order, at = words_of(texts)
@@ -97,13 +104,13 @@ class Model:
         local = np.searchsorted(seen, grams).astype(np.int32)
         del grams, words
         size = np.diff(begin)
-        vectors = model.vectors[seen]
+        vectors = random.normal(0, 0.1, (len(seen), WIDTH)).astype(np.float32)
         weight = np.where(toxic == 1, 0.5 / max(1, np.sum(toxic == 1)), 0.5 / max(1, np.sum(toxic == 0)))
         steps = [np.full_like(vectors, DAMPING), np.full_like(model.weights, 1e-8), np.full_like(model.bias, 1e-8)]
         for _ in range(epochs):
-            side = model.weights[1] - model.weights[0]
+            side = (model.weights[1] - model.weights[0]).astype(np.float32)
             scored = np.add.reduceat((vectors @ side)[local], begin[:-1]) / size
-            value, first, count = best_windows(scored[order], at)
+            value, first, count = best_windows(scored[order].astype(np.float64), at)
             p = 1 / (1 + np.exp(-np.clip(value + model.bias[1] - model.bias[0], -30, 30)))
             error = (p - toxic) * weight
             # every word of a chosen window takes an equal part, and so does every subword of a word
@@ -112,21 +119,69 @@ class Model:
             word = order[place]
             part = (error / np.maximum(count, 1))[row] / size[word]
             gram = local[np.repeat(begin[word], size[word]) + _steps(size[word])]
-            force = np.bincount(gram, np.repeat(part, size[word]), len(seen))
+            force = np.bincount(gram, np.repeat(part, size[word]), len(seen)).astype(np.float32)
             pulls = np.outer(force, side), force @ vectors, error.sum()
             slopes = pulls[0], np.stack([-pulls[1], pulls[1]]), np.array([-pulls[2], pulls[2]])
             for held, past, slope, rate in zip((vectors, model.weights, model.bias), steps, slopes, RATES):
                 past += slope**2
                 held -= rate * slope / np.sqrt(past)
-        model.vectors[seen] = vectors
-        unseen = np.ones(BUCKETS, bool)
-        unseen[seen] = False
-        model.vectors[unseen] = 0  # what no text of the sample has speaks for neither class
+            vectors *= 1 - SHRINK
+        model.seen, model.vectors = seen, vectors
         return model
 
-    def line(self) -> tuple[np.ndarray, float]:
-        """What every bucket adds to the log odds, and what stands before."""
-        return self.vectors @ (self.weights[1] - self.weights[0]), float(self.bias[1] - self.bias[0])
+
+
+@dataclass
+class Scorer:
+    """What every bucket adds to the log odds, and what stands before; unknown buckets speak for neither class."""
+
+    adds: np.ndarray
+    bias: float
+
+    @classmethod
+    def mean(cls, texts: pa.Array, toxic: np.ndarray) -> Scorer:
+        """The mean of models from several beginnings: which windows a fit settles on depends on where it begins."""
+        adds, bias = np.zeros(BUCKETS), 0.0
+        for seed in SEEDS:
+            model = Model.fit(texts, toxic, seed=seed)
+            adds[model.seen] += model.vectors @ (model.weights[1] - model.weights[0]) / len(SEEDS)
+            bias += float(model.bias[1] - model.bias[0]) / len(SEEDS)
+        return cls(adds, bias)
+
+    @classmethod
+    def fit(cls, texts: pa.Array, toxic: np.ndarray) -> Scorer:
+        """``mean``, moved so that ``LINE`` lets pass what it should.
+
+        A model scores texts it has not learned from lower and more alike than its own. So each of ``FOLDS`` parts is scored by
+        a model of the other parts, and the score that ``ALARMS`` of their clean texts exceed becomes the line.
+        """
+        model = cls.mean(texts, toxic)
+        if min(np.sum(toxic == 1), np.sum(toxic == 0)) < 2 * FOLDS:
+            return model
+        turn = np.empty(len(toxic), np.int64)
+        for c in (0, 1):
+            turn[toxic == c] = np.arange(np.sum(toxic == c)) % FOLDS
+        clean = []
+        for f in range(FOLDS):
+            part = cls.mean(texts.filter(pa.array(turn != f)), toxic[turn != f])
+            clean.append(part.log_odds(texts.filter(pa.array((turn == f) & (toxic == 0)))))
+        line = np.quantile(np.concatenate(clean), 1 - ALARMS)
+        return cls(model.adds, float(model.bias + np.log(LINE / (1 - LINE)) - line))
+
+    def log_odds(self, texts: pa.Array) -> np.ndarray:
+        parts = [log_odds(texts.slice(i, 256), self.adds, self.bias) for i in range(0, len(texts), 256)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def log_odds(texts: pa.Array, adds: np.ndarray, bias: float) -> np.ndarray:
+    """Log odds of whole texts, from the mean of their most toxic window of words; without words the bias, at most 0."""
+    words, order, at = words_of(texts)
+    value = np.zeros(len(texts))
+    if len(words):
+        grams, begin = subwords(words)
+        scored = np.add.reduceat(adds[grams], begin[:-1]) / np.diff(begin)
+        value = best_windows(scored[order], at)[0]
+    return np.where(np.diff(at) > 0, value + bias, min(bias, 0.0))
 
 
 def _steps(size: np.ndarray) -> np.ndarray:
@@ -158,7 +213,7 @@ def _row_maxima(mean: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarra
     return np.maximum.reduceat(padded, edges)[::2]
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Scorer:
     """A model from at most ``rows`` labelled texts of each class among those where ``learn``, of the key, holds.
 
     The sample is those with the least key hashes, so it does not depend on the order of rows. Labels other than 0 and 1 are
@@ -172,33 +227,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     chosen = F.broadcast(some[0].unionByName(some[1]))
     table = docs.select(F.col(key).alias("_key"), as_text(text).alias("_text")).join(chosen, "_key").orderBy("_key", "_label", F.xxhash64("_text")).select("_text", "_label").toArrow()
     if not table.num_rows:
-        return Model.fit(pa.array([], pa.string()), np.zeros(0))
-    return Model.fit(table.column("_text").combine_chunks(), table.column("_label").to_numpy().astype(float))
+        return Scorer.fit(pa.array([], pa.string()), np.zeros(0))
+    return Scorer.fit(table.column("_text").combine_chunks(), table.column("_label").to_numpy().astype(float))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text in struct ``_row``, with ``score`` (0 to 1) from its most toxic window of words.
 
     A text without a word, or null, has the score of the softmax's bias alone, at most one half.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model.line())
+    held = docs.sparkSession.sparkContext.broadcast((model.adds, model.bias))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adds, bias = held.value
         for batch in slices(batches, "_text"):
-            words, order, at = words_of(batch.column("_text"))
-            value = np.zeros(batch.num_rows)
-            if len(words):
-                grams, begin = subwords(words)
-                scored = np.add.reduceat(adds[grams], begin[:-1]) / np.diff(begin)
-                value = best_windows(scored[order], at)[0]
-            value = np.where(np.diff(at) > 0, value + bias, min(bias, 0.0))
-            out = 1 / (1 + np.exp(-np.clip(value, -30, 30)))
+            out = 1 / (1 + np.exp(-np.clip(log_odds(batch.column("_text"), adds, bias), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(out)], names=["_row", "score"])
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     taken = docs.select(row.alias("_row"), as_text(text).alias("_text"))
-    return taken.mapInArrow(each, f"_row {taken.schema['_row'].dataType.simpleString()}, score double")
+    return taken.mapInArrow(each, StructType([taken.schema["_row"], StructField("score", DoubleType())]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -208,7 +256,7 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     model = fit(docs, labels, ~held_out)
     out = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
-    return out.select("_row.doc_id", "_row.held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("_row.doc_id", "_row.held_out", "score", (F.col("score") >= LINE).cast("int").alias("predicted"))
 
 
 QUERIES = {"op1_toxicity": op1_toxicity}

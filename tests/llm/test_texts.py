@@ -1,5 +1,7 @@
 """Encoding, language, toxicity, line rules, mixing and chat."""
 
+import re
+import os
 import hashlib
 import random
 from collections import Counter
@@ -210,3 +212,28 @@ def test_many_rows_of_one_turn_open_ties(spark):
     rows = [(1, 0, "ann", f"{i:03d}") for i in range(150)]
     got = chat.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect()
     assert sorted((r.tie, r.n_turns) for r in got) == [(0, 64), (1, 64), (2, 22)]
+
+
+def test_toxicity_of_labelled_documents(spark):
+    """Held-out rows of the driver's table: some labelled texts show nothing to tell them by, so the bound is on the order of scores."""
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("driver tables not here")
+    rows = toxicity.op1_toxicity(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("held_out").collect()
+    toxic, clean = ([r for r in rows if r.toxic == c] for c in (1, 0))
+    assert np.mean([[a.score > b.score for b in clean] for a in toxic]) > 0.8
+    assert np.mean([r.predicted for r in toxic]) >= 0.4 and np.mean([r.predicted for r in clean]) <= 0.05
+    assert all(r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_toxic_scores_equal_plain_ones(spark):
+    """The score of every row from its words and their subwords one by one."""
+    model = toxicity.Scorer.mean(pa.array(["you idiot person here now", "a fine day in the town", "idiots all of them"]), np.array([1.0, 0, 1.0]))
+    texts = ["what an idiot", "fine town day", "x", "", None, "an IDIOT\tand a fine  day \n town idiots"]
+    got = {r._row.i: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, text in enumerate(texts):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+        value = [np.mean(model.adds[toxicity.subwords([w.lower()])[0]]) for w in words]
+        spans = [np.mean(value[j : j + 3]) for j in range(max(1, len(value) - 2))] if value else [0.0]
+        want = max(spans) + model.bias if value else min(model.bias, 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-want))) < 1e-9
