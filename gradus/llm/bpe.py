@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_text, documents, slices
+from gradus.llm.common import as_text, documents, row_and, slices
 
 _REMEMBERED = 1_000_000  # pairs of tokens, or pieces of text, a task keeps; all are dropped when there are more
 
@@ -186,8 +186,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = "word_bpe_49k.json",
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     taken = docs.select(row.alias("_row"), as_text(text).alias("_text"))
-    kind = taken.schema["_row"].dataType.simpleString()
-    return taken.mapInArrow(each, f"_row {kind}, ids binary" + ", decoded string" * decode)
+    return taken.mapInArrow(each, row_and(taken, "ids binary" + ", decoded string" * decode))
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

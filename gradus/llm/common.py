@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gradus.session import checkpoint_folder
 
@@ -84,6 +85,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def row_and(taken: DataFrame, more: str) -> StructType:
+    """The type of ``_row`` of a table, whatever its columns are called, and further columns."""
+    return StructType([taken.schema["_row"], *StructType.fromDDL(more).fields])
+
+
 def worker_store() -> dict:
     """What stays in a worker process from task to task; the package itself comes anew with every task."""
     return sys.modules.setdefault("_gradus_worker", types.ModuleType("_gradus_worker")).__dict__

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.llm.common import as_text, documents, slices, text_bytes, written
+from gradus.llm.common import as_text, documents, row_and, slices, text_bytes, written
 
 _BASE = 0x100000001B3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -504,8 +504,8 @@ def remove_repeats(
     whole = dealt.join(found, ["_o", "_t"], "left").select(
         "_row", "_text", F.col("_found").isNull().alias("_copy"), "_found"
     )
-    kind = whole.schema["_row"].dataType.simpleString()
-    return whole.mapInArrow(_remove(scale, whole_characters), f"_row {kind}, n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    more = "n_bytes bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
+    return whole.mapInArrow(_remove(scale, whole_characters), row_and(whole, more))
 
 
 def op7_repeats(spark, sf_dir: str) -> DataFrame:

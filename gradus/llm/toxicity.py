@@ -10,9 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gradus.llm.common import as_text, documents, slices
+from gradus.llm.common import as_text, documents, row_and, slices
 
 GRAMS = (3, 4, 5)  # characters of a subword, word edges included
 BUCKETS = 1 << 20
@@ -246,7 +245,7 @@ def score(docs: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     taken = docs.select(row.alias("_row"), as_text(text).alias("_text"))
-    return taken.mapInArrow(each, StructType([taken.schema["_row"], StructField("score", DoubleType())]))
+    return taken.mapInArrow(each, row_and(taken, "score double"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

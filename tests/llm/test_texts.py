@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.llm import bpe, chat, language, mixing, quality, toxicity
+from gradus.llm import bpe, chat, common, language, mixing, quality, toxicity
 from tests.llm import brute
 from tests.llm.conftest import prose
 
@@ -237,3 +237,20 @@ def test_toxic_scores_equal_plain_ones(spark):
         spans = [np.mean(value[j : j + 3]) for j in range(max(1, len(value) - 2))] if value else [0.0]
         want = max(spans) + model.bias if value else min(model.bias, 0.0)
         assert abs(got[i] - 1 / (1 + np.exp(-want))) < 1e-9
+
+
+def test_columns_of_any_name(spark):
+    """Names with spaces, dashes and dots go through operators that carry the other columns along."""
+    from gradus.llm import periods, repeats, token_files
+
+    docs = spark.createDataFrame([(1, "one two three", 4, 5, 6), (2, None, 7, 8, 9)], "doc_id bigint, text string, `odd name` int, `a-b` int, `c.d` int")
+    model = toxicity.Scorer.fit(pa.array([], pa.string()), np.zeros(0))
+    grams = language.fit(docs.withColumn("lang", F.lit("en")), F.lit(True))
+    for out in (bpe.encode(docs), repeats.remove_repeats(docs), toxicity.score(docs, model), language.predict(docs, grams)):
+        rows = {r._row.doc_id: r._row.asDict() for r in out.collect()}
+        assert rows[2] == {"doc_id": 2, "odd name": 7, "a-b": 8, "c.d": 9}
+    keyed = docs.withColumnRenamed("doc_id", "doc id")
+    assert sorted(r["doc id"] for r in periods.find_runs(keyed, "doc id").collect()) == [1, 2]
+    folder = common.shared_folder(spark)
+    token_files.write_ids(keyed, folder, key="doc id")
+    assert sorted(r.key for r in token_files.read_ids(spark, folder).collect()) == [1, 2]
