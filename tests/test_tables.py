@@ -83,8 +83,26 @@ def test_first_match(spark):
         want[i] = min(hits)[1] if hits else None
     l = spark.createDataFrame(left, "id long, t string")
     r = spark.createDataFrame(right, "n string, u string, o long")
-    out = matching.first_match(l, r, "id", "t", "n", "u", "o", "found", 4)
-    assert dict(rows(out, "id", "found")) == want
+    for stretch in (matching.STRETCH, 7):
+        out = matching.first_match(l, r, "id", "t", "n", "u", "o", "found", 4, stretch)
+        assert dict(rows(out, "id", "found")) == want
+
+
+def test_only_pieces_that_may_be_names_leave_a_text(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh é\U0001f600") for _ in range(n))
+    names = sorted({word(rng.randint(6, 12)) for _ in range(300)} | {"x", ""})
+    texts = [(i, word(rng.randint(0, 400))) for i in range(200)]
+    texts = [(i, t[:40] + rng.choice(names) + t[40:] if i % 4 == 0 else t) for i, t in texts] + [(900, None), (901, ""), (902, "x"), (903, "ax")]
+    real = {(i, n) for i, t in texts for n in names if t is not None and (n == t or (len(n) >= 6 and n in t))}
+    assert {(901, ""), (902, "x")} <= real and len(real) > 50
+    out = matching.probable_names(
+        spark.createDataFrame(texts, "_lid long, _text string"), spark.createDataFrame([(n,) for n in names], "_name string"), 6
+    )
+    got = {tuple(r) for r in out.collect()}
+    assert real <= got and len(got) <= len(real) + 10
+    none = matching.probable_names(out.select("_lid", F.col("_name").alias("_text")), out.select("_name").where("false"), 6)
+    assert none.count() == 0
 
 
 def test_hot_keys_are_paged_whole(spark):
