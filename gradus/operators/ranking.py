@@ -76,32 +76,65 @@ def pages(
     )
 
 
+SKETCH = 10_000  # a quantile sketch is right to one in this many ranks
+
+
+def _bracketed(clean: DataFrame, keys: list[str], sizes: DataFrame, bound: int) -> DataFrame:
+    """``keys, _v, _c, _below``: values around the middle with their counts, and how many rows lie below all of them.
+
+    Groups of more than ``bound`` rows keep what lies between two quantiles of the sketch, next to the middle on both sides;
+    others keep all. Where counting shows that a bracket misses the middle, the group keeps all too.
+    """
+    wide = F.col("n_values") <= bound
+    inf = F.lit(float("inf"))
+    ends = sizes.select(*keys, "n_values", F.when(wide, -inf).otherwise(F.col("_q")[0]).alias("_from"), F.when(wide, inf).otherwise(F.col("_q")[1]).alias("_to"))
+    counted = cut_lineage(
+        clean.join(ends, keys).where("_v <= _to").groupBy(*keys, "n_values", F.when(F.col("_v") >= F.col("_from"), F.col("_v")).alias("_v"))
+        .agg(F.count("*").alias("_c"))
+    )
+    below = F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0))
+    held = counted.groupBy(*keys, "n_values").agg(below.alias("_below"), F.sum("_c").alias("_upto"))
+    lower, upper = F.floor((F.col("n_values") - 1) / 2), F.floor(F.col("n_values") / 2)
+    held = cut_lineage(held.withColumn("_hit", (lower >= F.col("_below")) & (upper < F.col("_upto"))))
+    kept = counted.where("_v IS NOT NULL").drop("n_values").join(held.where("_hit").drop("_upto", "_hit"), keys)
+    missed = held.where("NOT _hit")
+    if missed.isEmpty():
+        return kept
+    whole = clean.join(missed.select(*keys, "n_values"), keys).groupBy(*keys, "n_values", "_v").agg(F.count("*").alias("_c"))
+    return cut_lineage(kept.unionByName(whole.withColumn("_below", F.lit(0).cast("bigint"))))
+
+
 def group_medians(
-    df: DataFrame, keys: list[str], value: str, out: str, bound: int = 1_000_000, fan: int = 1024
+    df: DataFrame, keys: list[str], value: str, out: str, bound: int = 1_000_000, fan: int = 1024, sketch: int = SKETCH
 ) -> DataFrame:
     """Exact interpolated median and row count per key, NULL and NaN values left out.
 
-    Groups counted to at most ``bound`` rows use the built-in exact median. A larger group is
-    narrowed first: counts over ``fan`` equal ranges of its finite values, infinities apart, show
-    which range holds the middle rank, and only that range is looked at again. Its least and
+    One scan counts the groups and sketches their quantiles. If none has more than ``bound`` rows, the built-in exact median
+    takes the second scan. Otherwise the second scan counts the values that the sketch puts around the middle (some
+    4 in ``sketch`` of a group), which settles it; the rows are not read again. Should more than ``bound`` different values
+    lie there, counts over ``fan`` equal ranges of the finite ones, infinities apart, narrow those down: least and
     greatest values never share a range, so every pass narrows.
     """
     v = F.col(value)
     clean = df.where(v.isNotNull() & ~F.isnan(v)).select(*keys, v.cast("double").alias("_v"))
+    near = [0.5 - 2 / sketch, 0.5 + 2 / sketch]
+    sizes = cut_lineage(clean.groupBy(*keys).agg(F.count("*").alias("n_values"), F.percentile_approx("_v", near, sketch).alias("_q")))
+    largest = sizes.agg(F.max("n_values")).first()[0]
+    if largest is None or largest <= bound:
+        return clean.groupBy(*keys).agg(F.median("_v").alias(out), F.count("*").alias("n_values"))
+
+    seen = _bracketed(clean, keys, sizes, bound)
     finite = F.when(F.abs("_v") < F.lit(float("inf")), F.col("_v"))
     extent = (
-        F.count("*").alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.count("*").alias("_cnt"), F.sum("_c").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
         F.min(finite).alias("_flo"), F.max(finite).alias("_fhi"),
     )
-    sizes = clean.groupBy(*keys).agg(*extent)
-    largest = sizes.agg(F.max("_cnt")).first()[0]
-    if largest is None or largest <= bound:
-        return clean.groupBy(*keys).agg(F.median("_v").alias(out), F.count("*").alias("n_values"))
-
-    middles = F.array_distinct(F.array(F.floor((F.col("_cnt") - 1) / 2), F.floor(F.col("_cnt") / 2)))
+    middles = F.array_distinct(F.array(F.floor((F.col("n_values") - 1) / 2), F.floor(F.col("n_values") / 2)))
     targets = cut_lineage(
-        sizes.withColumn("n_values", F.col("_cnt")).withColumn("_rank", F.explode(middles)).withColumn("_id", F.col("_rank"))
+        seen.groupBy(*keys, "n_values", "_below").agg(*extent)
+        .withColumn("_id", F.explode(middles)).withColumn("_rank", F.col("_id") - F.col("_below")).drop("_below")
     )
+    values = seen.select(*keys, "_v", "_c")
     unsettled = (F.col("_cnt") > bound) & (F.col("_hi") > F.col("_lo"))
     while not targets.where(unsettled).isEmpty():
         wide = targets.where(unsettled)
@@ -111,29 +144,27 @@ def group_medians(
         at = F.when(F.col("_v") == float("-inf"), -1).when(F.col("_v") == float("inf"), fan).otherwise(
             F.when(F.col("_v") == F.col("_fhi"), fan - 1).otherwise(F.least(F.floor(step), F.lit(fan - 1)))
         )
-        seen = (
-            clean.join(wide, keys)
+        ranged = (
+            values.join(wide, keys)
             .where("_v BETWEEN _lo AND _hi")
             .groupBy(*keys, "_id", "_rank", "n_values", at.alias("_bin"))
             .agg(*extent)
         )
         w = Window.partitionBy(*keys, "_id").orderBy("_bin")
         hit = (
-            seen.withColumn("_below", F.sum("_cnt").over(w) - F.col("_cnt"))
-            .where("_rank >= _below AND _rank < _below + _cnt")
-            .withColumn("_rank", F.col("_rank") - F.col("_below"))
+            ranged.withColumn("_before", F.sum("_rows").over(w) - F.col("_rows"))
+            .where("_rank >= _before AND _rank < _before + _rows")
+            .withColumn("_rank", F.col("_rank") - F.col("_before"))
             .select(*targets.columns)
         )
         targets = cut_lineage(targets.where(~unsettled).unionByName(hit))
 
     w = Window.partitionBy(*keys, "_id").orderBy("_v")
     by_value = (
-        clean.join(targets.where("_hi > _lo"), keys)
+        values.join(targets.where("_hi > _lo"), keys)
         .where("_v BETWEEN _lo AND _hi")
-        .groupBy(*keys, "_id", "_rank", "n_values", "_v")
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_below", F.sum("_c").over(w) - F.col("_c"))
-        .where("_rank >= _below AND _rank < _below + _c")
+        .withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+        .where("_rank >= _before AND _rank < _before + _c")
     )
     same = targets.where("_hi = _lo").withColumn("_v", F.col("_lo"))
     found = by_value.select(*keys, "n_values", "_v").unionByName(same.select(*keys, "n_values", "_v"))

@@ -127,7 +127,31 @@ def test_medians_both_ways(spark):
     data += [("even", None), ("odd", float("nan")), ("same", 3.0), ("same", 3.0), ("same", 3.0)]
     df = spark.createDataFrame(data, "k string, v double")
     plain = rows(ranking.group_medians(df, ["k"], "v", "m"), "k", "m", "n_values")
-    assert rows(ranking.group_medians(df, ["k"], "v", "m", bound=5, fan=4), "k", "m", "n_values") == plain
+    for sketch in (10_000, 20, 5):
+        assert rows(ranking.group_medians(df, ["k"], "v", "m", bound=5, fan=4, sketch=sketch), "k", "m", "n_values") == plain
+
+
+def test_a_median_reads_its_rows_twice(spark):
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            scans.add(b.num_rows)
+            yield b
+
+    n = 20_000
+    df = spark.range(n).select(F.lit("k").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v")).mapInArrow(counted, "k string, v double")
+    got = ranking.group_medians(df, ["k"], "v", "m", bound=50, fan=8).collect()
+    assert [(r.k, r.m, r.n_values) for r in got] == [("k", (n - 1) / 2, n)]
+    assert scans.value == 2 * n
+
+
+def test_a_bracket_that_misses_the_middle_is_given_up(spark):
+    df = spark.createDataFrame([("a", float(i)) for i in range(11)] + [("b", float(i % 3)) for i in range(12)], "k string, _v double")
+    sizes = spark.createDataFrame([("a", 11, [7.0, 9.0]), ("b", 12, [1.0, 1.0])], "k string, n_values long, _q array<double>")
+    got = ranking._bracketed(df, ["k"], sizes, 5)
+    assert rows(got.where("k = 'a'"), "_v", "_c", "_below") == [(float(i), 1, 0) for i in range(11)]
+    assert rows(got.where("k = 'b'"), "_v", "_c", "_below") == [(1.0, 4, 4)]
 
 
 def test_relabel_keeps_noise(spark):
