@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from gradus import fixed
 from gradus.functions import text
 from gradus.functions.vectors import shares, unit
-from gradus.operators import blocks
+from gradus.operators import blocks, sums
 
 N_TOPICS = 8
 N_TERMS = 300
@@ -137,16 +136,14 @@ def _start(points: DataFrame, k: int) -> tuple[np.ndarray, int]:
                 g = x.T @ x
                 total, n, s = (g if total is None else total + g), n + len(x), s + x.sum()
         if total is not None:
-            yield from pa.table({"g": [total.ravel().tolist()], "n": [n], "s": [s]}).to_batches()
+            yield sums.as_row(np.append(total, [n, s]))
 
-    rows = points.mapInArrow(gram, "g ARRAY<DOUBLE>, n BIGINT, s DOUBLE")
-    parts = _added(rows, "g")
-    v = parts["g"]
-    size = math.isqrt(len(v))
-    values, vectors = np.linalg.eigh(v.reshape(size, size))
+    *product, n, total = sums.added(points.mapInArrow(gram, "sums BINARY"))
+    size = math.isqrt(len(product))
+    values, vectors = np.linalg.eigh(np.reshape(product, (size, size)))
     pick = np.argsort(values)[::-1][:k]
     singular, right = np.sqrt(np.maximum(values[pick], 0)), vectors[:, pick].T
-    mean = parts["s"] / (parts["n"] * size)
+    mean = total / (n * size)
     safe = np.where(singular > 0, singular, 1.0)
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +154,9 @@ def _start(points: DataFrame, k: int) -> tuple[np.ndarray, int]:
                 p, m = (np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0)
                 plus, minus = (p, m) if plus is None else (plus + p, minus + m)
         if plus is not None:
-            yield from pa.table({"g": [np.concatenate([plus, minus]).tolist()], "n": [0], "s": [0.0]}).to_batches()
+            yield sums.as_row(np.concatenate([plus, minus]))
 
-    both = _added(points.mapInArrow(halves, "g ARRAY<DOUBLE>, n BIGINT, s DOUBLE"), "g")["g"]
+    both = sums.added(points.mapInArrow(halves, "sums BINARY"))
     u_plus, u_minus = np.sqrt(both[:k]), np.sqrt(both[k:])
     h = np.zeros((k, size))
     h[0] = np.sqrt(singular[0]) * np.abs(right[0])
@@ -169,24 +166,7 @@ def _start(points: DataFrame, k: int) -> tuple[np.ndarray, int]:
         part, weight = (plus, up) if up > down else (minus, down)
         h[j] = np.sqrt(singular[j] * weight) * part / max(np.linalg.norm(part), 1e-12)
     h[h < 1e-6] = mean
-    return h, int(parts["n"])
-
-
-def _added(rows: DataFrame, column: str, fan: int = 64) -> dict:
-    """Sum of one array per task; many tasks first meet in ``fan`` groups."""
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf[column].to_numpy()), axis=0)
-        return pd.DataFrame({column: [total.tolist()], "n": [pdf["n"].sum()], "s": [pdf["s"].sum()]})
-
-    if rows.rdd.getNumPartitions() > fan:
-        rows = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(fan))).applyInPandas(
-            add, f"{column} ARRAY<DOUBLE>, n BIGINT, s DOUBLE"
-        )
-    out = {column: 0.0, "n": 0, "s": 0.0}
-    for r in rows.collect():
-        out = {column: out[column] + np.asarray(r[column]), "n": out["n"] + r["n"], "s": out["s"] + r["s"]}
-    return out
+    return h, int(n)
 
 
 def fit_nmf(
@@ -196,7 +176,7 @@ def fit_nmf(
     """Alternating non-negative least squares with the topics on the driver.
 
     Row weights are solved anew in every pass, so a pass depends on the data and the small
-    topic matrix alone; tasks return sums of k*k and k*terms numbers. ``alpha`` penalises
+    topic matrix alone; sums of k*k and k*terms numbers leave the tasks and meet in a tree. ``alpha`` penalises
     both sides; the customary 0.1 shrinks every factor of unit-length rows to zero, hence 0.
     """
     points = weighted.select(F.col(weights).alias("x"))
@@ -207,7 +187,7 @@ def fit_nmf(
     errors: list[float] = []
     for _ in range(max_iter):
 
-        def sums(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
+        def products(batches: Iterator[pa.RecordBatch], h=h) -> Iterator[pa.RecordBatch]:
             total, s = None, 0.0
             for b in batches:
                 if b.num_rows:
@@ -217,13 +197,13 @@ def fit_nmf(
                     total = part if total is None else total + part
                     s += ((x - w @ h) ** 2).sum()
             if total is not None:
-                yield from pa.table({"g": [total.tolist()], "n": [0], "s": [s]}).to_batches()
+                yield sums.as_row(np.append(total, s))
 
-        out = _added(points.mapInArrow(sums, "g ARRAY<DOUBLE>, n BIGINT, s DOUBLE"), "g")
-        errors.append(math.sqrt(max(out["s"], 0.0)))
+        out = sums.added(points.mapInArrow(products, "sums BINARY"))
+        errors.append(math.sqrt(max(out[-1], 0.0)))
         if len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[0]:
             break
-        ww, wx = out["g"][: k * k].reshape(k, k), out["g"][k * k :].reshape(k, terms)
+        ww, wx = out[: k * k].reshape(k, k), out[k * k : -1].reshape(k, terms)
         h = h.copy()
         for _ in range(sweeps):
             for j in range(k):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gradus.operators.ranking import global_index
 from gradus.schemas import schema
+from gradus.session import cut_lineage
 
 
 def read_csv(
@@ -49,11 +50,42 @@ def with_links(sheet: DataFrame, url: str = "url") -> DataFrame:
     return sheet.where(F.col(url).isNotNull())
 
 
+def map_parts(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON document cut after every closing bracket: ``value`` without it, in tasks of byte ranges like any text file."""
+    return spark.read.option("lineSep", "]").text(path)
+
+
 def read_code_map(spark: SparkSession, path: str, key: str = "employer_name", codes: str = "soc_codes") -> DataFrame:
-    """A JSON document ``{name: [codes]}`` as one row per name."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "map<string,array<string>>")
-    return text.select(F.explode(parsed).alias(key, codes))
+    """A JSON document ``{name: [codes]}`` as one row per name, read by many tasks however few lines it has.
+
+    Of a repeated name the last entry counts, as in any reader of JSON; a name with null instead of codes has no row.
+    A part is what lies up to a closing bracket. Whether that bracket ends a list or stands in a string follows from the
+    number of quotes before it: parts count their own, partitions add theirs up, and the sums tell every part its state
+    and its entry. Only the parts of one entry come together. Several files are maps of their own, a later file's names
+    counting over an earlier one's.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    parts = map_parts(spark, path).select(place.alias("_at"), F.col("value").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+    quotes = F.length(F.regexp_replace(F.regexp_replace("_part", r"(?s)\\.", ""), '[^"]+', ""))
+    # Written once: the parts keep the partitions and places that they were numbered with.
+    told = cut_lineage(parts.withColumn("_odd", (quotes % 2).cast("bigint")))
+    # One row per byte range; their order in the file is that of the rows.
+    ranges = Window.partitionBy("_at.file").orderBy("_at.block")
+    before = told.groupBy("_at").agg(F.sum("_odd").alias("_sum")).withColumn("_before", F.sum("_sum").over(ranges) - F.col("_sum"))
+    inside = Window.partitionBy("_at").orderBy("_row")
+    stated = told.join(before, "_at").withColumn("_open", (F.col("_before") + F.sum("_odd").over(inside)) % 2 == 1)
+    # A part whose end stands in a string goes on in the next; all others end an entry.
+    ended = stated.withColumn("_end", F.when(F.col("_open"), 0).otherwise(1).cast("bigint"))
+    ends = ended.groupBy("_at").agg(F.sum("_end").alias("_ends")).withColumn("_done", F.sum("_ends").over(ranges) - F.col("_ends"))
+    numbered = ended.join(ends, "_at").withColumn("_entry", F.col("_done") + F.sum("_end").over(inside) - F.col("_end"))
+    entries = numbered.groupBy("_at.file", "_entry").agg(F.sort_array(F.collect_list(F.struct("_at", "_row", "_part"))).alias("_parts"))
+    whole = F.array_join(F.transform("_parts", lambda p: p["_part"]), "]")
+    # The last part of a document is its closing brace, perhaps after entries with null.
+    inner = F.regexp_replace(F.regexp_replace(whole, r"^\s*[{,]", ""), r"\}\s*$", "")
+    text = F.when(inner.rlike(r"\S"), F.concat(F.lit("{"), inner, F.when(whole.rlike(r"\}\s*$"), F.lit("}")).otherwise(F.lit("]}"))))
+    named = entries.select("file", "_entry", F.explode(F.from_json(text, "map<string,array<string>>")).alias(key, codes))
+    last = named.groupBy(key).agg(F.max_by(codes, F.struct("file", "_entry")).alias(codes))
+    return last.where(F.col(codes).isNotNull())
 
 
 def write_code_map(df: DataFrame, path: str, key: str = "employer_name", codes: str = "soc_codes") -> None:

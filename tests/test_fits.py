@@ -1,5 +1,6 @@
 """Sums over many tasks, side-by-side starts, stored models, medians with infinities."""
 
+import json
 import math
 import statistics
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import kmeans, mixture, ranking, sums
+from gradus.operators import kmeans, mixture, ranking, sums, topics
 from gradus.sources import files
 
 
@@ -75,3 +76,35 @@ def test_null_fields_and_line_breaks(spark, tmp_path):
     sheet.write_text('x,1\n"two\nlines",2\ny,3\n')
     got = files.read_sheet(spark, str(sheet), ["n", "v"]).orderBy("ordinal").collect()
     assert [(r.n, r.v, r.ordinal) for r in got] == [("x", "1", 1), ("two\nlines", "2", 2), ("y", "3", 3)]
+
+
+def test_topics_do_not_depend_on_tasks(spark):
+    x = np.random.default_rng(3).random((210, 12))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "weights array<double>")
+    one, many = (topics.fit_nmf(df.repartition(n), k=3, max_iter=5, tol=0.0, sweeps=5) for n in (1, 70))
+    np.testing.assert_allclose(one.h, many.h, atol=1e-8)
+    np.testing.assert_allclose(one.errors, many.errors, atol=1e-8)
+
+
+def test_code_map_is_read_in_parts(spark, tmp_path):
+    names = [f"n{i} {x}" for i, x in enumerate(['plain', 'a]b', '"quoted"', 'back\\', '], "x": [', 'é😀]', '{}', '[,', '\\"]']) for _ in range(1)]
+    told = {f"{n}-{i}": [f"c{i}", "x]y", '"'][: i % 4] for i in range(40) for n in names} | {"no codes": None, "": ["e"]}
+    for form, text in enumerate((json.dumps(told), json.dumps(told, indent=2), json.dumps(told, ensure_ascii=False, separators=(",", ":")))):
+        path = tmp_path / f"m{form}.json"
+        path.write_text(text, encoding="utf-8")
+        want = {k: v for k, v in json.loads(text).items() if v is not None}
+        with_parts = files.read_code_map(spark, str(path))
+        assert {r.employer_name: r.soc_codes for r in with_parts.collect()} == want
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        try:
+            assert files.map_parts(spark, str(path)).rdd.getNumPartitions() > 5
+            assert {r.employer_name: r.soc_codes for r in files.read_code_map(spark, str(path)).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    (tmp_path / "twice.json").write_text('{"a": ["1"], "b": [], "a": ["2"]}')
+    assert sorted((r[0], r[1]) for r in files.read_code_map(spark, str(tmp_path / "twice.json")).collect()) == [("a", ["2"]), ("b", [])]
+    (tmp_path / "none.json").write_text(" { } \n")
+    assert files.read_code_map(spark, str(tmp_path / "none.json")).count() == 0
