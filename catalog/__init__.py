@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PARTS = ["etl", "builds", "advice", "groups", "texts"]
+_PARTS = ["etl", "builds", "advice", "groups", "texts", "answers"]
 
 
 def _merged(attribute: str) -> dict:

@@ -309,6 +309,37 @@ checked as (
                  when wage < 20000 or wage > 500000 then 'user_current_wage not in 20000..500000' end error from req)
 """
 
+
+def paths(cos: str) -> str:
+    """SQL of the five best targets of every request, from occupations ``o`` and requests ``checked``: ``res``, ``prog``, ``emp``."""
+    return f"""
+        pairs as (
+          select a.id src, b.id tgt, 'progress' as mode, {cos} sim, a.label = b.label same, b.w bw, b.b bb
+          from o a join o b on a.id <> b.id and b.w > a.w
+          union all
+          select a.id, b.id, 'pivot', {cos}, false, b.w, b.b
+          from o a join o b on a.id <> b.id and b.w > a.w and a.label % 4 <> b.label % 4
+          union all
+          select a.id, b.id, 'field_change', {cos}, a.label % 3 = b.label % 3, b.w, b.b
+          from o a join o b on a.id <> b.id),
+        scored as (
+          select *, case mode when 'progress' then sim + case when same then 0.1::double else 0 end
+                              when 'field_change' then sim + case when same then 0.05::double else 0 end
+                              else 0.5::double * sim + 0.3::double * bw / max(bw) over (partition by src, mode)
+                                   + 0.2::double * bb end sc from pairs),
+        top as (select * from (select *, row_number() over (partition by src, mode order by round(sc, 9) desc, tgt) rk from scored) where rk <= 5),
+        words as (select id, {_words("text")} s, {_skill_words("text")} t from o),
+        full_top as (select top.*, round_even((1 - sim) * 100, 1) gap, {_gap("s.s", "t.t")} skills
+                     from top join words s on s.id = src join words t on t.id = tgt),
+        prog as (select l_orderkey k, string_agg('S' || l_suppkey, ',' order by l_suppkey) x
+                 from (select distinct l_orderkey, l_suppkey from lineitem) group by 1),
+        emp as (select o_custkey k, string_agg('O' || o_orderkey, ',' order by o_orderkey) x from orders group by 1),
+        res as (
+          select r.query_id, r.soc, r.mode, s.id known, s.label, t.*, r.wage uw, coalesce(r.wage, s.w) ew
+          from checked r left join o s on s.id = r.soc
+          left join full_top t on t.src = r.soc and t.mode = r.mode and t.rk <= r.top_n where error is null)"""
+
+
 def _text_vectors(docs: str, name: str = "", given: str = "") -> str:
     """SQL of unit vectors ``id, j, v`` of a table ``id, text``; terms and weights are its own unless given."""
     own = f"""{name}voc as (select t, n, row_number() over (order by t) k from (select t, count(distinct id) n from {name}tok group by t order by n desc, t limit {GIVEN_TERMS})),
@@ -376,31 +407,7 @@ SQL = {
                               when m < 30000 then 'target_min_wage below 30000' end error from r""",
     "pathway_assembly": f"""with {_P}, {_VALID},
         o as (select p.*, text from p join documents on doc_id = id),
-        pairs as (
-          select a.id src, b.id tgt, 'progress' as mode, {_COS} sim, a.label = b.label same, b.w bw, b.b bb
-          from o a join o b on a.id <> b.id and b.w > a.w
-          union all
-          select a.id, b.id, 'pivot', {_COS}, false, b.w, b.b
-          from o a join o b on a.id <> b.id and b.w > a.w and a.label % 4 <> b.label % 4
-          union all
-          select a.id, b.id, 'field_change', {_COS}, a.label % 3 = b.label % 3, b.w, b.b
-          from o a join o b on a.id <> b.id),
-        scored as (
-          select *, case mode when 'progress' then sim + case when same then 0.1::double else 0 end
-                              when 'field_change' then sim + case when same then 0.05::double else 0 end
-                              else 0.5::double * sim + 0.3::double * bw / max(bw) over (partition by src, mode)
-                                   + 0.2::double * bb end sc from pairs),
-        top as (select * from (select *, row_number() over (partition by src, mode order by round(sc, 9) desc, tgt) rk from scored) where rk <= 5),
-        words as (select id, {_words("text")} s, {_skill_words("text")} t from o),
-        full_top as (select top.*, round_even((1 - sim) * 100, 1) gap, {_gap("s.s", "t.t")} skills
-                     from top join words s on s.id = src join words t on t.id = tgt),
-        prog as (select l_orderkey k, string_agg('S' || l_suppkey, ',' order by l_suppkey) x
-                 from (select distinct l_orderkey, l_suppkey from lineitem) group by 1),
-        emp as (select o_custkey k, string_agg('O' || o_orderkey, ',' order by o_orderkey) x from orders group by 1),
-        res as (
-          select r.query_id, r.soc, r.mode, s.id known, s.label, t.*, r.wage uw, coalesce(r.wage, s.w) ew
-          from checked r left join o s on s.id = r.soc
-          left join full_top t on t.src = r.soc and t.mode = r.mode and t.rk <= r.top_n where error is null)
+        {paths(_COS)}
         select query_id, soc::varchar soc_code, res.mode, case when known is null then 'unknown_code' when rk is null then 'no_candidates' else 'ok' end status,
                rk::int as rank, tgt::varchar target_soc,
                case when tgt is null then null when bw < 55000 then 'Tier 1 — Entry/Support' when bw < 80000 then 'Tier 2 — Technical Core'

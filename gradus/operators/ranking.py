@@ -40,8 +40,8 @@ def global_index(df: DataFrame, order: list[Column], out: str, small: int = 100_
     )
 
 
-def rank_in_key(df: DataFrame, keys: list[str], ordinal: str, out: str, width: int = 1 << 20) -> DataFrame:
-    """0-based rank by a unique integer ordinal within each key.
+def rank_in_key(df: DataFrame, keys: list[str], ordinal: str, out: str, width: int = 1 << 20, tie: str | None = None) -> DataFrame:
+    """0-based rank by an integer ordinal within each key; it is unique, or with ``tie`` it is.
 
     The ordinal line is cut into stretches of ``width``; no window sees more than ``width``
     rows of a key, and counted stretches give the offsets.
@@ -50,7 +50,7 @@ def rank_in_key(df: DataFrame, keys: list[str], ordinal: str, out: str, width: i
     counts = stretched.groupBy(*keys, "_s").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_s")
     before = counts.select(*keys, "_s", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(ordinal)) - 1
+    local = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(ordinal, *([tie] if tie else []))) - 1
     return (
         stretched.withColumn("_local", local)
         .join(before, [*keys, "_s"])
@@ -60,14 +60,14 @@ def rank_in_key(df: DataFrame, keys: list[str], ordinal: str, out: str, width: i
 
 
 def pages(
-    df: DataFrame, keys: list[str], ordinal: str, item: Column, out: str, page_size: int = 1_000
+    df: DataFrame, keys: list[str], ordinal: str, item: Column, out: str, page_size: int = 1_000, tie: str | None = None
 ) -> DataFrame:
     """Children of each key as ordered lists of at most ``page_size`` items.
 
     Ordinary keys have the single page 0; a hot key gets as many pages as it needs, so no
     row or task has to hold all its children.
     """
-    ranked = rank_in_key(df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)), keys, ordinal, "_r")
+    ranked = rank_in_key(df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)), keys, ordinal, "_r", tie=tie)
     entry = F.struct(F.col("_r"), item.alias("v"))
     return (
         ranked.groupBy(*keys, F.floor(F.col("_r") / page_size).cast("int").alias("page"))

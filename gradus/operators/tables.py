@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradus.operators.ranking import pages
 from gradus.session import cut_lineage
 
 
@@ -43,6 +44,21 @@ def ordered_distinct_concat(
     )
 
 
+def ordered_distinct_pages(
+    df: DataFrame, keys: list[str], value: str, ordinal: str, out: str, sep: str = ", ", page_size: int = 1_000
+) -> DataFrame:
+    """``keys, page, out``: the text of ``ordered_distinct_concat`` in pages of ``page_size`` values, for keys whose text has no bound.
+
+    Pages in order, one after the other, are the whole text: from the second on a page begins with ``sep``. ``ordinal`` is an
+    integer; values that first appear at the same one go by value. A key with nothing but NULLs has one empty page.
+    """
+    firsts = df.dropna(subset=keys).groupBy(*keys, value).agg(F.min(ordinal).alias("_o"))
+    listed = pages(firsts.where(F.col(value).isNotNull()), keys, "_o", F.col(value), "_items", page_size, tie=value)
+    text = F.concat(F.when(F.col("page") > 0, F.lit(sep)).otherwise(""), F.array_join("_items", sep))
+    empty = firsts.select(*keys).distinct().join(listed.select(*keys), keys, "left_anti")
+    return listed.select(*keys, "page", text.alias(out)).unionByName(empty.select(*keys, F.lit(0).alias("page"), F.lit("").alias(out)))
+
+
 @dataclass(frozen=True)
 class Level:
     """One step of a fallback: the mean over observations that satisfy ``where``,

@@ -158,3 +158,14 @@ def test_relabel_keeps_noise(spark):
     df = spark.createDataFrame([(1, 7, 30.0), (2, 7, 50.0), (3, 2, 90.0), (4, -1, 1.0), (5, 9, 40.0)], "id long, l int, w double")
     out = ranking.relabel_by_median(df, "l", "w", "c")
     assert rows(out, "id", "c") == [(1, 0), (2, 0), (3, 2), (4, -1), (5, 1)]
+
+
+def test_pages_of_a_hot_text_are_the_whole_text(spark):
+    data = [("hot", f"v{i * 37 % 500}", i // 2) for i in range(1500)] + [("a", "z", 1), ("a", "b", 1), ("a", None, 0), ("n", None, 5), (None, "q", 6)]
+    df = spark.createDataFrame(data, "k string, v string, o long")
+    whole = dict(rows(tables.ordered_distinct_concat(df, ["k"], "v", "o", "t"), "k", "t"))
+    got = {}
+    for k, page, t in rows(tables.ordered_distinct_pages(df, ["k"], "v", "o", "t", page_size=60), "k", "page", "t"):
+        assert page == len(got.setdefault(k, []))
+        got[k].append(t)
+    assert {k: "".join(parts) for k, parts in got.items()} == whole and len(got["hot"]) == 9
