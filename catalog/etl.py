@@ -109,10 +109,10 @@ def parent_text_fallback(spark, sf):
         F.col("p_partkey").alias("code"), F.concat("p_brand", F.col("p_size").cast("string")).alias("parent")
     )
     own = tables.ordered_distinct_concat(skills, ["code"], "element", "ordinal", "skill_own")
-    by_parent = tables.ordered_distinct_concat(own.join(part, "code"), ["parent"], "skill_own", "code", "skill_parent")
+    by_parent = tables.parent_texts(part, skills, "code", "parent", "element", "ordinal", "skill_parent")
     task = tables.ordered_distinct_concat(tasks, ["code"], "task", "ordinal", "task_text")
     skill = F.coalesce("skill_own", "skill_parent")
-    joined = part.join(own, "code", "left").join(by_parent, "parent", "left").join(task, "code", "left")
+    joined = part.join(own, "code", "left").join(task, "code", "left").join(by_parent, "code", "left")
     full = text.join_sections(F.col("task_text"), skill)
     return joined.select("code", full.alias("skill_description"), F.length(full).cast("bigint").alias("desc_len"))
 

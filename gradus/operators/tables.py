@@ -59,6 +59,22 @@ def ordered_distinct_pages(
     return listed.select(*keys, "page", text.alias(out)).unionByName(empty.select(*keys, F.lit(0).alias("page"), F.lit("").alias(out)))
 
 
+def parent_texts(
+    entities: DataFrame, df: DataFrame, key: str, parent: str, value: str, ordinal: str, out: str, sep: str = ", "
+) -> DataFrame:
+    """``key, out`` for every entity without a row in ``df``: the texts of its parent's other children in key order.
+
+    ``entities`` has ``key, parent``; ``df`` is what ``ordered_distinct_concat`` makes the children's own texts from. A
+    parent's text is as long as all of its children's, so it is only put together where a child asks, and only that
+    child's row carries it.
+    """
+    lacking = cut_lineage(entities.select(key, parent).join(df.select(key).distinct(), key, "left_anti"))
+    siblings = entities.select(key, parent).join(lacking.select(parent).distinct(), parent, "left_semi")
+    own = ordered_distinct_concat(df.join(siblings.select(key), key, "left_semi"), [key], value, ordinal, out, sep)
+    texts = ordered_distinct_concat(own.join(siblings, key), [parent], out, key, out, sep)
+    return lacking.join(texts, parent).select(key, out)
+
+
 @dataclass(frozen=True)
 class Level:
     """One step of a fallback: the mean over observations that satisfy ``where``,

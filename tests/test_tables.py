@@ -1,10 +1,17 @@
 import random
+from pathlib import Path
+
+import pytest
 
 from pyspark.sql import functions as F
 
+from catalog import etl
 from gradus.operators import matching, ranking, tables
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
@@ -25,6 +32,26 @@ def test_concat_keeps_first_appearance(spark):
     assert rows(tables.ordered_distinct_concat(df, ["k"], "v", "o", "t"), "k", "t") == [("a", "z, b"), ("n", "")]
 
 
+def test_parent_text_only_where_a_child_asks(spark):
+    entities = spark.createDataFrame([(1, "p"), (2, "p"), (3, "p"), (4, "q"), (5, "r"), (6, None)], "code long, parent string")
+    said = spark.createDataFrame([(2, "c", 9), (2, "b", 8), (1, "a", 3), (1, "a", 2), (4, "d", 1)], "code long, t string, o long")
+    got = tables.parent_texts(entities, said, "code", "parent", "t", "o", "of_parent")
+    assert rows(got, "code", "of_parent") == [(3, "a, b, c")]  # nobody lacks a text under q, r has none to lend
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="driver tables not here")
+def test_parent_text_fallback_carries_no_parent_text_for_others(spark, monkeypatch):
+    seen = []
+    kept = tables.ordered_distinct_concat
+    monkeypatch.setattr(tables, "ordered_distinct_concat", lambda *a, **k: seen.append((a[1], kept(*a, **k))) or seen[-1][1])
+    etl.parent_text_fallback(spark, SF).collect()
+    (by_parent,) = [df for keys, df in seen if keys == ["parent"]]
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    asked = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_returnflag = 'R'").select("l_partkey")
+    asked = part.join(asked, part.p_partkey == asked.l_partkey, "left_anti").selectExpr("concat(p_brand, p_size)").distinct().count()
+    assert by_parent.count() <= asked
+
+
 def test_fallback_levels(spark):
     occ = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "code string")
     obs = spark.createDataFrame(
