@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradus.llm.common import as_text, documents, row_and, slices
+from gradus.operators import sums
 
 ORDER = 4
 _BITS = 6  # of a symbol: a grams's number has 24 bits, which bounds a language's model by 2**24 grams
 _START, _END = 62, 63
 UNDECIDED = "und"
-CALIBRATION_ROWS = 2000
+SHARPNESS = [2.0**k for k in range(-2, 8)]
 
 
 @lru_cache(maxsize=1)
@@ -163,38 +164,59 @@ class Models:
         z = -(entropy - entropy.min(axis=1, keepdims=True)) * sharpness
         return 1 / np.exp(z).sum(axis=1)
 
-    def calibrate(self, column: pa.Array, truth: list[str]) -> None:
-        """Sets how sharply entropies become a confidence, by likelihood, and above which entropy a text is rejected: three
-        deviations over the mean of its language's texts."""
+    def tally(self, column: pa.Array, truth: list[str]) -> np.ndarray:
+        """What ``calibrate`` needs of some rows: the log likelihood at each sharpness, then by language the rows with a letter,
+        their entropies under it and the squares of these."""
         entropy, letters = self.entropies(column)
         best = np.array([self.langs.index(t) for t in truth], int)
         entropy, best = entropy[letters], best[letters]
-        if not len(best):
+        out = np.zeros(len(SHARPNESS) + 3 * len(self.langs))
+        if len(best):
+            own = entropy[np.arange(len(best)), best]
+            z = (own - entropy.min(axis=1)).sum()
+            likely = [np.log(self.confidence(entropy, s)).sum() - s * z for s in SHARPNESS]
+            by_lang = [np.bincount(best, w, len(self.langs)) for w in (np.ones(len(own)), own, own * own)]
+            out = np.concatenate([likely, *by_lang])
+        return out
+
+    def calibrate(self, tallied: np.ndarray) -> None:
+        """Sets how sharply entropies become a confidence, by likelihood, and above which entropy a text is rejected: three
+        deviations over the mean of its language's texts."""
+        likely, (n, total, squares) = tallied[: len(SHARPNESS)], tallied[len(SHARPNESS) :].reshape(3, -1)
+        if not n.any():
             return
-        own = entropy[np.arange(len(best)), best]
-        z = own - entropy.min(axis=1)
-        self.sharpness = max(
-            (2.0**k for k in range(-2, 8)), key=lambda s: np.log(self.confidence(entropy, s)).sum() - s * z.sum()
-        )
-        for j in range(len(self.langs)):
-            if np.any(best == j):
-                self.limits[j] = own[best == j].mean() + 3 * own[best == j].std()
+        self.sharpness = SHARPNESS[int(np.argmax(likely))]
+        some = np.maximum(n, 1)
+        deviation = np.sqrt(np.maximum(squares / some - (total / some) ** 2, 0))
+        self.limits = np.where(n > 0, total / some + 3 * deviation, np.inf)
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", rows: int = CALIBRATION_ROWS) -> Models:
+def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text") -> Models:
     """Models of all languages from every row where ``learn`` holds and the language is known.
 
-    Counts cover all those rows. They are calibrated on ``rows`` of them, those with the least text hashes. Driver and tasks
-    hold at most 2**24 grams of each language.
+    Counts and calibration cover all those rows, in a pass each. Driver and tasks hold at most 2**24 grams of each language.
     """
     seen = docs.where(learn & F.col(lang).isNotNull())
     table = gram_counts(seen, lang, text).toPandas()
     models = Models(
         {name: (g["gram"].to_numpy()[o], g["n"].to_numpy(float)[o]) for name, g in table.groupby("lang") for o in [np.argsort(g["gram"].to_numpy())]}
     )
-    some = seen.select(F.col(lang).alias("l"), as_text(text).alias("t")).orderBy(F.xxhash64("t"), "l").limit(rows).toArrow()
-    if some.num_rows:
-        models.calibrate(some.column("t").combine_chunks(), some.column("l").to_pylist())
+    held = docs.sparkSession.sparkContext.broadcast(models)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in slices(batches, "_text"):
+            # a language whose texts have no word has no model
+            batch = batch.filter(pc.is_in(batch.column("_lang"), value_set=pa.array(held.value.langs, pa.string())))
+            if batch.num_rows:
+                part = held.value.tally(batch.column("_text"), batch.column("_lang").to_pylist())
+                total = part if total is None else total + part
+        if total is not None:
+            yield sums.as_row(total)
+
+    tallied = sums.added(seen.select(F.col(lang).alias("_lang"), as_text(text).alias("_text")).mapInArrow(each, "sums BINARY"))
+    if tallied is not None and models.langs:
+        models.calibrate(tallied)
     return models
 
 

@@ -76,6 +76,20 @@ def test_language_of_held_out_texts(spark):
     assert language.predict(strange, models).first().rejected
 
 
+def test_language_is_calibrated_on_all_learning_rows(spark):
+    rnd = random.Random(5)
+    rows = [(i, _spoken(lang, rnd, rnd.randint(1, 6)), lang) for i, lang in enumerate(rnd.choices(list(LANGS), k=2600))]
+    models = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), F.lit(True))
+    entropy, _ = models.entropies(pa.array([r[1] for r in rows]))
+    best = np.array([models.langs.index(r[2]) for r in rows])
+    for j in range(len(models.langs)):
+        own = entropy[best == j, j]
+        assert abs(models.limits[j] - own.mean() - 3 * own.std()) < 1e-9
+    z = (entropy[np.arange(len(best)), best] - entropy.min(axis=1)).sum()
+    likely = [np.log(models.confidence(entropy, s)).sum() - s * z for s in language.SHARPNESS]
+    assert models.sharpness == language.SHARPNESS[int(np.argmax(likely))]
+
+
 def test_language_of_odd_rows(odd, odd_rows, empty):
     models = language.fit(odd, F.lit(True))
     got = language.predict(odd, models).collect()
