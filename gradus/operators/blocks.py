@@ -23,6 +23,8 @@ Kernel = Callable[[pa.Table, pa.Table], pa.Table]
 HELD_BYTES = 16 << 20
 BLOCK_BYTES = 64 << 20
 CHUNK_CELLS = 4_000_000
+TASK_CELLS = 1 << 26  # pairs that one task of a stream meets
+LEAST_ROWS = 4096  # of a block, however many cores there are
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -83,21 +85,32 @@ def fits(rows: int, width: int, limit: int = HELD_BYTES) -> bool:
     return rows * width * 8 <= limit
 
 
-def rows_per_block(width: int, block_rows: int | None = None) -> int:
-    """Rows whose vectors fill one block, unless a number is given."""
-    return block_rows or max(1, BLOCK_BYTES // (8 * width))
+def rows_per_block(width: int, block_rows: int | None = None, rows: int | None = None, cores: int = 1) -> int:
+    """Rows whose vectors fill one block, unless a number is given; fewer where so few pairs of blocks of ``rows`` rows would
+    leave cores idle."""
+    full = max(1, BLOCK_BYTES // (8 * width))
+    if block_rows or rows is None:
+        return block_rows or full
+    return min(full, max(LEAST_ROWS, math.ceil(rows / math.ceil(2 * math.sqrt(cores)))))
 
 
 def block_count(rows: int, block_rows: int) -> int:
     return max(1, math.ceil(rows / block_rows))
 
 
-def against_held(stream: DataFrame, held: DataFrame, kernel: Kernel, schema: str, cut=None) -> DataFrame:
+def cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def against_held(stream: DataFrame, held: DataFrame, kernel: Kernel, schema: str, cut=None, cells: int = 0) -> DataFrame:
     """Kernel over (batch of the stream, whole held side).
 
     ``cut`` merges the running result of a task with the next batch's, so that a task
-    returns one small result however many batches it sees.
+    returns one small result however many batches it sees. Where the two sides have more ``cells``, pairs of rows, than a
+    task should meet, the stream is dealt out anew: few bytes come in few partitions.
     """
+    if cells > TASK_CELLS:
+        stream = stream.repartition(max(cores(stream), math.ceil(cells / TASK_CELLS)))
     table = held.toArrow()
     shared = stream.sparkSession.sparkContext.broadcast(table)
     arrow_schema = to_arrow_schema(StructType.fromDDL(schema))
@@ -167,10 +180,10 @@ def all_against_all(
     """
     n_left, n_right = counts or (left.count(), right.count())
     if fits(n_right, width, held_bytes):
-        return against_held(left, right, kernel, schema)
+        return against_held(left, right, kernel, schema, cells=n_left * n_right)
     if cut is not None and fits(n_left, width, held_bytes):
-        return against_held(right, left, lambda batch, held: kernel(held, batch), schema, cut)
-    per_block = rows_per_block(width, block_rows)
+        return against_held(right, left, lambda batch, held: kernel(held, batch), schema, cut, n_left * n_right)
+    per_block = rows_per_block(width, block_rows, max(n_left, n_right), cores(left))
     rows, cols = block_count(n_left, per_block), block_count(n_right, per_block)
     return block_grid(
         left, right, hash_block(left_key, rows), hash_block(right_key, cols), rows, cols, kernel, schema

@@ -93,7 +93,7 @@ def near_blocks(
     vec = F.col("vec").cast("array<double>").alias("vec")
     queries = queries.select(F.col("query_id").cast("bigint").alias("query_id"), vec)
     candidates = candidates.select(F.col("ordinal").cast("bigint").alias("ordinal"), vec)
-    per_block = blocks.rows_per_block(width, block_rows)
+    per_block = blocks.rows_per_block(width, block_rows, n_candidates, blocks.cores(candidates))
     wanted = blocks.block_count(n_candidates, per_block)
     most = min(wanted, max(1, max(held_bytes, 1 << 20) // (8 * (width + 2))))
     picked = candidates.orderBy(F.xxhash64("ordinal"), "ordinal").limit(most).select("vec").toArrow()

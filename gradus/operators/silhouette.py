@@ -75,10 +75,10 @@ def silhouette_points(
     n = points.count() if n is None else n
     others = points.join(sizes, "label")
     if blocks.fits(n, width, held_bytes):
-        sums = blocks.against_held(points, others.withColumn("whole", F.lit(True)), _distance_sums, _PARTIAL)
+        sums = blocks.against_held(points, others.withColumn("whole", F.lit(True)), _distance_sums, _PARTIAL, cells=n * n)
         merged = sums.select("key", F.col("own").alias("label"), "a", "b")
     else:
-        block_rows = blocks.rows_per_block(width, block_rows)
+        block_rows = blocks.rows_per_block(width, block_rows, n, blocks.cores(df))
         n_blocks = blocks.block_count(n, block_rows)
         pieces = F.ceil(F.col("size") / block_rows)
         others = others.withColumn("whole", pieces == 1)
@@ -185,9 +185,10 @@ def silhouette_scores(
             label = blocks.matrix(batch["labels"]).astype(np.int64)
             return pa.table(_values(_group_sums(batch, others, groups), label, groups, size), names=names)
 
-        scored = blocks.against_held(points, points, solve, schema)
+        scored = blocks.against_held(points, points, solve, schema, cells=n * n)
     else:
-        scored = _by_block_pairs(points, groups, size, names, blocks.block_count(n, blocks.rows_per_block(width, block_rows)))
+        per_block = blocks.rows_per_block(width, block_rows, n, blocks.cores(df))
+        scored = _by_block_pairs(points, groups, size, names, blocks.block_count(n, per_block))
     found = scored.agg(*[F.avg(c) for c in names]).first()
     return out | {c: round(v, 4) for c, v in zip(asked, found)}
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.operators import density, forest, hierarchy, kmeans, mixture, silhouette, similarity, ward
+from gradus.operators import blocks, density, forest, hierarchy, kmeans, mixture, silhouette, similarity, ward
 
 D = 5
 
@@ -37,6 +37,20 @@ def test_neighbours(spark, limits):
     assert got == {i: want[i] for i in range(50)}
 
 
+def test_pairs_are_shared_out_over_cores(spark, monkeypatch):
+    one = frame(spark, points()).coalesce(1).select("id", "vec")
+
+    def count(a, b):
+        return a.select(["id"]).append_column("n", [[b.num_rows] * a.num_rows])
+
+    monkeypatch.setattr(blocks, "TASK_CELLS", 1_000)
+    met = blocks.all_against_all(one, one, "id", "id", D, count, "id BIGINT, n BIGINT")
+    assert met.rdd.getNumPartitions() == 9 and sorted(tuple(r) for r in met.collect()) == [(i, 90) for i in range(90)]
+    full = blocks.rows_per_block(64)
+    assert blocks.block_count(full, blocks.rows_per_block(64, None, full, 12)) ** 2 >= 4 * 12
+    assert blocks.rows_per_block(64, None, 1000 * full, 12) == full and blocks.rows_per_block(64, 20, full, 12) == 20
+
+
 @pytest.mark.parametrize("limits", PATHS)
 def test_rules(spark, limits):
     x = points(copies=False)
