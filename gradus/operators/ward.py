@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.operators import blocks, forest
+from gradus.operators import blocks, cells, forest
 from gradus.operators.kmeans import KS
 from gradus.operators.ranking import rank_in_key, relabel_by_median
 from gradus.operators.silhouette import silhouette_scores
@@ -30,24 +30,29 @@ def _nearest(groups: pa.Table, others: pa.Table) -> pa.Table:
     x, y = blocks.matrix(groups["vec"]), blocks.matrix(others["vec"])
     node, other = (blocks.numbers(t["node"], np.int64) for t in (groups, others))
     n, m = (blocks.numbers(t["size"]) for t in (groups, others))
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
-    parts = []
-    for piece in blocks.row_chunks(len(node), len(other)):
-        factor = n[piece, None] * m[None, :] / (n[piece, None] + m[None, :])
-        cost = factor * blocks.square_distances(x[piece], y)
-        slack = factor * 1e-13 * (xx[piece, None] + yy[None, :])
-        _, self_row, self_col = np.intersect1d(node[piece], other, return_indices=True)
-        cost[self_row, self_col] = np.inf
-        # The matrix product rounds differently by position: settle close calls exactly.
-        limit = (cost + slack).min(axis=1, keepdims=True)
-        rows, cols = np.nonzero((cost - slack <= limit) & np.isfinite(cost))
-        diff = x[piece][rows] - y[cols]
-        exact = factor[rows, cols] * np.einsum("ij,ij->i", diff, diff)
-        order = np.lexsort((other[cols], exact, rows))
-        first = np.unique(rows[order], return_index=True)[1]
-        pick = order[first]
-        parts.append(pa.table({"node": node[piece][rows[pick]], "other": other[cols[pick]], "cost": exact[pick]}))
-    return pa.concat_tables(parts)
+    x32, y32 = cells.apart(x, y)
+    n32, m32 = (1 / n).astype(np.float32), (1 / m).astype(np.float32)
+    place = cells.places(other, node)
+
+    def hopes(rows, left, right, out):
+        np.matmul(x32[rows], y32[:, left:right], out=out)
+        out /= n32[rows, None] + m32[None, left:right]
+        cells.hide(out, place[rows], left, right)
+
+    def scores(rows, columns):
+        diff = x[rows] - y[columns]
+        cost = n[rows] * m[columns] / (n[rows] + m[columns]) * np.einsum("ij,ij->i", diff, diff)
+        return np.where(place[rows] == columns, -np.inf, -cost)
+
+    rows, columns, score = cells.best_columns(len(node), len(other), 1, hopes, scores, other)
+    return pa.table({"node": node[rows], "other": other[columns], "cost": -score})
+
+
+def _cheapest(found: pa.Table) -> pa.Table:
+    """Cheapest partner of every group of a merged result."""
+    node, other, cost = (found[c].to_numpy() for c in ("node", "other", "cost"))
+    order = np.lexsort((other, cost, node))
+    return found.take(order[np.unique(node[order], return_index=True)[1]])
 
 
 def _finish(groups: pd.DataFrame) -> pd.DataFrame:
@@ -105,10 +110,10 @@ def ward_merges(
     while n > few:
         # A merged group is no closer to a third one than the nearer of its two parts was, so only groups that merged, or
         # whose partner did, look anew.
-        asking = groups if known is None else groups.join(known.select("node"), "node", "left_anti")
+        asking = groups if known is None else cut_lineage(groups.join(known.select("node"), "node", "left_anti"))
         found = blocks.all_against_all(
             asking, groups, "node", "node", width, _nearest, _NEAREST,
-            held_bytes=held_bytes, block_rows=block_rows, counts=(n, n),
+            held_bytes=held_bytes, block_rows=block_rows, cut=_cheapest, counts=(n if known is None else asking.count(), n),
         )
         nearest = found.groupBy("node").agg(F.min(F.struct("cost", "other")).alias("b")).select("node", "b.other", "b.cost")
         nearest = cut_lineage(nearest if known is None else nearest.unionByName(known))

@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from gradus.operators import blocks, cells, similarity
+from gradus.operators import blocks, cells, density, similarity, ward
 
 
 def brute(score, k, tie, first, floor):
@@ -46,3 +47,45 @@ def test_few_pairs_are_worked_out_in_full(monkeypatch):
 
 def test_blocks_do_not_grow_with_the_table():
     assert blocks.rows_per_block(8, None, 10_000_000, 12) == blocks.rows_per_block(8, None, 100_000_000, 12) <= 1 << 16
+
+
+def _counted(monkeypatch):
+    worked, found = [], cells.best_columns
+
+    def counted(n, m, k, hopes, scores, *args):
+        return found(n, m, k, hopes, lambda r, c: worked.append(len(r)) or scores(r, c), *args)
+
+    monkeypatch.setattr(cells, "best_columns", counted)
+    return worked
+
+
+@pytest.mark.parametrize("offset", [0.0, 50.0])
+def test_cheapest_partners(monkeypatch, offset):
+    rng = np.random.default_rng(5)
+    n, worked = 3000, _counted(monkeypatch)
+    x, size, node = rng.normal(size=(n, 8)) + offset, rng.integers(1, 5, n), rng.permutation(n)
+    table = pa.table({"node": node, "vec": x.tolist(), "size": size})
+    got = ward._nearest(table, table)
+    cost = (size[:, None] * size / (size[:, None] + size)) * ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(cost, np.inf)
+    assert dict(zip(got["node"].to_pylist(), got["other"].to_pylist())) == dict(zip(node.tolist(), node[cost.argmin(1)].tolist()))
+    assert sum(worked) < 0.02 * n * n
+
+
+def test_shortest_exits(monkeypatch):
+    rng = np.random.default_rng(6)
+    n, worked = 2500, _counted(monkeypatch)
+    monkeypatch.setattr(density, "ROWS_AT_ONCE", 300)
+    x, core, comp, key = rng.normal(size=(n, 3)), rng.random(n) / 3, rng.integers(0, 9, n), rng.permutation(n)
+    x[:400] = x[0]
+    table = pa.table({"key": key, "vec": x.tolist(), "core": core, "comp": comp})
+    w = np.maximum(blocks.exact_distances(np.repeat(x, n, 0), np.tile(x, (n, 1))).reshape(n, n), np.maximum(core[:, None], core))
+    w[comp[:, None] == comp] = np.inf
+    want = set()
+    for c in range(9):
+        i, j = np.nonzero((w == w[comp == c].min()) & (comp[:, None] == c))
+        lo, hi = min((min(key[a], key[b]), max(key[a], key[b])) for a, b in zip(i, j))
+        want.add((c, w[comp == c].min(), lo, hi))
+    got = density._shortest_exits(table, table).to_pylist()
+    assert {(r["comp"], r["w"], r["lo"], r["hi"]) for r in got} == want
+    assert sum(worked) < 0.1 * n * n
