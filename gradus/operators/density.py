@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradus.operators import blocks, forest
+from gradus.operators import blocks, cells, forest
 from gradus.operators.hierarchy import STRETCH, condensed_clusters
 from gradus.operators.ranking import relabel_by_median
 from gradus.operators.silhouette import silhouette_score
 from gradus.session import cut_lineage
 
+ROWS_AT_ONCE = 4096  # of a block, before its components' shortest edges so far are looked at again
+
 
 # -- Mutual-reachability tree -------------------------------------------------
 
@@ -28,22 +30,18 @@ def core_distances(points: DataFrame, width: int, min_samples: int, count_self:
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = blocks.matrix(a["vec"]), blocks.matrix(b["vec"])
         key, other = (blocks.numbers(t["key"], np.int64) for t in (a, b))
-        xx, yy = (x * x).sum(1), (y * y).sum(1)
-        parts = []
-        for piece in blocks.row_chunks(len(key), len(other)):
-            d = blocks.square_distances(x[piece], y)
-            _, self_row, self_col = np.intersect1d(key[piece], other, return_indices=True)
-            d[self_row, self_col] = np.inf
-            slack = 1e-13 * (xx[piece, None] + yy[None, :])
-            place = min(k, d.shape[1]) - 1
-            limit = np.partition(d + slack, place, axis=1)[:, [place]]
-            rows, cols = np.nonzero((d - slack <= limit) & np.isfinite(d))
-            exact = blocks.exact_distances(x[piece][rows], y[cols])
-            order = np.lexsort((exact, rows))
-            rows, exact = rows[order], exact[order]
-            near = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            parts.append(pa.table({"key": key[piece][rows[near]], "distance": exact[near]}))
-        return pa.concat_tables(parts)
+        x32, y32 = cells.apart(x, y)
+        place = cells.places(other, key)
+
+        def hopes(rows, left, right, out):
+            np.matmul(x32[rows], y32[:, left:right], out=out)
+            cells.hide(out, place[rows], left, right)
+
+        def scores(rows, columns):
+            return np.where(place[rows] == columns, -np.inf, -blocks.exact_distances(x[rows], y[columns]) ** 2)
+
+        rows, columns, _ = cells.best_columns(len(key), len(other), k, hopes, scores, other)
+        return pa.table({"key": key[rows], "distance": blocks.exact_distances(x[rows], y[columns])})
 
     if k < 1:
         return points.select("key", F.lit(0.0).alias("core"))
@@ -56,34 +54,57 @@ def core_distances(points: DataFrame, width: int, min_samples: int, count_self:
 
 def _shortest_exits(a: pa.Table, b: pa.Table) -> pa.Table:
     """Shortest edge from every component of one block into another component of the other."""
+    # By component: rows of one lie together, and what they must not meet is one stretch of columns.
+    a, b = (t.take(np.argsort(t["comp"].to_numpy(), kind="stable")) for t in (a, b))
     x, y = blocks.matrix(a["vec"]), blocks.matrix(b["vec"])
     key, other = (blocks.numbers(t["key"], np.int64) for t in (a, b))
     comp, other_comp = (blocks.numbers(t["comp"], np.int64) for t in (a, b))
     core, other_core = (blocks.numbers(t["core"]) for t in (a, b))
-    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    x32, y32 = cells.apart(x, y)
+    core32, other32 = ((-(c * c) * (1 - 1e-6)).astype(np.float32) for c in (core, other_core))
+    begin, end = (np.searchsorted(other_comp, comp, side=s) for s in ("left", "right"))
+    name, group = np.unique(comp, return_inverse=True)
+    best = np.full(len(name), np.inf)
     parts = []
-    for piece in blocks.row_chunks(len(key), len(other)):
-        reach = np.maximum(blocks.square_distances(x[piece], y), np.maximum(core[piece, None], other_core[None, :]) ** 2)
-        slack = 1e-13 * (xx[piece, None] + yy[None, :])
-        reach[comp[piece][:, None] == other_comp[None, :]] = np.inf
-        # Matrix products round by position: settle close calls exactly.
-        limit = (reach + slack).min(axis=1, keepdims=True)
-        rows, cols = np.nonzero((reach - slack <= limit) & np.isfinite(reach))
-        if not len(rows):
-            continue
-        w = np.maximum(
-            blocks.exact_distances(x[piece][rows], y[cols]), np.maximum(core[piece][rows], other_core[cols])
-        )
-        lo, hi = np.minimum(key[piece][rows], other[cols]), np.maximum(key[piece][rows], other[cols])
-        mine, theirs = comp[piece][rows], other_comp[cols]
-        order = np.lexsort((hi, lo, w, mine))
-        pick = order[np.unique(mine[order], return_index=True)[1]]
-        parts.append(
-            pa.table({"comp": mine[pick], "w": w[pick], "lo": lo[pick], "hi": hi[pick], "target": theirs[pick]})
-        )
+    for start in range(0, len(key), ROWS_AT_ONCE):
+        # No edge of a row is shorter than its core distance.
+        asking = start + np.flatnonzero(core[start : start + ROWS_AT_ONCE] <= best[group[start : start + ROWS_AT_ONCE]])
+
+        def hopes(rows, left, right, out, asking=asking):
+            mine = asking[rows]
+            np.matmul(x32[mine], y32[:, left:right], out=out)
+            np.minimum(out, np.minimum(core32[mine, None], 0), out=out)
+            np.minimum(out, other32[None, left:right], out=out)
+            np.negative(np.sqrt(np.negative(out, out=out), out=out), out=out)
+            met = np.flatnonzero((begin[mine] < right) & (end[mine] > left))
+            if len(met):
+                # Rows come by component, so those of one are neighbours.
+                cuts = np.flatnonzero(np.diff(group[mine[met]])) + 1
+                for run in np.split(met, cuts):
+                    out[run, max(begin[mine[run[0]]] - left, 0) : max(end[mine[run[0]]] - left, 0)] = -np.inf
+
+        def scores(rows, columns, asking=asking):
+            mine = asking[rows]
+            w = np.maximum(blocks.exact_distances(x[mine], y[columns]), np.maximum(core[mine], other_core[columns]))
+            return np.where(comp[mine] == other_comp[columns], -np.inf, -w)
+
+        rows, cols, score = cells.best_columns(len(asking), len(other), 1, hopes, scores, other, None, -best[group[asking]])
+        rows = asking[rows]
+        lo, hi = np.minimum(key[rows], other[cols]), np.maximum(key[rows], other[cols])
+        order = np.lexsort((hi, lo, -score, group[rows]))
+        pick = order[np.unique(group[rows][order], return_index=True)[1]]
+        best[group[rows[pick]]] = np.minimum(best[group[rows[pick]]], -score[pick])
+        parts.append(pa.table({"comp": comp[rows[pick]], "w": -score[pick], "lo": lo[pick], "hi": hi[pick], "target": other_comp[cols[pick]]}))
     if not parts:
         return pa.table({c: pa.array([], pa.float64() if c == "w" else pa.int64()) for c in ("comp", "w", "lo", "hi", "target")})
-    return pa.concat_tables(parts)
+    return _of_components(pa.concat_tables(parts))
+
+
+def _of_components(found: pa.Table) -> pa.Table:
+    """Shortest edge of every component of a merged result."""
+    comp, w, lo, hi = (found[c].to_numpy() for c in ("comp", "w", "lo", "hi"))
+    order = np.lexsort((hi, lo, w, comp))
+    return found.take(order[np.unique(comp[order], return_index=True)[1]])
 
 
 def reachability_tree(
@@ -106,7 +127,7 @@ def reachability_tree(
         state = points.join(comps, "key")
         exits = blocks.all_against_all(
             state, state, "key", "key", width, _shortest_exits,
-            "comp BIGINT, w DOUBLE, lo BIGINT, hi BIGINT, target BIGINT", counts=(n, n), **limits,
+            "comp BIGINT, w DOUBLE, lo BIGINT, hi BIGINT, target BIGINT", counts=(n, n), cut=_of_components, **limits,
         )
         picks = cut_lineage(
             exits.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "target")).alias("e")).select("comp", "e.*")
