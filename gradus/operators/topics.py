@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from gradus import fixed
 from gradus.functions import text
 from gradus.functions.vectors import shares, unit
-from gradus.operators import blocks, sums
+from gradus.operators import blocks, lda, sums
 
 N_TOPICS = 8
 N_TERMS = 300
@@ -78,21 +77,18 @@ def long_weights(weighted: DataFrame, key: str, vocab: list[str], weights: str =
 # -- Latent Dirichlet allocation ---------------------------------------------
 
 
-def fit_lda(counted: DataFrame, counts: str = "counts", k: int = N_TOPICS, max_iter: int = 100, seed: int = 42):
+def fit_lda(counted: DataFrame, terms: int, counts: str = "counts", k: int = N_TOPICS, max_iter: int = 100, seed: int = 42):
     """Online LDA with sparse document and topic priors; every pass sees all documents."""
-    return LDA(
-        k=k, optimizer="online", subsamplingRate=1.0, docConcentration=[0.1] * k, topicConcentration=0.01, maxIter=max_iter,
-        seed=seed, featuresCol=counts, topicDistributionCol="_topics",
-    ).fit(counted)
+    return lda.fit(counted, counts, terms, k, max_iter, seed)
 
 
-def lda_weights(model, counted: DataFrame, out: str = "lda_weights") -> DataFrame:
-    return model.transform(counted).withColumn(out, vector_to_array("_topics")).drop("_topics")
+def lda_weights(model: lda.TopicModel, counted: DataFrame, out: str = "lda_weights") -> DataFrame:
+    return lda.weights(model, counted, "counts", out)
 
 
 def lda_terms(model, vocab: list[str], n: int = 10) -> DataFrame:
     """``topic_id, rank, term, weight`` of the n heaviest terms of every topic."""
-    return top_terms(SparkSession.active(), model.topicsMatrix().toArray().T, vocab, n)
+    return top_terms(SparkSession.active(), model.strengths, vocab, n)
 
 
 # -- Non-negative factorisation ----------------------------------------------

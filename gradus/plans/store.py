@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import LocalLDAModel
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.operators import choose
+from gradus.operators.lda import TopicModel
 from gradus.operators.mixture import Mixture
 from gradus.operators.topics import Factors
 from gradus.plans.clustering import Clustering, cluster_overview, clustering_meta, tier_map
@@ -44,7 +44,10 @@ def save_topics(result: Topics, folder: str) -> None:
     spark = SparkSession.active()
     files.write_table(spark.createDataFrame(list(enumerate(result.vocabulary)), "place INT, term STRING"), f"{folder}/vocabulary")
     if result.lda_model is not None:
-        files.save_model(result.lda_model, f"{folder}/lda")
+        m = result.lda_model
+        rows = [(t, row.tolist(), float(m.alpha), float(m.eta)) for t, row in enumerate(m.strengths)]
+        schema = "topic_id INT, strengths ARRAY<DOUBLE>, alpha DOUBLE, eta DOUBLE"
+        files.write_table(spark.createDataFrame(rows, schema), f"{folder}/lda")
     if result.nmf_factors is not None:
         f = result.nmf_factors
         rows = [(t, row.tolist(), float(f.l1_w), float(f.l2_w), float(f.error)) for t, row in enumerate(f.h)]
@@ -52,11 +55,13 @@ def save_topics(result: Topics, folder: str) -> None:
         files.write_table(spark.createDataFrame(rows, schema), f"{folder}/nmf")
 
 
-def load_topics(spark: SparkSession, folder: str) -> tuple[list[str], LocalLDAModel, Factors]:
+def load_topics(spark: SparkSession, folder: str) -> tuple[list[str], TopicModel, Factors]:
     vocab = [r["term"] for r in files.read_table(spark, f"{folder}/vocabulary").orderBy("place").collect()]
     rows = files.read_table(spark, f"{folder}/nmf").orderBy("topic_id").collect()
     factors = Factors(np.array([r["terms"] for r in rows]), rows[0]["l1"], rows[0]["l2"], rows[0]["error"], [rows[0]["error"]])
-    return vocab, LocalLDAModel.load(f"{folder}/lda"), factors
+    told = files.read_table(spark, f"{folder}/lda").orderBy("topic_id").collect()
+    model = TopicModel(np.array([r["strengths"] for r in told]), told[0]["alpha"], told[0]["eta"])
+    return vocab, model, factors
 
 
 def save_run(result: Clustering, folder: str, encoder_name: str, width: int) -> None:

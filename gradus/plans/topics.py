@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus import fixed
-from gradus.operators import topics
+from gradus.operators import lda, topics
 from gradus.session import cut_lineage
 
 
@@ -21,7 +20,7 @@ class Topics:
     vocabulary: list[str]
     lda_perplexity: float | None
     nmf_error: float | None
-    lda_model: LDAModel | None = None
+    lda_model: lda.TopicModel | None = None
     nmf_factors: topics.Factors | None = None
 
 
@@ -39,9 +38,9 @@ def run_topics(
     out = Topics(None, None, None, vocab, None, None)
     profiled = counted
     if method in ("lda", "both"):
-        model = topics.fit_lda(counted, k=n_topics, max_iter=max_iter)
+        model = topics.fit_lda(counted, len(vocab), k=n_topics, max_iter=max_iter)
         out.lda_model, out.lda_terms = model, topics.lda_terms(model, vocab)
-        out.lda_perplexity = model.logPerplexity(counted)
+        out.lda_perplexity = lda.log_perplexity(model, counted, "counts")
         profiled = topics.lda_weights(model, profiled)
     if method in ("nmf", "both"):
         weighter = topics.TermWeights.fit(counted)
