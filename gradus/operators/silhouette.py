@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gradus.operators import blocks
+from gradus.operators import blocks, cells
 
 # Groupings of at most that many groups are scored together, from sums to every group; one with more on its own.
 FEW_GROUPS = 64
+TILE_COLUMNS = 512  # of distances in double precision
 _PARTIAL = "key BIGINT, own BIGINT, a DOUBLE, b DOUBLE, grp BIGINT, total DOUBLE"
 
 
@@ -121,18 +122,29 @@ def silhouette_score(df: DataFrame, key: str, vec: str, label: str, width: int,
     return round(points.agg(F.avg("silhouette")).first()[0], 4)
 
 
-def _group_sums(points: pa.Table, others: pa.Table, groups: list[np.ndarray]) -> np.ndarray:
-    """Distances from each point to the rows of every group of every grouping, added up."""
+def _members(labels: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    return np.hstack([labels[:, [j]] == g[None, :] for j, g in enumerate(groups)]).astype(np.float64)
+
+
+def _group_sums(points: pa.Table, others: pa.Table, groups: list[np.ndarray], both: bool = False) -> list[np.ndarray]:
+    """Distances from each point to the rows of every group of every grouping, added up; with ``both`` from each of the others
+    to the points too, of the same distances. A tile of them stays in the cache."""
     x, y = blocks.matrix(points["vec"]), blocks.matrix(others["vec"])
     key, other = (blocks.numbers(t["key"], np.int64) for t in (points, others))
-    label = blocks.matrix(others["labels"]).astype(np.int64)
-    member = np.hstack([label[:, [j]] == g[None, :] for j, g in enumerate(groups)]).astype(np.float64)
-    out = np.zeros((len(key), member.shape[1]))
-    for piece in blocks.row_chunks(len(key), len(other)):
-        distance = np.sqrt(blocks.square_distances(x[piece], y))
-        _, same_row, same_col = np.intersect1d(key[piece], other, return_indices=True)
-        distance[same_row, same_col] = 0.0
-        out[piece] = distance @ member
+    member = [_members(blocks.matrix(t["labels"]).astype(np.int64), groups) for t in (points, others)]
+    place = cells.places(other, key)
+    out = [np.zeros((len(key), member[0].shape[1])), np.zeros((len(other) if both else 0, member[0].shape[1]))]
+    for top in range(0, len(key), cells.TILE_ROWS):
+        rows = slice(top, top + cells.TILE_ROWS)
+        for left in range(0, len(other), TILE_COLUMNS):
+            columns = slice(left, left + TILE_COLUMNS)
+            distance = blocks.square_distances(x[rows], y[columns])
+            np.sqrt(distance, out=distance)
+            same = np.flatnonzero((place[rows] >= left) & (place[rows] < left + TILE_COLUMNS))
+            distance[same, place[rows][same] - left] = 0.0
+            out[0][rows] += distance @ member[1][columns]
+            if both:
+                out[1][columns] += distance.T @ member[0][rows]
     return out
 
 
@@ -183,7 +195,7 @@ def silhouette_scores(
 
         def solve(batch: pa.Table, others: pa.Table) -> pa.Table:
             label = blocks.matrix(batch["labels"]).astype(np.int64)
-            return pa.table(_values(_group_sums(batch, others, groups), label, groups, size), names=names)
+            return pa.table(_values(_group_sums(batch, others, groups)[0], label, groups, size), names=names)
 
         scored = blocks.against_held(points, points, solve, schema, cells=n * n)
     else:
@@ -196,15 +208,11 @@ def silhouette_scores(
 def _by_block_pairs(points: DataFrame, groups: list[np.ndarray], size: list[np.ndarray], names: list[str], n_blocks: int) -> DataFrame:
     columns = [f"t{i}" for i in range(sum(map(len, groups)))]
 
-    def sums(table: pa.Table, others: pa.Table) -> pa.Table:
-        total = _group_sums(table, others, groups)
-        return pa.table([table["key"], table["labels"], *[pa.array(c) for c in total.T]], names=["key", "labels", *columns])
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [sums(left, right)]
-        if left["_lb"][0] != right["_rb"][0]:
-            parts.append(sums(right, left))
-        return pa.concat_tables(parts)
+        both = left["_lb"][0] != right["_rb"][0]
+        sides = [left, right] if both else [left]
+        named = [[t["key"], t["labels"], *[pa.array(c) for c in total.T]] for t, total in zip(sides, _group_sums(left, right, groups, both))]
+        return pa.concat_tables([pa.table(columns_, names=["key", "labels", *columns]) for columns_ in named])
 
     dealt = points.withColumn("_block", blocks.hash_block("key", n_blocks).cast("int"))
     from_ = lambda a, b: F.explode(F.sequence(a, b))

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gradus.operators import blocks, cells, density, similarity, ward
+from gradus.operators import blocks, cells, density, silhouette, similarity, ward
 
 
 def brute(score, k, tie, first, floor):
@@ -89,3 +89,15 @@ def test_shortest_exits(monkeypatch):
     got = density._shortest_exits(table, table).to_pylist()
     assert {(r["comp"], r["w"], r["lo"], r["hi"]) for r in got} == want
     assert sum(worked) < 0.1 * n * n
+
+
+def test_distances_serve_both_sides():
+    rng = np.random.default_rng(7)
+    sides = [pa.table({"key": range(a, b), "vec": rng.normal(size=(b - a, 4)).tolist(), "labels": [[i % 3, i % 2] for i in range(a, b)]}) for a, b in ((0, 300), (250, 900))]
+    groups = [np.arange(3), np.arange(2)]
+    both = silhouette._group_sums(*sides, groups, True)
+    for got, (a, b) in zip(both, (sides, sides[::-1])):
+        x, y, label = blocks.matrix(a["vec"]), blocks.matrix(b["vec"]), np.array(b["labels"].to_pylist())
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)) * (a["key"].to_numpy()[:, None] != b["key"].to_numpy())
+        want = np.hstack([d @ (label[:, [j]] == g) for j, g in enumerate(groups)])
+        np.testing.assert_allclose(got, want, rtol=1e-7)
