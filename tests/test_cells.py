@@ -101,3 +101,25 @@ def test_distances_serve_both_sides():
         d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)) * (a["key"].to_numpy()[:, None] != b["key"].to_numpy())
         want = np.hstack([d @ (label[:, [j]] == g) for j, g in enumerate(groups)])
         np.testing.assert_allclose(got, want, rtol=1e-7)
+
+
+def test_ties_are_not_worked_out_pair_by_pair(monkeypatch):
+    rng, worked = np.random.default_rng(8), _counted(monkeypatch)
+    n, k = 3000, 3
+    x = np.repeat(blocks.unit_rows(rng.normal(size=(5, 4))), n // 5, 0)
+    x[::2] = 0.0  # without a direction: all columns tie
+    tie, first, hidden = rng.permutation(n), rng.integers(0, n + 1, n), np.where(rng.random(n) < 0.5, rng.integers(0, n, n), -1)
+    score = np.round(x @ x.T, 9)
+    for upto, without in ((None, None), (first, hidden)):
+        rows, columns = similarity._best(x, x, k, 1.0, 9, tie, upto, without)
+        got = [columns[rows == i].tolist() for i in range(n)]
+        for i in range(0, n, 7):
+            there = [j for j in range(n if upto is None else upto[i]) if without is None or j != without[i]]
+            assert got[i] == sorted(there, key=lambda j: (-score[i, j], tie[j]))[:k]
+    assert sum(worked) < 0.05 * n * n
+
+
+def test_tasks_of_a_stream_have_rows_enough():
+    n = 250_000
+    assert blocks.dealt_tasks(n * n, 12, n // blocks.LEAST_ROWS) == n // blocks.LEAST_ROWS < blocks.dealt_tasks(n * n, 12)
+    assert blocks.dealt_tasks(1000 * n, 12, 1) == 12
