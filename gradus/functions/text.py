@@ -10,6 +10,8 @@ from gradus import fixed
 # Every Unicode space, as a whitespace split of Python text sees it.
 SPACES = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 ALPHABETIC = r"^\p{L}+$"
+_OTHER = r"[^\s\x0B\x1C-\x1F\x85\p{Z}]"
+TOPIC_RUNS = rf"(?<!{_OTHER})[\p{{L}},]{{4,}}+(?!{_OTHER})"  # letters and commas between spaces
 
 
 def strip(col: Column) -> Column:
@@ -124,13 +126,10 @@ def topic_tokens(
     comma-joined words separated."""
     for heading in headings:
         col = F.replace(col, F.lit(heading), F.lit(""))
-    kept = F.filter(
-        F.split(col, SPACES),
-        lambda t: (F.length(t) > 3)
-        & ~_member(F.lower(t), stopwords)
-        & F.replace(t, F.lit(","), F.lit("")).rlike(ALPHABETIC),
-    )
-    pieces = F.flatten(F.transform(kept, lambda t: F.split(F.lower(t), ",")))
+    # One pass finds the runs between spaces that hold only letters and commas, at least four; what they hold between commas
+    # is checked below, where stop words go too, so that no token is looked at twice.
+    kept = F.regexp_extract_all(col, F.lit(TOPIC_RUNS), F.lit(0))
+    pieces = F.split(F.lower(F.array_join(kept, ",")), ",")
     return F.filter(pieces, lambda t: (F.length(t) > 1) & ~_member(t, stopwords))
 
 
@@ -138,7 +137,7 @@ def uni_and_bigrams(tokens: Column) -> Column:
     pairs = F.zip_with(
         tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.concat(a, F.lit(" "), b)
     )
-    return F.concat(tokens, F.filter(pairs, lambda p: p.isNotNull()))
+    return F.concat(tokens, F.slice(pairs, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))))
 
 
 def parse_codes(raw: Column, valid: Column | None = None, default: str = fixed.GENERAL) -> Column:

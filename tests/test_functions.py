@@ -71,6 +71,15 @@ def test_topic_tokens(spark):
     assert values(spark, [""], "string", text.uni_and_bigrams(F.filter(F.split("x", " "), lambda t: t != ""))) == [[]]
 
 
+def test_topic_tokens_are_found_in_one_pass(spark):
+    data = ["abcd,ef gh,ij ,,,, a,b,c ΣΑΣ,ΟΔΟΣ İİİİ with,that", None, "abcde1 abcd\x85wxyz\x1cnaïve.", "(abcd) stop-word\nABCD,\n"]
+    tokens = text.topic_tokens(F.col("x"))
+    want = [["abcd", "ef", "gh", "ij", "σας", "οδος", "i̇i̇i̇i̇"], None, ["abcd", "wxyz"], ["abcd"]]
+    assert values(spark, data, "string", tokens) == want
+    plan = spark.createDataFrame([("",)], "x string").select(tokens)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "RLIKE" not in plan.upper()
+
+
 def test_code_lists(spark):
     valid = F.array(F.lit("a"), F.lit("b"))
     data = ['["a","z"]', '["z"]', "[]", '["GENERAL"]', "not json", None]
