@@ -20,6 +20,7 @@ from gradus.session import cut_lineage
 
 STRETCH = 1_000_000
 SHORTEST = 1e-12
+TIED = 1e-9  # stabilities that differ by less than this part of themselves are equal: rounding of sums in another order
 
 _TOLD = (
     "kind STRING, stretch BIGINT, name BIGINT, size BIGINT, last BIGINT, cluster BIGINT, brought BIGINT, parent BIGINT, "
@@ -68,7 +69,9 @@ def _merged(table: pd.DataFrame, min_size: int) -> pd.DataFrame:
     """All merges of one stretch.
 
     A component has a cluster (its own number, or None with the name it was brought under) or is loose: the components it
-    was made of, which wait for a cluster to enter.
+    was made of, which wait for a cluster to enter. A cluster's stability grows by its size times the fall of the level since
+    its last merge, so that it is zero where the level did not fall, and not the rounding of a difference. ``amount`` of a
+    part is the level of its first merge, of an end the level of its last.
     """
     table = table.sort_values("position")
     stretch = int(table["stretch"].iloc[0])
@@ -78,6 +81,8 @@ def _merged(table: pd.DataFrame, min_size: int) -> pd.DataFrame:
     loose: dict[int, list[int]] = {}
     entered: dict[int, tuple] = {}
     grown: dict[tuple, float] = {}
+    at: dict[int, float] = {}
+    first: dict[int, float] = {}
     above: dict[int, int] = {}
     began: dict[int, int] = {}
 
@@ -104,29 +109,35 @@ def _merged(table: pd.DataFrame, min_size: int) -> pd.DataFrame:
         a, b = sorted((find(a), find(b)))
         level, total = 1.0 / max(w, SHORTEST), size[a] + size[b]
         known = [cluster.pop(x, None) for x in (a, b)]
+        for which, x in zip(known, (a, b)):
+            if which and x in at:
+                grown[which] = grown.get(which, 0.0) + size[x] * (at.pop(x) - level)
+            elif which:
+                first[x] = level
         if all(known):
-            for child, x in zip(known, (a, b)):
-                rows.append(("split", stretch, None, size[x], None, *child, position, level))
+            for child in known:
+                rows.append(("split", stretch, None, None, None, *child, position, None))
             cluster[a] = (position, None)
-            grown[cluster[a]] = total * level
+            grown[cluster[a]] = 0.0
         elif any(known):
             cluster[a] = known[0] or known[1]
             falling = b if known[0] else a
-            grown[cluster[a]] = grown.get(cluster[a], 0.0) + size[falling] * level
             entered.update(dict.fromkeys(loose.pop(falling), cluster[a]))
         elif total >= min_size:
             cluster[a] = (position, None)
-            grown[cluster[a]] = total * level
+            grown[cluster[a]] = 0.0
             entered.update(dict.fromkeys(loose.pop(a) + loose.pop(b), cluster[a]))
         else:
             loose[a] = loose.pop(a) + loose.pop(b)
+        if a in cluster:
+            at[a] = level
         size[a] = total
         del size[b]
         above[b] = a
     for name, n in began.items():
-        rows.append(("part", stretch, name, n, find(name), *entered.get(name, (None, None)), None, None))
+        rows.append(("part", stretch, name, n, find(name), *entered.get(name, (None, None)), None, first.get(name)))
     for name, which in cluster.items():
-        rows.append(("end", stretch, name, size[name], None, *which, None, None))
+        rows.append(("end", stretch, name, size[name], None, *which, None, at[name]))
     for which, amount in grown.items():
         rows.append(("grown", stretch, None, None, None, *which, None, amount))
     out = pd.DataFrame(rows, columns=["kind", "stretch", "name", "size", "last", "cluster", "brought", "parent", "amount"])
@@ -134,22 +145,29 @@ def _merged(table: pd.DataFrame, min_size: int) -> pd.DataFrame:
 
 
 def _resolved(told: DataFrame, parts: DataFrame, small: int) -> DataFrame:
-    """``id, cluster`` for every part that brought a cluster along: the number it was made under."""
-    ends = told.where("kind = 'end'").select("stretch", "name", F.lit(1).alias("_late"), "cluster", "brought", F.lit(None).cast("bigint").alias("id"))
+    """``id, cluster, amount`` for every part that brought a cluster along: the number it was made under, and by how much
+    its stability grew from the last merge before the part's stretch to the first in it."""
+    ends = told.where("kind = 'end'").select(
+        "stretch", "name", F.lit(1).alias("_late"), "cluster", "brought", F.lit(None).cast("bigint").alias("id"), "size", "amount"
+    )
     asking = parts.where("is_cluster").select(
         "stretch", "name", F.lit(0).alias("_late"), F.lit(None).cast("bigint").alias("cluster"),
-        F.lit(None).cast("bigint").alias("brought"), "id",
+        F.lit(None).cast("bigint").alias("brought"), "id", "size", "amount",
     )
     # one component's rows: at most two a stretch
     before = Window.partitionBy("name").orderBy("stretch", "_late").rowsBetween(Window.unboundedPreceding, -1)
-    made = F.last(F.when(F.col("_late") == 1, F.struct("stretch", "cluster", "brought")), ignorenulls=True).over(before)
+    made = F.last(F.when(F.col("_late") == 1, F.struct("stretch", "cluster", "brought", "amount")), ignorenulls=True).over(before)
     found = ends.unionByName(asking).withColumn("_made", made).where("_late = 0")
-    found = cut_lineage(found.select("id", "_made.stretch", "_made.cluster", F.col("_made.brought").alias("name")))
+    fallen = F.col("size") * (F.col("_made.amount") - F.col("amount"))
+    found = cut_lineage(
+        found.select("id", "_made.stretch", "_made.cluster", F.col("_made.brought").alias("name"), fallen.alias("amount"))
+    )
     to = parts.select(F.col("id").alias("parent"), "stretch", "name")
     links = found.where("cluster IS NULL").join(to, ["stretch", "name"]).select(F.col("id").alias("node"), "parent")
     top = forest.roots(links, small).select(F.col("node").alias("id"), "root")
     known = found.where("cluster IS NOT NULL").select("id", "cluster")
-    return cut_lineage(known.unionByName(top.join(known.withColumnRenamed("id", "root"), "root").select("id", "cluster")))
+    all_known = known.unionByName(top.join(known.withColumnRenamed("id", "root"), "root").select("id", "cluster"))
+    return cut_lineage(all_known.join(found.select("id", "amount"), "id"))
 
 
 def _entered(parts: DataFrame, of_part: DataFrame, small: int) -> DataFrame:
@@ -180,7 +198,7 @@ def _with_cluster(rows: DataFrame, parts: DataFrame, of_part: DataFrame) -> Data
 def stable(clusters: DataFrame, small: int = forest.SMALL) -> DataFrame:
     """``node, parent, marked`` of ``node, parent, stability``: marked if as stable as the best choice below it together.
 
-    The best of a node is ``max(stability, sum of its children's best)``. A counted small table is settled in memory.
+    The best of a node is ``max(stability, sum of its children's best)``; equal means equal but for rounding. A counted small table is settled in memory.
     Otherwise each round adds up finished children, and a node with one unfinished child left stands for a function
     ``max(a, b + x)`` of it; such functions are chained by doubling, so rounds grow with the logarithm of the nodes.
     """
@@ -192,7 +210,7 @@ def stable(clusters: DataFrame, small: int = forest.SMALL) -> DataFrame:
         for node, parent, own in zip(rows["node"].tolist(), rows["parent"].tolist(), rows["stability"].tolist()):
             under = below.get(node, 0.0)  # children have lower numbers
             top = pd.isna(parent)
-            out.append((node, None if top else int(parent), bool(own >= under and not top)))
+            out.append((node, None if top else int(parent), bool(own >= under * (1 - TIED) and not top)))
             if not top:
                 below[int(parent)] = below.get(int(parent), 0.0) + max(own, under)
         return spark.createDataFrame(out, "node BIGINT, parent BIGINT, marked BOOLEAN")
@@ -234,7 +252,7 @@ def stable(clusters: DataFrame, small: int = forest.SMALL) -> DataFrame:
             )
         )
     total = state.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.sum("best").alias("_under"))
-    marked = F.col("parent").isNotNull() & (F.col("stability") >= F.coalesce("_under", F.lit(0.0)))
+    marked = F.col("parent").isNotNull() & (F.col("stability") >= F.coalesce("_under", F.lit(0.0)) * (1 - TIED))
     return state.join(total, "node", "left").select("node", "parent", marked.alias("marked"))
 
 
@@ -252,12 +270,11 @@ def condensed_clusters(
     parts = told.where("kind = 'part'").withColumn("is_cluster", F.col("size") >= max(min_size, 2))
     of_part = _resolved(told, parts, small)
     grown = _with_cluster(told.where("kind = 'grown'").select("stretch", "cluster", "brought", "amount"), parts, of_part)
-    grown = grown.groupBy("cluster").agg(F.sum("amount").alias("leave"))
-    split = told.where("kind = 'split'").select("stretch", "cluster", "brought", "parent", "size", "amount")
-    split = _with_cluster(split, parts, of_part).select("cluster", "parent", (F.col("size") * F.col("amount")).alias("_held"))
-    clusters = grown.join(split, "cluster", "left").select(
-        F.col("cluster").alias("node"), "parent", (F.col("leave") - F.coalesce("_held", F.lit(0.0))).alias("stability")
-    )
+    grown = grown.select("cluster", "amount").unionByName(of_part.select("cluster", "amount"))
+    grown = grown.groupBy("cluster").agg(F.sum("amount").alias("stability"))
+    split = told.where("kind = 'split'").select("stretch", "cluster", "brought", "parent")
+    split = _with_cluster(split, parts, of_part).select("cluster", "parent")
+    clusters = grown.join(split, "cluster", "left").select(F.col("cluster").alias("node"), "parent", "stability")
     top = forest.topmost(cut_lineage(stable(cut_lineage(clusters), small)), small).withColumnRenamed("node", "cluster")
     labelled = _entered(parts, of_part, small).join(top, "cluster", "left")
     return points.select("key").join(labelled, "key", "left").select("key", F.coalesce("top", F.lit(-1)).alias("label"))

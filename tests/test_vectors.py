@@ -250,6 +250,27 @@ def test_stable_clusters_both_ways(spark):
     assert one == other and sum(r[2] for r in one) > 20
 
 
+@pytest.mark.parametrize("stretch", [density.STRETCH, 4])
+def test_clusters_of_equal_edges_are_kept(spark, stretch):
+    """All edges weigh the same: two clusters of stability zero, whatever their sums round to."""
+    groups = [{0, 1, 2, 3, 4, 100}, {10, 11, 12, 13, 14, 101}]  # the edge between the hubs 100 and 101 comes last
+    edges = [(k, max(g), 0.07) for g in groups for k in sorted(g) if k < 100] + [(100, 101, 0.07)]
+    tree = spark.createDataFrame(edges, "lo long, hi long, w double")
+    keys = spark.createDataFrame([(k,) for g in groups for k in g], "key long")
+    got = {}
+    for r in hierarchy.condensed_clusters(keys, tree, 2, stretch).collect():
+        got.setdefault(r["label"], set()).add(r["key"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups)) and -1 not in got
+
+
+@pytest.mark.parametrize("small", [1000, 2])
+def test_equal_stabilities_choose_the_parent(spark, small):
+    """0.1 + 0.2 is as much as 0.3."""
+    clusters = spark.createDataFrame([(0, 2, 0.1), (1, 2, 0.2), (2, 4, 0.3), (3, 4, 0.0), (4, None, 9.0)], "node long, parent long, stability double")
+    marked = {r["node"]: r["marked"] for r in hierarchy.stable(clusters, small).collect()}
+    assert marked[2] and not marked[4]
+
+
 def test_forest_both_ways(spark):
     links = [(i, i // 2) for i in range(1, 64)]
     tree = [(i, i // 2 if i > 1 else None, i in (5, 11, 3)) for i in range(1, 64)]
