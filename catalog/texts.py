@@ -60,13 +60,12 @@ def topic_profile(spark, sf):
 
 def nmf_given_topics(spark, sf):
     """Weights of every document for eight given topics: the vocabulary's terms in turn, each with weight one."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    vocab = topics.vocabulary(docs, "text")
-    counted = topics.count_vectors(docs, "text", vocab)
-    weighted = topics.TermWeights.fit(counted).apply(counted)
+    listed = topics.token_lists(table(spark, sf, "documents"), "text", ("doc_id",))
+    vocab = topics.common_terms(listed)
+    weights = topics.TermWeights.of_lists(listed, vocab)
     h = np.zeros((topics.N_TOPICS, len(vocab)))
     h[np.arange(len(vocab)) % topics.N_TOPICS, np.arange(len(vocab))] = 1.0
-    found = topics.nmf_weights(topics.Factors(h, 0.0, 0.0, 0.0, []), weighted, ["doc_id"])
+    found = topics.nmf_weights_of_lists(topics.Factors(h, 0.0, 0.0, 0.0, []), listed, ["doc_id"], vocab, weights)
     return found.select("doc_id", F.posexplode("nmf_weights").alias("topic_id", "weight")).withColumn("weight", F.round("weight", 5))
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,22 +18,103 @@ from gradus import fixed
 from gradus.functions import text
 from gradus.functions.vectors import shares, unit
 from gradus.operators import blocks, lda, sums
+from gradus.session import cut_lineage
 
 N_TOPICS = 8
 N_TERMS = 300
+FREQUENT = 600  # words whose pairs are counted in one array
 
 
 def term_counts(docs: DataFrame, column: str, terms: str = "terms") -> DataFrame:
     """Corpus frequency of every single word and word pair."""
-    tokens = docs.select(text.topic_tokens(F.col(column)).alias("_tokens"))
-    listed = tokens.select(F.explode(text.uni_and_bigrams(F.col("_tokens"))).alias("term"))
-    return listed.groupBy("term").agg(F.count("*").alias("n"))
+    return _counted(docs.select(text.topic_tokens(F.col(column)).alias("tokens")))
+
+
+def _counted(listed: DataFrame) -> DataFrame:
+    terms = listed.select(F.explode(text.uni_and_bigrams(F.col("tokens"))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("n"))
+
+
+def token_lists(docs: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns ``keep`` and the ``tokens`` of every text, found once and written to the shared folder."""
+    return cut_lineage(docs.select(*keep, text.topic_tokens(F.col(column)).alias("tokens")))
 
 
 def vocabulary(docs: DataFrame, column: str, size: int = N_TERMS) -> list[str]:
     """The most frequent terms, ties alphabetical, listed alphabetically."""
-    top = term_counts(docs, column).orderBy(F.desc("n"), "term").limit(size).collect()
-    return sorted(r["term"] for r in top)
+    return common_terms(token_lists(docs, column), size)
+
+
+def common_terms(listed: DataFrame, size: int = N_TERMS, frequent: int = FREQUENT) -> list[str]:
+    """``vocabulary`` of token lists.
+
+    A pair is no more frequent than either of its words, so that only pairs of words as frequent as the ``size``-th word can
+    be among the first ``size`` terms. Where more than ``frequent`` words are, all pairs are counted by grouping.
+    """
+    words = listed.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    top = words.orderBy(F.desc("n"), "term").limit(max(frequent, size) + 1).collect()
+    least = top[size - 1]["n"] if len(top) >= size else 0
+    top = [(r["n"], r["term"]) for r in top if r["n"] >= least]
+    if len(top) > frequent:
+        found = _counted(listed).orderBy(F.desc("n"), "term").limit(size).collect()
+        return sorted(r["term"] for r in found)
+    names = [t for _, t in top]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(names) ** 2, np.int64)
+        for b in batches:
+            _, _, first, second = _places(b["tokens"], names)
+            total += np.bincount(first * len(names) + second, minlength=len(total))
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": met, "n": total[met]})
+
+    met = listed.select("tokens").mapInArrow(pairs, "pair BIGINT, n BIGINT").groupBy("pair").agg(F.sum("n").alias("n"))
+    for r in met.where(F.col("n") >= least).collect():
+        top.append((r["n"], f"{names[r['pair'] // len(names)]} {names[r['pair'] % len(names)]}"))
+    return sorted(t for _, t in sorted(top, key=lambda x: (-x[0], x[1]))[:size])
+
+
+def _places(lists: pa.Array, words: list[str]) -> tuple[np.ndarray, ...]:
+    """Row and place among ``words`` of every token that is one of them, those tokens' places in the flat list ahead of
+    another such token of the row as pairs: ``(rows, places, first, second)``; rows of the pairs come last in ``rows``."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    place = pc.fill_null(pc.index_in(flat, value_set=pa.array(words, flat.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    there = np.flatnonzero(place >= 0)
+    ahead = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0) & (row[:-1] == row[1:]))
+    return np.concatenate([row[there], row[ahead]]), place[there], place[ahead], place[ahead + 1]
+
+
+@dataclass
+class TermCounter:
+    """Counts of a fixed vocabulary of words and pairs in batches of token lists."""
+
+    words: list[str]
+    single: np.ndarray
+    double: np.ndarray
+    size: int
+
+    @staticmethod
+    def of(vocab: list[str]) -> TermCounter:
+        parts = [t.split(" ") for t in vocab]
+        words = sorted({w for p in parts for w in p})
+        at = {w: i for i, w in enumerate(words)}
+        single, double = np.full(len(words), -1), np.full((len(words), len(words)), -1)
+        for i, p in enumerate(parts):
+            if len(p) == 1:
+                single[at[p[0]]] = i
+            else:
+                double[at[p[0]], at[p[1]]] = i
+        return TermCounter(words, single, double, len(vocab))
+
+    def counts(self, lists: pa.Array) -> np.ndarray:
+        """Rows by terms."""
+        rows, places, first, second = _places(lists, self.words)
+        term = np.concatenate([self.single[places], self.double[first, second]])
+        kept = term >= 0
+        flat = np.bincount(rows[kept] * self.size + term[kept], minlength=len(lists) * self.size)
+        return flat.reshape(len(lists), self.size)
 
 
 def count_vectors(docs: DataFrame, column: str, vocab: list[str], out: str = "counts") -> DataFrame:
@@ -56,6 +138,26 @@ class TermWeights:
         n = model.numDocs
         return TermWeights([math.log((1 + n) / (1 + df)) + 1 for df in model.docFreq])
 
+    @staticmethod
+    def of_lists(listed: DataFrame, vocab: list[str]) -> TermWeights:
+        """``fit`` on token lists."""
+        counter = TermCounter.of(vocab)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(counter.size + 1)
+            for b in batches:
+                total += np.append((counter.counts(b["tokens"]) > 0).sum(0), b.num_rows)
+            yield sums.as_row(total)
+
+        *found, n = sums.added(listed.select("tokens").mapInArrow(run, "sums BINARY"))
+        return TermWeights([math.log((1 + n) / (1 + df)) + 1 for df in found])
+
+    def of_counts(self, counts: np.ndarray) -> np.ndarray:
+        """``apply`` on rows of counts."""
+        raw = np.where(counts > 0, (1 + np.log(np.maximum(counts, 1))) * np.array(self.idf), 0.0)
+        length = np.sqrt((raw * raw).sum(1, keepdims=True))
+        return raw / np.where(length > 0, length, 1.0)
+
     def apply(self, counted: DataFrame, counts: str = "counts", out: str = "weights") -> DataFrame:
         idf = F.array(*[F.lit(x) for x in self.idf])
         raw = F.zip_with(
@@ -215,16 +317,34 @@ def nmf_weights(
     """Columns ``keep`` and the topic weights of every row, scaled to sum to one; rows
     without any stay zero."""
 
+    return _solved(factors, weighted.select(*keep, weights), keep, blocks.matrix, out, sweeps)
+
+
+def nmf_weights_of_lists(
+    factors: Factors, listed: DataFrame, keep: list[str], vocab: list[str], weights: TermWeights, out: str = "nmf_weights",
+    sweeps: int = 20,
+) -> DataFrame:
+    """``nmf_weights`` of token lists; counts and term weights stay in the tasks."""
+    counter = TermCounter.of(vocab)
+
+    def matrix(lists: pa.ChunkedArray) -> np.ndarray:
+        return weights.of_counts(counter.counts(lists.combine_chunks()))
+
+    return _solved(factors, listed.select(*keep, "tokens"), keep, matrix, out, sweeps)
+
+
+def _solved(factors: Factors, rows: DataFrame, keep: list[str], matrix, out: str, sweeps: int) -> DataFrame:
+    """Columns ``keep`` and the shares of the topics, from the rows that ``matrix`` reads off the last column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows == 0:
                 continue
-            x = blocks.matrix(pa.Table.from_batches([b]).column(len(keep)))
+            x = matrix(pa.Table.from_batches([b]).column(len(keep)))
             w = _solve_rows(x, factors.h, factors.l1_w, factors.l2_w, sweeps)
             solved = pa.array(w.tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], solved], names=[*keep, out])
 
-    rows = weighted.select(*keep, weights)
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[: len(keep)])
     return rows.mapInArrow(run, f"{kept}, {out} ARRAY<DOUBLE>").withColumn(out, shares(F.col(out)))
 

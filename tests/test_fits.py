@@ -86,6 +86,45 @@ def test_topics_do_not_depend_on_tasks(spark):
     np.testing.assert_allclose(one.errors, many.errors, atol=1e-8)
 
 
+def _odd_texts(spark):
+    rng = np.random.default_rng(8)
+    words = ["pipe", "beam", "weld", "torch", "Éclair", "crane", "ditch,grade", "x1", "İstanbul", "roof"]
+    texts = [" ".join(rng.choice(words, size=n)) for n in rng.integers(0, 30, 60)]
+    return spark.createDataFrame(list(enumerate([*texts, "", "weld weld weld", "12 34", "pipe"])), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("frequent", [topics.FREQUENT, 3])
+@pytest.mark.parametrize("size", [1, 4, 25, 300])
+def test_common_terms_are_the_most_counted(spark, size, frequent):
+    docs = _odd_texts(spark)
+    counted = sorted((-r.n, r.term) for r in topics.term_counts(docs, "text").collect())
+    assert topics.common_terms(topics.token_lists(docs, "text"), size, frequent) == sorted(t for _, t in counted[:size])
+
+
+def test_weights_of_lists_are_those_of_vectors(spark):
+    docs = _odd_texts(spark).repartition(3)
+    vocab = topics.vocabulary(docs, "text", 20)
+    counted = topics.count_vectors(docs, "text", vocab)
+    fitted = topics.TermWeights.fit(counted)
+    listed = topics.token_lists(docs, "text", ("doc_id",))
+    np.testing.assert_allclose(topics.TermWeights.of_lists(listed, vocab).idf, fitted.idf, atol=1e-12)
+    factors = topics.Factors(np.random.default_rng(9).random((3, 20)), 0.0, 0.0, 0.0, [])
+    want = {r[0]: r[1] for r in topics.nmf_weights(factors, fitted.apply(counted), ["doc_id"]).collect()}
+    got = {r[0]: r[1] for r in topics.nmf_weights_of_lists(factors, listed, ["doc_id"], vocab, fitted).collect()}
+    assert got.keys() == want.keys() and len(got) == 64
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], atol=1e-9)
+
+
+def test_given_topics_cut_texts_once(spark, tmp_path, monkeypatch):
+    from catalog import texts as catalog_texts
+
+    _odd_texts(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    cuts, cut = [], topics.text.topic_tokens
+    monkeypatch.setattr(topics.text, "topic_tokens", lambda c: cuts.append(1) or cut(c))
+    assert catalog_texts.nmf_given_topics(spark, str(tmp_path)).count() == 64 * topics.N_TOPICS and len(cuts) == 1
+
+
 def test_code_map_is_read_in_parts(spark, tmp_path):
     names = [f"n{i} {x}" for i, x in enumerate(['plain', 'a]b', '"quoted"', 'back\\', '], "x": [', 'é😀]', '{}', '[,', '\\"]']) for _ in range(1)]
     told = {f"{n}-{i}": [f"c{i}", "x]y", '"'][: i % 4] for i in range(40) for n in names} | {"no codes": None, "": ["e"]}
