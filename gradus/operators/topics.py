@@ -121,9 +121,14 @@ def count_vectors(docs: DataFrame, column: str, vocab: list[str], out: str = "co
     """Sparse term counts over a fixed vocabulary, counted within each row."""
     # Tokens in a column of their own: as an expression they would be worked out at every use.
     tokens = docs.withColumn("_tokens", text.topic_tokens(F.col(column)))
-    terms = tokens.withColumn("_terms", text.uni_and_bigrams(F.col("_tokens")))
+    return count_lists(tokens, vocab, "_tokens", out)
+
+
+def count_lists(listed: DataFrame, vocab: list[str], tokens: str = "tokens", out: str = "counts") -> DataFrame:
+    """``count_vectors`` of token lists, which go."""
+    terms = listed.withColumn("_terms", text.uni_and_bigrams(F.col(tokens)))
     model = CountVectorizerModel.from_vocabulary(vocab, inputCol="_terms", outputCol=out)
-    return model.transform(terms).drop("_tokens", "_terms")
+    return model.transform(terms).drop(tokens, "_terms")
 
 
 @dataclass

@@ -33,8 +33,9 @@ def run_topics(
     if method not in ("lda", "nmf", "both"):
         raise ValueError(f"method is lda, nmf or both, not {method!r}")
     spark = occupations.sparkSession
-    vocab = topics.vocabulary(occupations, column)
-    counted = cut_lineage(topics.count_vectors(occupations.select(*keys, column), column, vocab).drop(column))
+    listed = topics.token_lists(occupations, column, keys)
+    vocab = topics.common_terms(listed)
+    counted = cut_lineage(topics.count_lists(listed, vocab))
     out = Topics(None, None, None, vocab, None, None)
     profiled = counted
     if method in ("lda", "both"):
