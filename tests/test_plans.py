@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus import fixed
-from gradus.functions import numeric
+from gradus.functions import numeric, text
 from gradus.operators import choose, features, topics
 from gradus.plans import clustering, employers, galaxy, occupations, programs, recommend, store
 from gradus.plans import topics as topic_plan
@@ -284,3 +284,57 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         require_columns(df, ["nope"])
     assert keep_existing(df, ["nope", "soc_code"]).columns == ["soc_code"]
+
+
+def _skill_rows(spark, texts, key):
+    return recommend.skill_lists(spark.createDataFrame(texts, f"{key} long, t string"), "t", [key])
+
+
+def test_missing_skills_need_no_whole_lists(spark, monkeypatch):
+    words = [c * n for n in range(5, 13) for c in "abcdefgh"]  # 64 skill words
+    common, rare = " ".join(words), " ".join(words[20:])
+    targets = [(0, common), (1, rare), (2, "welding pipes"), (3, None), (4, ""), (5, common), (5, "welding"), (6, " ".join(reversed(words)))]
+    sources = [(10, common), (11, " ".join(words[24:])), (12, "pipes, only"), (13, None), (14, common + " welding"), (14, "welding")]
+    pairs = [(q, o) for q in range(10, 15) for o in range(7)]
+    first_words = spark.createDataFrame(targets, "ordinal long, t string").select("ordinal", text.skill_words(F.col("t")).alias("t"))
+    source_words = spark.createDataFrame(sources, "query_id long, t string").select("query_id", text.words(F.col("t")).alias("s"))
+    asked = spark.createDataFrame(pairs, "query_id long, ordinal long")
+    plain = asked.join(first_words, "ordinal").join(source_words, "query_id").select("query_id", "ordinal", text.skill_gap(F.col("s"), F.col("t")))
+    want = sorted((q, o, None if g is None else " ".join(g)) for q, o, g in plain.collect())
+    whole = []
+    written = recommend.cut_lineage
+
+    def watched(df):
+        out = written(df)
+        if "_open" in df.columns:
+            whole.extend(tuple(r) for r in out.where("_open").select("query_id", "ordinal").distinct().collect())
+        return out
+
+    lists = _skill_rows(spark, targets, "ordinal"), _skill_rows(spark, sources, "query_id")
+    monkeypatch.setattr(recommend, "cut_lineage", watched)
+    got = recommend.missing_skills(asked, *lists, ["query_id"]).collect()
+    key = lambda r: (r[0], r[1], r[2] or "", r[2] is None)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert (10, 0) not in whole and (10, 6) not in whole  # like lists
+    assert (12, 0) not in whole  # the head has enough
+    assert (11, 0) in whole  # what is missing stands behind the head
+
+
+def test_few_asked_codes_read_few_texts(spark):
+    rows = spark.range(50).select("id", F.col("id").cast("string").alias("code"), F.lit("welding").alias("t"))
+    asked = spark.createDataFrame([(3, "7"), (4, "7"), (4, "x")], "id long, code string")
+    assert sorted(r[0] for r in recommend.skill_lists(rows, "t", ["id", "code"], asked).collect()) == [3, 4, 7]
+    assert recommend.skill_lists(rows, "t", ["id"]).count() == 50
+
+
+def test_support_of_some_occupations(spark, tmp_path):
+    from catalog import advice
+
+    lines = [(k, s, "2020-01-01") for k in (3, 3, 5, 7) for s in (1, 2)] + [(None, 1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 3), (2, 7), (4, 7), (5, 9), (6, None)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    of = spark.createDataFrame([(3,), (7,), (7,), (10**9,)], "ordinal long")
+    some, every = advice._support(spark, str(tmp_path), of), advice._support(spark, str(tmp_path))
+    want = sorted((r for r in every.collect() if r["soc_code"] in ("3", "7")), key=str)
+    assert len(want) == 2 and sorted(some.collect(), key=str) == want
