@@ -283,6 +283,7 @@ def fit_nmf(
     both sides; the customary 0.1 shrinks every factor of unit-length rows to zero, hence 0.
     """
     points = weighted.select(F.col(weights).alias("x"))
+    tasks = points.rdd.getNumPartitions()
     h, n = _start(points, k)
     terms = h.shape[1]
     l1_w, l2_w = terms * alpha * l1_ratio, terms * alpha * (1 - l1_ratio)
@@ -302,7 +303,7 @@ def fit_nmf(
             if total is not None:
                 yield sums.as_row(np.append(total, s))
 
-        out = sums.added(points.mapInArrow(products, "sums BINARY"))
+        out = sums.added(points.mapInArrow(products, "sums BINARY"), tasks=tasks)
         errors.append(math.sqrt(max(out[-1], 0.0)))
         if len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[0]:
             break
